@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from granary.llm import quality_rules
+from granary.llm import quality_rules, secret_scan
 
 QUERIES = {
+    "op1_secret_scans": secret_scan.op1_secret_scans,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 
 ORACLE = {
+    "op1_secret_scans": secret_scan.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
