@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from granary.llm import quality_rules, secret_scan
+from granary.llm import quality_rules, secret_scan, token_rollup, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_url_filters": url_filter.op8_url_filters,
+    "op9_token_counts": token_rollup.op9_token_counts,
 }
 
 ORACLE = {
     "op1_secret_scans": secret_scan.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op8_url_filters": url_filter.SQL,
+    "op9_token_counts": token_rollup.SQL,
 }
