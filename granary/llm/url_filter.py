@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm import bloom
+
 #: (verdict, host, path): fixed values of the query's contract.
 RULES = (
     ("allow", "org", "/"),
@@ -39,8 +41,6 @@ RULES = (
 LISTED_NAMES = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
 
-WORDS = 8  # 64-bit words a block; a key sets one bit in each
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://(.*)$", 1)
@@ -81,20 +81,6 @@ def lookups(canonical_url: Column) -> Column:
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
-def bloom_blocks(listed: DataFrame, blocks: int) -> np.ndarray:
-    """The filter, built by one partial aggregation per block; ``blocks`` bounds what reaches the driver."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.col("h2"), 6 * k), F.lit(64)).cast("int"))
-    words = (
-        listed.select(F.pmod(F.xxhash64("listed_url"), F.lit(blocks)).alias("block"), F.xxhash64("listed_url", F.lit(1)).alias("h2"))
-        .groupBy("block").agg(*[F.bit_or(bit(k)).alias(f"w{k}") for k in range(WORDS)])
-    )
-    table = np.zeros((blocks, WORDS), dtype=np.uint64)
-    got = words.toPandas()
-    if len(got):
-        table[got["block"].to_numpy()] = got[[f"w{k}" for k in range(WORDS)]].to_numpy(dtype=np.int64).view(np.uint64)
-    return table
-
-
 def may_be_listed(keyed: DataFrame, table: np.ndarray) -> DataFrame:
     """Rows of (url, keys, blocks, hashes) of which some key may be listed: columns url and keys."""
     shared = keyed.sparkSession.sparkContext.broadcast(table)
@@ -106,10 +92,7 @@ def may_be_listed(keyed: DataFrame, table: np.ndarray) -> DataFrame:
                 continue
             at = np.concatenate(rows["blocks"].to_list()).astype(np.int64)
             h = np.concatenate(rows["hashes"].to_list()).astype(np.int64)
-            hit = np.ones(len(at), dtype=bool)
-            for k in range(WORDS):
-                bit = np.uint64(1) << ((h >> (6 * k)) & 63).astype(np.uint64)
-                hit &= (shared.value[at, k] & bit) != 0
+            hit = bloom.may_hold(shared.value, at, h)
             row = np.repeat(np.arange(len(sizes)), sizes)
             yield rows.loc[np.bincount(row[hit], minlength=len(sizes)) > 0, ["url", "keys"]]
 
@@ -121,13 +104,13 @@ def listed_urls(
 ) -> DataFrame:
     """Distinct urls that a listed canonical URL covers: columns url and listed_url (the longest)."""
     listed = listed.select("listed_url").where("listed_url <> ''").distinct()
-    blocks = int(min(max_blocks, max(1, listed.count() * bits_per_key // (64 * WORDS) + 1)))
-    table = bloom_blocks(listed, blocks)
+    blocks = bloom.blocks_for(listed.count(), bits_per_key, max_blocks)
+    table = bloom.build(listed, blocks)
     keyed = urls.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct().withColumn(
         "keys", F.coalesce(lookups(canonical(F.col("url"))), F.array().cast("array<string>"))
     ).withColumns({
-        "blocks": F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(blocks))),
-        "hashes": F.transform("keys", lambda k: F.xxhash64(k, F.lit(1))),
+        "blocks": F.transform("keys", lambda k: bloom.block_of(k, blocks)),
+        "hashes": F.transform("keys", bloom.bits_of),
     })
     possible = may_be_listed(keyed, table).select("url", F.explode("keys").alias("listed_url"))
     return possible.join(listed, "listed_url").groupBy("url").agg(
