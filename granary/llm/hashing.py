@@ -52,8 +52,10 @@ SPACED = table(lambda b: b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
 LETTERS = table(lambda b: b >= 128 or chr(b).isalnum())
 
 
-def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, end position) of every word; bounds are text offsets, one more than the texts.
+def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, text number, start position) of every word; bounds are text offsets, one more than the texts.
+
+    For each length in ``prefixes`` follows the hash of the word's first so many bytes.
 
     Equal words have equal hashes wherever they stand: a prefix sum of scrambled byte values
     times powers of an odd number is differenced and shifted back by the inverse power.
@@ -92,12 +94,13 @@ def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.nd
         power, inverse = _powers(1 << int(max(stop - at, 2) - 1).bit_length())
         run = np.zeros(stop - at + 1, dtype=np.uint64)
         np.cumsum(values[b] * power[: stop - at], out=run[1:])
-        found.append((mix((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64) * _STEP), s + at, e + at))
+        ends_at = [e, *(np.minimum(e, s + p) for p in prefixes)]
+        found.append((s + at, *(mix((run[x] - run[s]) * inverse[s] + (x - s).astype(np.uint64) * _STEP) for x in ends_at)))
         at = stop
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
-    return h, np.searchsorted(bounds, s, side="right") - 1, e
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes))
+    s, h, *more = (np.concatenate(x) for x in zip(*found, strict=True))
+    return (h, np.searchsorted(bounds, s, side="right") - 1, s, *more)
 
 
 def text_slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard_join, packing, quality_rules, secret_scan, token_rollup, url_filter
+from granary.llm import jaccard_join, packing, quality_rules, secret_scan, token_rollup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_rollup.op9_token_counts,
 }
