@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard_join, packing, quality_rules, secret_scan, token_rollup, toxicity, url_filter
+from granary.llm import jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_rollup.op9_token_counts,
+    "op10_quality_classifier": quality_cnn.op10_quality_classifier,
 }
 
 ORACLE = {
