@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter
+from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
