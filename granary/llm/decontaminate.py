@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
+from granary.llm.shared import broadcast_if_small, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -202,7 +203,7 @@ def _judge(shared, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for row, end, buf, bounds in hashing.text_slices(batch.column(1), 4 << 20):
+            for row, end, buf, bounds in hashing.text_slices(batch.column(1)):
                 h, text_of, _ = hashing.words(buf, bounds, hashing.LETTERS)
                 begin = np.searchsorted(text_of, np.arange(end - row + 1))
                 for shard in shared.value:
@@ -244,9 +245,9 @@ def _window_terms(known: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np
 
 
 def clean(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
-    """The documents without a verified match. Matches are few, texts need not move for them."""
-    bad = matches(docs, items, **limits).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents without a verified match. Few matches are broadcast, so texts need not move for them."""
+    bad = stored(matches(docs, items, **limits).select("doc_id").distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad, 32), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import exists, new_folder
+from granary.llm.shared import broadcast_if_small, exists, new_folder, stored
 
 
 @dataclass(frozen=True)
@@ -176,14 +176,15 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets blacked out; rows without secrets stay as they are.
 
     Findings come from the ledger by blob, so the few texts that change are found by a join on
-    their content hash; n_chars is counted anew where the text changed.
+    their content hash, for which a small table of findings is broadcast; n_chars is counted
+    anew where the text changed.
     """
     spark = docs.sparkSession
     ledger = new_folder(spark, "secrets")
     hashed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     found = scan(docs.select("doc_id", text_col), ledger, path_cols=("doc_id",), text_col=text_col)
-    found = found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("_spans"))
-    out = hashed.join(found, F.col("_blob") == F.col("blob_id"), "left")
+    found = stored(found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("_spans")), "found")
+    out = hashed.join(broadcast_if_small(found, 256), F.col("_blob") == F.col("blob_id"), "left")
     changed = F.col("_spans").isNotNull()
     new = F.when(changed, redact(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, new)
