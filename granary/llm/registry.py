@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter
+from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_rollup.op9_token_counts,
