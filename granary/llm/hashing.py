@@ -103,7 +103,7 @@ def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray, prefixes: tupl
     return (h, np.searchsorted(bounds, s, side="right") - 1, s, *more)
 
 
-def text_slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of row ranges of about ``limit`` bytes; null is empty."""
     texts = texts.cast(pa.large_string())
     if not len(texts):

@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bloom, hashing
+from granary.llm import hashing
 from granary.llm.components import components
-from granary.llm.shared import stored
+from granary.llm.shared import broadcast_if_small, stored
 
 ROUTES = 24
 CELL = 1024  # classes of a cell that are put in one tree
@@ -159,9 +159,33 @@ def _children(i, j, split_a: bool, split_b: bool, na: int, nb: int):
     return i, j
 
 
-def cell_candidates(sid, n, comp, bits: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs within one cell: a tree per bitmap width, against itself and the next width."""
+def _first_meeting(earlier: pa.ListArray, i: np.ndarray, j: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Which pairs share no earlier route, so that this cell is the one to report them."""
+    size = np.diff(earlier.offsets.to_numpy())
+    flat = earlier.values.to_numpy()[earlier.offsets[0].as_py() :]
+    left = np.full((len(size), max(int(size.max(initial=0)), 1)), np.iinfo(np.int64).min)
+    right = np.full(left.shape, np.iinfo(np.int64).max)
+    row = np.repeat(np.arange(len(size)), size)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    left[row, column] = right[row, column] = flat
+    out = np.empty(len(i), dtype=bool)
+    for k in range(0, len(i), step):
+        part = slice(k, k + step)
+        out[part] = ~(left[i[part]][:, :, None] == right[j[part]][:, None, :]).any(axis=(1, 2))
+    return out
+
+
+def cell_candidates(sid, n, comp, bits: list[bytes], earlier: pa.ListArray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one cell: a tree per bitmap width, against itself and the next width.
+
+    A pair that shares several routes is reported by the cell of the first one only.
+    """
     width = np.array([len(b) for b in bits])
+
+    def reported(i, j):
+        keep = _first_meeting(earlier, i, j)
+        return sid[i[keep]], sid[j[keep]]
+
     trees = {}
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
@@ -171,11 +195,11 @@ def cell_candidates(sid, n, comp, bits: list[bytes], threshold: float) -> Iterat
     for w, (at, words) in trees.items():
         tree = Tree(n[at], comp[at], words)
         i, j = traverse(tree, tree, threshold, True)
-        yield sid[at[i]], sid[at[j]]
+        yield reported(at[i], at[j])
         if 2 * w in trees:  # sizes that fit each other differ by less than two
             far, wide = trees[2 * w]
             i, j = traverse(tree, Tree(n[far], comp[far], fold(wide, words.shape[1])), threshold, False)
-            yield sid[at[i]], sid[far[j]]
+            yield reported(at[i], far[j])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -195,12 +219,13 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def tree_candidates(cells: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """Candidate pairs (a, b) of all cells (cell, sid, n, comp, bits)."""
+    """Candidate pairs (a, b) of all cells (cell, sid, n, comp, bits, earlier)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "cell"):
             sid, n, comp = (t.column(c).to_numpy() for c in ("sid", "n", "comp"))
-            for a, b in cell_candidates(sid, n, comp, t.column("bits").to_pylist(), threshold):
+            earlier = t.column("earlier").combine_chunks()
+            for a, b in cell_candidates(sid, n, comp, t.column("bits").to_pylist(), earlier, threshold):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -234,26 +259,17 @@ def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL) -> DataF
     large = joined.where(F.col("total") > cell_rows).withColumn("own", own).withColumn("other", F.explode(near)).withColumn(
         "cell", F.xxhash64("route", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
     )
-    keep = ["cell", "sid", "n", "comp"]
+    keep = ["cell", "route", "sid", "n", "comp"]
     return whole.select(keep).unionByName(large.select(keep))
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(sid, shingles) of the wanted classes (sid, rep).
 
-    A bounded Bloom filter of the wanted ids holds other texts back at the scan; an exact semi
-    join removes what slips through, so only the texts that are compared move.
+    The few ids that are wanted are broadcast while they are small, so only the texts that are
+    compared move; beyond that it is a sorted semi join.
     """
-    spark = docs.sparkSession
     ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    blocks = bloom.blocks_for(ids.count())
-    shared = spark.sparkContext.broadcast(bloom.build(ids, blocks))
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, bits = (batch.column(c).to_numpy() for c in ("block", "hash"))
-            keep = pa.array(bloom.may_hold(shared.value, at, bits))
-            yield batch.select(["doc_id", "text"]).filter(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +278,8 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    keyed = rows.select("doc_id", "text", bloom.block_of(F.col("doc_id"), blocks).alias("block"), bloom.bits_of(F.col("doc_id")).alias("hash"))
-    held = keyed.mapInArrow(hold, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    held = rows.join(broadcast_if_small(ids, 64), "doc_id", "left_semi")
     return held.select("text").mapInArrow(run, "sid long, shingles binary").where("sid is not null")
 
 
@@ -360,7 +375,9 @@ def jaccard_components(
         "comp", F.coalesce("root", "sid")
     ).select("route", "sid", "n", "comp")
     open_cells = labelled.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route")
-    cells = cut_cells(labelled.join(open_cells, "route"), threshold, cell_rows).join(classes.select("sid", "bits"), "sid")
+    cells = cut_cells(labelled.join(open_cells, "route"), threshold, cell_rows).join(
+        classes.select("sid", "bits", "routes"), "sid"
+    ).withColumn("earlier", F.filter("routes", lambda r: r < F.col("route"))).drop("routes", "route")
     more = stored(tree_candidates(cells, threshold, parts), "candidates")
     second = checked(docs, more.join(stars, ["a", "b"], "left_anti"), reps, threshold, size, parts)
     final = components(stored(first.unionByName(second), "all-links"))
@@ -376,3 +393,10 @@ def jaccard_components(
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that are not the least doc_id of their component."""
+    found = jaccard_components(docs, **options)
+    lost = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
+    return docs.join(broadcast_if_small(lost, 32), "doc_id", "left_anti").select(docs.columns)
