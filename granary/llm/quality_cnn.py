@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pandas as pd
 
         out = [np.zeros(0)]
-        for _, _, buf, bounds in hashing.text_slices(pa.array(text, pa.large_string()), 2 << 20):
+        for _, _, buf, bounds in hashing.text_slices(pa.array(text, pa.large_string())):
             out.append(shared.value.probability(logits(shared.value.net, buf, bounds)))
         return pd.Series(np.concatenate(out))
 
