@@ -1,3 +1,62 @@
+"""A training corpus from raw documents: five stages, each an operator of ``granary.llm``.
+
+1. quality: documents that the classifier rejects go.
+2. near-duplicates: of each group of linked documents the one with the least doc_id stays.
+3. decontamination: documents that hold a benchmark item go.
+4. secrets: found secrets are blacked out; the documents stay.
+5. packing: what is left is tokenised and packed into sequences.
+
+Every stage is written as Parquet and read again, so that a lost executor repeats part of one
+stage only. All but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, secret_scan
+from granary.llm.shared import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the classifier calls good. It learns from the labelled rows of the raw documents."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_cnn.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_cnn.score(docs, model).where(F.col("score") >= quality_cnn.CUT).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of every component; rows without an id stay."""
+    return jaccard_join.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("best-fit packing", pack),
+]
+
+#: Classifier, components and tokenizer have no SQL; tests hold the rows against a brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
