@@ -40,12 +40,12 @@ RECORD = (
     "block_digest string, content_type string, content_length long, n_links int, block binary, record binary"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>", re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|title|blockquote|pre)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[^>]*(?:>|$)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe|area)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINK = re.compile(r"<(a|link|img|script|iframe|area)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
 def digest(data: bytes) -> str:
