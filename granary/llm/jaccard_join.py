@@ -6,8 +6,9 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 chance below ``(1 - threshold) ** routes`` (4e-15 at 24 routes; none for unions of fewer than
 96 shingles), so each shared route is a cell in which all its links are to be found.
 
-1. *Contraction.* In every cell each class is compared with the cell's least class only. The
-   links found already join most of each family of copies, without emitting its pairs.
+1. *Contraction.* In every cell each class is compared with the cell's least class only, then
+   with two more where components are still apart. The links found already join most of each
+   family of copies, without emitting its pairs.
 2. *Signature trees.* Cells that still touch several components build a tree over their
    classes: a leaf holds the bitmap of its shingles and its size, an inner node the OR of its
    bitmaps and the range of its sizes and components. The tree is traversed against itself;
@@ -42,6 +43,7 @@ from granary.llm.shared import broadcast_if_small, stored
 
 ROUTES = 24
 CELL = 1024  # classes of a cell that are put in one tree
+PIVOTS = 2  # classes of a cell that the second contraction compares the others with
 FANOUT = 16
 
 
@@ -175,14 +177,21 @@ def _first_meeting(earlier: pa.ListArray, i: np.ndarray, j: np.ndarray, step: in
     return out
 
 
-def cell_candidates(sid, n, comp, bits: list[bytes], earlier: pa.ListArray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cell_candidates(
+    sid, n, comp, side, bits: list[bytes], earlier: pa.ListArray, threshold: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of one cell: a tree per bitmap width, against itself and the next width.
 
-    A pair that shares several routes is reported by the cell of the first one only.
+    A pair that shares several routes is reported by the cell of the first one only, and a cell
+    of two parts reports only pairs across them.
     """
     width = np.array([len(b) for b in bits])
+    across = side.any()
 
     def reported(i, j):
+        if across:
+            keep = side[i] != side[j]
+            i, j = i[keep], j[keep]
         keep = _first_meeting(earlier, i, j)
         return sid[i[keep]], sid[j[keep]]
 
@@ -219,13 +228,13 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def tree_candidates(cells: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """Candidate pairs (a, b) of all cells (cell, sid, n, comp, bits, earlier)."""
+    """Candidate pairs (a, b) of all cells (cell, sid, n, comp, side, bits, earlier)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "cell"):
-            sid, n, comp = (t.column(c).to_numpy() for c in ("sid", "n", "comp"))
+            sid, n, comp, side = (t.column(c).to_numpy() for c in ("sid", "n", "comp", "side"))
             earlier = t.column("earlier").combine_chunks()
-            for a, b in cell_candidates(sid, n, comp, t.column("bits").to_pylist(), earlier, threshold):
+            for a, b in cell_candidates(sid, n, comp, side, t.column("bits").to_pylist(), earlier, threshold):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -247,7 +256,7 @@ def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL) -> DataF
         F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("rows") * 2 / cell_rows).cast("int")))).alias("parts"),
     )
     joined = sized.join(parts, "route")
-    whole = joined.where(F.col("total") <= cell_rows).withColumn("cell", F.xxhash64("route"))
+    whole = joined.where(F.col("total") <= cell_rows).withColumns({"cell": F.xxhash64("route"), "side": F.lit(0)})
     own = F.pmod(F.xxhash64("sid"), F.col("parts")[F.col("step")]).cast("int")
     near = F.flatten(F.transform(
         F.sequence(F.col("step") - 4, F.col("step") + 4),
@@ -258,8 +267,8 @@ def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL) -> DataF
     mine = F.struct(F.col("step").alias("s"), F.col("own").alias("p"))
     large = joined.where(F.col("total") > cell_rows).withColumn("own", own).withColumn("other", F.explode(near)).withColumn(
         "cell", F.xxhash64("route", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
-    )
-    keep = ["cell", "route", "sid", "n", "comp"]
+    ).withColumn("side", F.when(mine > F.col("other"), 1).otherwise(0))
+    keep = ["cell", "route", "sid", "n", "comp", "side"]
     return whole.select(keep).unionByName(large.select(keep))
 
 
@@ -273,10 +282,14 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(sets_of(batch.column(0), size))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "shingles"]
-            )
+            sid, raw, used = [], [], 0
+            for k, s in enumerate(sets_of(batch.column(0), size)):
+                sid.append(class_id(s))
+                raw.append(s.tobytes())
+                used += s.nbytes
+                if used > 4 << 20 or k == batch.num_rows - 1:  # a batch of sets is larger than its texts
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(raw, pa.binary())], ["sid", "shingles"])
+                    sid, raw, used = [], [], 0
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     held = rows.join(broadcast_if_small(ids, 64), "doc_id", "left_semi")
@@ -298,11 +311,12 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> D
         head, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             a_out, b_out = [], []
-            columns = [batch.column(c).to_pylist() for c in ("sid", "a", "salt", "ord", "shingles")]
-            for sid, a, salt, order, raw in zip(*columns, strict=True):
-                s = np.frombuffer(raw, dtype=np.uint64)
+            columns = [batch.column(c).to_pylist() for c in ("sid", "a", "salt", "ord")]
+            sets = batch.column("shingles")
+            for k, (sid, a, salt, order) in enumerate(zip(*columns, strict=True)):
+                s = np.frombuffer(sets[k].as_buffer(), dtype=np.uint64)
                 if order == 0:
-                    head, mine = (a, salt), s
+                    head, mine = (a, salt), s.copy()
                 elif head == (a, salt) and len(s) and len(mine):
                     at = np.searchsorted(mine, s)
                     at[at == len(mine)] = 0
@@ -343,6 +357,21 @@ def checked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: float
     return linked(pairs, shingle_rows(docs, wanted.join(reps, "sid"), size), threshold, parts)
 
 
+def _star_links(docs: DataFrame, stars: DataFrame, classes: DataFrame, threshold: float, size: int, parts: int) -> DataFrame:
+    """The links among candidate pairs (a, b): sizes and bitmaps first, then the whole sets."""
+    possible = allowed(stars.distinct(), classes, threshold)
+    return stored(checked(docs, possible, classes.select("sid", "rep"), threshold, size, parts), "links")
+
+
+def _open_cells(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(route, sid, n, comp) of the cells that touch several components of the links so far."""
+    labelled = met.select("route", "sid", "n").join(components(links), F.col("sid") == F.col("node"), "left").withColumn(
+        "comp", F.coalesce("root", "sid")
+    ).select("route", "sid", "n", "comp")
+    open_cells = labelled.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route")
+    return stored(labelled.join(open_cells, "route"), "open")
+
+
 def jaccard_components(
     docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL
 ) -> DataFrame:
@@ -362,24 +391,29 @@ def jaccard_components(
     ).where("least < most")
     met = stored(routed.join(shared.select("route", "least", "m"), "route"), "met")
 
-    # Contraction: each class against the least class of its cells.
+    # Contraction: each class against the least class of its cells, then, where a cell still
+    # touches several components, against classes chosen by salted hashes.
     fits = (100 * F.least("n", "m") >= round(100 * threshold) * F.greatest("n", "m")) & (F.col("sid") != F.col("least"))
     stars = met.where(fits).select(F.col("least").alias("a"), F.col("sid").alias("b"))
-    stars = stored(allowed(stars.distinct(), classes, threshold), "stars")
     reps = classes.select("sid", "rep")
-    first = stored(checked(docs, stars, reps, threshold, size, parts), "links")
-    roots = stored(components(first), "roots")
+    first = _star_links(docs, stars, classes, threshold, size, parts)
+    labelled = _open_cells(met, first)
+    chosen = labelled.groupBy("route").agg(*[
+        F.min_by(F.struct(F.col("sid").alias("least"), F.col("n").alias("m"), F.col("comp").alias("other")), F.xxhash64("sid", F.lit(salt))).alias(f"p{salt}")
+        for salt in range(PIVOTS)
+    ]).select("route", F.explode(F.array_distinct(F.array(*[f"p{salt}" for salt in range(PIVOTS)]))).alias("p")).select("route", "p.*")
+    stars = labelled.join(chosen, "route").where(fits & (F.col("comp") != F.col("other"))).select(
+        F.least("least", "sid").alias("a"), F.greatest("least", "sid").alias("b")
+    )
+    first = stored(first.unionByName(_star_links(docs, stars, classes, threshold, size, parts)), "links")
 
     # Trees: cells that still touch several components.
-    labelled = met.select("route", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").withColumn(
-        "comp", F.coalesce("root", "sid")
-    ).select("route", "sid", "n", "comp")
-    open_cells = labelled.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route")
-    cells = cut_cells(labelled.join(open_cells, "route"), threshold, cell_rows).join(
+    labelled = _open_cells(met, first)
+    cells = cut_cells(labelled, threshold, cell_rows).join(
         classes.select("sid", "bits", "routes"), "sid"
     ).withColumn("earlier", F.filter("routes", lambda r: r < F.col("route"))).drop("routes", "route")
     more = stored(tree_candidates(cells, threshold, parts), "candidates")
-    second = checked(docs, more.join(stars, ["a", "b"], "left_anti"), reps, threshold, size, parts)
+    second = checked(docs, more, reps, threshold, size, parts)
     final = components(stored(first.unionByName(second), "all-links"))
 
     named = reps.join(final, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -90,10 +92,13 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("_counts")
 
 
+def normalised(line: Column) -> Column:
+    """A line without case and with single spaces between its words."""
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def line_hash(line: Column) -> Column:
-    """Hash of a line without case, digits and runs of white space."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), SPACE, " "), "[0-9]+", "0"))
-    return F.when(flat != "", F.xxhash64(flat))
+    return let(normalised(line), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def line_rules(
@@ -107,7 +112,7 @@ def line_rules(
     """Add host-wide line frequency results: lines_removed, words_left, depleted, clean_text.
 
     A line is boilerplate on a host when more than ``max(min_docs, max_share * documents)``
-    distinct documents of the host hold it. A document is depleted when boilerplate makes up
+    distinct documents of the host hold it, of those that hold any word. A document is depleted when boilerplate makes up
     more than ``1 - min_left`` of its words.
 
     Lines are aggregated by (host, document key, line) before they meet by (host, line), so
@@ -123,12 +128,15 @@ def line_rules(
         "_host", "_key",
         F.explode(F.transform(
             F.split(text, "\n", -1),
-            lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("w")),
+            lambda line: let(normalised(line), lambda x: F.struct(
+                F.when(x != "", F.xxhash64(x)).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w")
+            )),
         )).alias("line"),
     ).where(F.col("line.h").isNotNull()).groupBy("_host", "_key", F.col("line.h").alias("_h")).agg(
         F.sum("line.w").alias("_w")
     )
-    limits = keyed.groupBy("_host", "_key").agg(F.lit(1).alias("_one")).groupBy("_host").agg(
+    lines = stored(lines, "lines")  # used three times: the texts are cut into lines once
+    limits = lines.groupBy("_host", "_key").agg(F.lit(1).alias("_one")).groupBy("_host").agg(
         F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(float(max_share))).alias("_limit")
     )
     frequent = (
@@ -187,14 +195,14 @@ WITH d AS (
   SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d
 ), ln AS (
   SELECT rid, host, text, line,
-    trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm,
+    trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw
   FROM raw
 ), words_in AS (SELECT * FROM ln WHERE nw > 0
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n FROM words_in GROUP BY rid
 ), lim AS (
-  SELECT host, greatest(20.0, count(DISTINCT text) * 0.05) AS lim FROM d GROUP BY host
+  SELECT host, greatest(20.0, count(DISTINCT text) * 0.05) AS lim FROM words_in GROUP BY host
 ), freq AS (
   SELECT host, norm, count(DISTINCT text) AS n FROM words_in GROUP BY host, norm
 ), bad AS (

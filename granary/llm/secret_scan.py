@@ -140,7 +140,7 @@ def scan(
     ]
     unseen.select(
         "blob_id", F.col("_todo").alias("rule_versions"), F.concat(*found).alias("spans")
-    ).write.parquet(f"{ledger}/scans/{batch}")
+    ).dropDuplicates(["blob_id"]).write.parquet(f"{ledger}/scans/{batch}")  # repeated rows own a blob twice
 
     known = {r.version: k for k, r in enumerate(rules)}
     kinds = [r.kind for r in rules]
