@@ -2,9 +2,12 @@
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
 ``threshold``. Documents with equal sets form a class and go on as one. Every class gets the
-``routes`` least of its scrambled shingle hashes; a linked pair shares one of these but for a
-chance below ``(1 - threshold) ** routes`` (4e-15 at 24 routes; none for unions of fewer than
-96 shingles), so each shared route is a cell in which all its links are to be found.
+``routes`` least of its scrambled shingle hashes. A linked pair shares at least ``SHARED`` of
+these but for a chance of 5e-10 (none for unions of up to 96 shingles; small sets share at
+least the part of their shingles that the threshold asks for). So each class leaves out its
+``SHARED - 1`` most frequent routes: the rarest route of those that a pair shares is among the
+rest of both, and passages common to many documents draw few classes. Each route that is left
+is a cell, and all links are to be found in the cells.
 
 1. *Contraction.* In every cell each class is compared with the cell's least class only, then
    with two more where components are still apart. The links found already join most of each
@@ -41,8 +44,9 @@ from granary.llm import hashing
 from granary.llm.components import components
 from granary.llm.shared import broadcast_if_small, stored
 
-ROUTES = 24
-CELL = 1024  # classes of a cell that are put in one tree
+ROUTES = 32
+SHARED = 8  # routes that a linked pair shares
+CELL = 4096  # classes of a cell that are put in one tree
 PIVOTS = 2  # classes of a cell that the second contraction compares the others with
 FANOUT = 16
 
@@ -132,21 +136,28 @@ def _possible(one, other, i: np.ndarray, j: np.ndarray, threshold: float, step:
     return ok
 
 
-def traverse(a: Tree, b: Tree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaves that may be linked: from the roots down, dropping node pairs that cannot."""
+def traverse(a: Tree, b: Tree, threshold: float, same: bool, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves that may be linked: from the roots down, dropping node pairs that cannot.
+
+    ``step`` node pairs are opened at a time, the deepest first, so memory stays bounded.
+    """
     depth = max(len(a.levels), len(b.levels)) - 1
     level = lambda t, d: t.levels[min(d, len(t.levels) - 1)]
     na, nb = len(level(a, depth)[0]), len(level(b, depth)[0])
-    i, j = np.repeat(np.arange(na), nb), np.tile(np.arange(nb), na)
-    for d in range(depth, -1, -1):
+    todo = [(depth, np.repeat(np.arange(na), nb), np.tile(np.arange(nb), na), False)]
+    while todo:
+        d, i, j, opened = todo.pop()
+        if opened:
+            i, j = _children(i, j, len(a.levels) > d + 1, len(b.levels) > d + 1, len(level(a, d)[0]), len(level(b, d)[0]))
         if same:
             keep = i <= j if d else i < j
             i, j = i[keep], j[keep]
         keep = _possible(level(a, d), level(b, d), i, j, threshold)
         i, j = i[keep], j[keep]
         if d:
-            i, j = _children(i, j, len(a.levels) > d, len(b.levels) > d, len(level(a, d - 1)[0]), len(level(b, d - 1)[0]))
-    return i, j
+            todo += [(d - 1, i[k : k + step], j[k : k + step], True) for k in range(0, len(i), step)]
+        elif len(i):
+            yield i, j
 
 
 def _children(i, j, split_a: bool, split_b: bool, na: int, nb: int):
@@ -203,12 +214,12 @@ def cell_candidates(
         trees[int(w)] = (at, words)
     for w, (at, words) in trees.items():
         tree = Tree(n[at], comp[at], words)
-        i, j = traverse(tree, tree, threshold, True)
-        yield reported(at[i], at[j])
+        for i, j in traverse(tree, tree, threshold, True):
+            yield reported(at[i], at[j])
         if 2 * w in trees:  # sizes that fit each other differ by less than two
             far, wide = trees[2 * w]
-            i, j = traverse(tree, Tree(n[far], comp[far], fold(wide, words.shape[1])), threshold, False)
-            yield reported(at[i], far[j])
+            for i, j in traverse(tree, Tree(n[far], comp[far], fold(wide, words.shape[1])), threshold, False):
+                yield reported(at[i], far[j])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -373,7 +384,7 @@ def _open_cells(met: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL
+    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, shared_routes: int = SHARED, cell_rows: int = CELL
 ) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -387,9 +398,16 @@ def jaccard_components(
     )
     routed = classes.select("sid", "n", F.explode("routes").alias("route"))
     shared = routed.groupBy("route").agg(
-        F.min("sid").alias("least"), F.max("sid").alias("most"), F.min_by("n", "sid").alias("m")
-    ).where("least < most")
-    met = stored(routed.join(shared.select("route", "least", "m"), "route"), "met")
+        F.count("*").alias("classes"), F.min("sid").alias("least"), F.min_by("n", "sid").alias("m")
+    ).where("classes > 1")
+    fewest = F.least(F.lit(shared_routes), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
+    kept = stored(
+        routed.join(shared, "route").groupBy("sid", "n").agg(
+            F.sort_array(F.collect_list(F.struct("classes", "route", "least", "m")), asc=False).alias("cells")
+        ).withColumn("cells", F.slice("cells", F.greatest(fewest, F.lit(1)), F.size("cells"))),
+        "kept",
+    )
+    met = kept.select("sid", "n", F.inline("cells"))
 
     # Contraction: each class against the least class of its cells, then, where a cell still
     # touches several components, against classes chosen by salted hashes.
@@ -410,8 +428,8 @@ def jaccard_components(
     # Trees: cells that still touch several components.
     labelled = _open_cells(met, first)
     cells = cut_cells(labelled, threshold, cell_rows).join(
-        classes.select("sid", "bits", "routes"), "sid"
-    ).withColumn("earlier", F.filter("routes", lambda r: r < F.col("route"))).drop("routes", "route")
+        classes.select("sid", "bits").join(kept.select("sid", "cells"), "sid"), "sid"
+    ).withColumn("earlier", F.filter(F.col("cells.route"), lambda r: r < F.col("route"))).drop("cells", "route")
     more = stored(tree_candidates(cells, threshold, parts), "candidates")
     second = checked(docs, more, reps, threshold, size, parts)
     final = components(stored(first.unionByName(second), "all-links"))
