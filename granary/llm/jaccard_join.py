@@ -2,12 +2,13 @@
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
 ``threshold``. Documents with equal sets form a class and go on as one. Every class gets the
-``routes`` least of its scrambled shingle hashes. A linked pair shares at least ``SHARED`` of
-these but for a chance of 5e-10 (none for unions of up to 96 shingles; small sets share at
-least the part of their shingles that the threshold asks for). So each class leaves out its
-``SHARED - 1`` most frequent routes: the rarest route of those that a pair shares is among the
-rest of both, and passages common to many documents draw few classes. Each route that is left
-is a cell, and all links are to be found in the cells.
+``routes`` least of its scrambled shingle hashes. But for a chance of ``LOST``, a linked pair
+shares at least so many of these as ``sure_routes`` says (8 of 32 at 0.75, there without
+exception for unions of up to 96 shingles; small sets share at least the part of their shingles
+that the threshold asks for). So each class leaves out its most frequent routes, one fewer than
+that: the rarest route of those that a pair shares is among the rest of both, and passages
+common to many documents draw few classes. Each route that is left is a cell, and all links
+are to be found in the cells.
 
 1. *Contraction.* In every cell each class is compared with the cell's least class only, then
    with two more where components are still apart. The links found already join most of each
@@ -33,6 +34,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ from granary.llm.components import components
 from granary.llm.shared import broadcast_if_small, stored
 
 ROUTES = 32
-SHARED = 8  # routes that a linked pair shares
+LOST = 5e-10  # chance that a linked pair shares fewer routes than are counted on
 CELL = 4096  # classes of a cell that are put in one tree
 PIVOTS = 2  # classes of a cell that the second contraction compares the others with
 FANOUT = 16
@@ -98,6 +100,16 @@ def digest(docs: DataFrame, size: int, routes: int) -> DataFrame:
     )
 
 
+def sure_routes(routes: int, threshold: float) -> int:
+    """How many routes a linked pair shares at least, but for a chance of ``LOST``; binomial, one at the least."""
+    few = 0.0
+    for shared in range(routes + 1):
+        few += comb(routes, shared) * threshold**shared * (1 - threshold) ** (routes - shared)
+        if few > LOST:
+            break
+    return max(shared, 1)
+
+
 def needed(n: np.ndarray | int, m: np.ndarray | int, threshold: float):
     """Least overlap of sets of n and m shingles at the threshold, in whole hundredths."""
     t = round(100 * threshold)
@@ -384,7 +396,7 @@ def _open_cells(met: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, shared_routes: int = SHARED, cell_rows: int = CELL
+    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL
 ) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -400,7 +412,7 @@ def jaccard_components(
     shared = routed.groupBy("route").agg(
         F.count("*").alias("classes"), F.min("sid").alias("least"), F.min_by("n", "sid").alias("m")
     ).where("classes > 1")
-    fewest = F.least(F.lit(shared_routes), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
+    fewest = F.least(F.lit(sure_routes(routes, threshold)), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
     kept = stored(
         routed.join(shared, "route").groupBy("sid", "n").agg(
             F.sort_array(F.collect_list(F.struct("classes", "route", "least", "m")), asc=False).alias("cells")
