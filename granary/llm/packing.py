@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens. The linear program has one variable per
 configuration (a multiset of piece lengths that fits a sequence) and one covering row per
-length; it is solved over the length histogram by multiplicative weights, each round priced by
-a knapsack dynamic program, then rounded down, and what is left over goes by best fit
-decreasing. The histogram has at most ``capacity`` numbers and all later work on the driver
+length; it is solved over the length histogram by multiplicative weights until every row is
+covered, priced by a knapsack dynamic program, then rounded, and what is left over goes by best
+fit decreasing. The histogram has at most ``capacity`` numbers and all later work on the driver
 depends on ``capacity`` only, so it is the same for any number of documents. Spark tokenises,
 counts, numbers the pieces of each length and maps (length, number) to (sequence, offset).
 
@@ -33,6 +33,11 @@ from granary.llm.shared import stored
 
 CAPACITY = 1024
 END = 2
+STEP = 0.02  # share of a length that one step of the LP covers
+SLACK = 0.01  # of the best price that a step's configuration may lack
+LEAST = 0.25  # uses of a configuration that a step adds at least, where as much is left
+RATES = (2.0, 8.0)  # of the LP's weights, tried in turn until ...
+GAP = 0.01  # ... its value is within this, or within one sequence, of the lower bound
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,8 +80,11 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = token
     )
 
 
-def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
-    """Lengths of the best configuration; price[l] is the value of a piece of length l (index 0 unused)."""
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best value of every room up to the capacity, and the length put in last there (0: one token stays free).
+
+    price[l] is the value of a piece of length l; index 0 is unused, lengths that are not there have -inf.
+    """
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
         value = price[1 : c + 1] + best[c - 1 :: -1]
@@ -85,37 +93,67 @@ def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
             best[c], last[c] = value[k], k + 1
         else:
             best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if last[c]:
-            out.append(last[c])
-            c -= last[c]
-        else:
-            c -= 1
-    return np.array(out, dtype=np.int64)
+    return best, last
+
+
+def filling(last: np.ndarray, room: int) -> list[int]:
+    """Lengths of the best filling of a room."""
+    out = []
+    while room > 0:
+        if last[room]:
+            out.append(int(last[room]))
+        room -= int(last[room]) or 1
+    return out
 
 
-def configuration_lp(counts: np.ndarray, capacity: int, rounds: int = 800, step: float = 0.25, rate: float = 8.0):
-    """Fractional use of configurations: multiplicative weights on the covering rows.
+def covering(counts: np.ndarray, capacity: int, rate: float, step: float = STEP, slack: float = SLACK):
+    """Fractional use of configurations that covers every length exactly, and a lower bound of any such use.
 
-    Each round adds the configuration of highest price, as often as covers ``step`` of its
-    scarcest length; rows already covered well become cheap. Ends when all rows are covered.
+    Multiplicative weights on the covering rows, from weights in proportion to their tokens. A
+    step adds a configuration as often as covers ``step`` of its scarcest length, or LEAST
+    times, but never more than is left of any; so each step brings a row nearer by ``step`` or closes one, and
+    lengths * (1 / step + 1) steps always cover all rows. One knapsack prices many steps: the
+    best configurations around each length, while they are worth (1 - slack) of the best one.
     """
     used: dict[tuple[int, ...], float] = defaultdict(float)
-    there = counts > 0
-    covered = np.where(there, 0.0, np.inf)
-    for _ in range(rounds):
-        if not there.any() or covered.min() >= 1:
+    size, left, lower = np.arange(capacity + 1) / capacity, counts.astype(float), 0.0
+    budget = int((counts > 0).sum() * (1 / step + 1)) + 1
+    while (left > 0).any():
+        there = np.flatnonzero(left > 0)
+        top = (left[there] / counts[there]).max()
+        price = np.full(capacity + 1, -np.inf)
+        price[there] = size[there] * np.exp(rate * (left[there] / counts[there] - top))
+        best, last = knapsack(price, capacity)
+        lower = max(lower, float(price[there] @ counts[there]) / best[capacity])  # by duality
+        least = (1 - slack) * best[capacity]
+        around = price[there] + best[capacity - there]
+        for k in np.argsort(-around, kind="stable"):
+            if around[k] < least:
+                break
+            config = sorted([int(there[k]), *filling(last, capacity - int(there[k]))], reverse=True)
+            lengths, times = np.unique(config, return_counts=True)
+            while (left[lengths] > 0).all() and price[lengths] @ times >= least:
+                if not budget:
+                    raise RuntimeError("the configuration LP did not cover all lengths within its steps")
+                budget -= 1
+                amount = min(max(step * float((counts[lengths] / times).min()), LEAST), float((left[lengths] / times).min()))
+                used[tuple(config)] += amount
+                left[lengths] -= amount * times
+                left[lengths[left[lengths] < 1e-9 * counts[lengths]]] = 0
+                price[lengths] = size[lengths] * np.exp(rate * (left[lengths] / counts[lengths] - top))
+    return used, lower
+
+
+def configuration_lp(counts: np.ndarray, capacity: int, gap: float = GAP):
+    """The covering of least value by rising rates of the weights, until one is within ``gap`` (or one sequence) of the lower bound."""
+    found, lower = None, 0.0
+    for rate in RATES:
+        used, bound = covering(counts, capacity, rate)
+        lower = max(lower, bound)
+        found = used if found is None or sum(used.values()) < sum(found.values()) else found
+        if sum(found.values()) <= max((1 + gap) * lower, lower + 1):
             break
-        price = np.full(capacity + 1, -1.0)
-        price[there] = np.exp(-rate * (covered[there] - covered.min())) / counts[there]
-        price[there & (covered >= 1)] *= 1e-3
-        config = knapsack(price, capacity)
-        lengths, times = np.unique(config, return_counts=True)
-        amount = step * float((counts[lengths] / times).min())
-        used[tuple(sorted(config.tolist(), reverse=True))] += amount
-        covered[lengths] += amount * times / counts[lengths]
-    return used
+    return found, lower
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
@@ -146,20 +184,38 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> dict[tuple[int, ..
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, number of sequences) that use every piece of the histogram exactly once."""
-    counts = counts.astype(np.int64)
-    alone = int(counts[capacity])
-    small = counts.copy()
-    small[capacity] = 0
-    plain = best_fit_decreasing(small, capacity)
-    rest, rounded = small.copy(), defaultdict(int)
-    for config, amount in sorted(configuration_lp(small, capacity).items(), key=lambda x: -x[1]):
+def rounded_lp(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Whole uses of the LP's configurations, and the histogram of what they leave over.
+
+    Uses are rounded down, the fullest configurations first; then up, by descending fraction,
+    where all pieces of one more use are left.
+    """
+    used = configuration_lp(counts, capacity)[0]
+    rest, rounded = counts.copy(), defaultdict(int)
+
+    def put(config: tuple[int, ...], most: int) -> None:
         lengths, times = np.unique(config, return_counts=True)
-        n = min(int(amount), int((rest[lengths] // times).min()))
+        n = min(most, int((rest[lengths] // times).min()))
         if n > 0:
             rounded[config] += n
             rest[lengths] -= n * times
+
+    whole = {config: int(amount + 1e-6) for config, amount in used.items()}
+    for config in sorted(used, key=lambda c: (-sum(c), -used[c])):
+        put(config, whole[config])
+    for config in sorted(used, key=lambda c: whole[c] - used[c]):
+        if used[config] - whole[config] > 1e-6:
+            put(config, 1)
+    return rounded, rest
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(configuration, number of sequences) that use every piece of the histogram exactly once."""
+    small = counts.astype(np.int64)
+    alone = int(small[capacity])
+    small[capacity] = 0
+    plain = best_fit_decreasing(small, capacity)
+    rounded, rest = rounded_lp(small, capacity)
     for config, n in best_fit_decreasing(rest, capacity).items():
         rounded[config] += n
     chosen = rounded if sum(rounded.values()) <= sum(plain.values()) else plain

@@ -237,6 +237,26 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(n for _, n in chosen) <= sum(packing.best_fit_decreasing(counts, 100).values())
 
 
+@pytest.mark.parametrize("capacity", [64, 512])
+def test_lp_covers_every_length(capacity):
+    """Also with every length over half the capacity, each of which needs configurations of its own."""
+    counts = np.random.default_rng(capacity).integers(200, 400, capacity + 1)
+    counts[[0, capacity]] = 0
+    used, lower = packing.configuration_lp(counts, capacity)[:2]
+    covered = np.zeros(capacity + 1)
+    for config, amount in used.items():
+        assert sum(config) <= capacity
+        np.add.at(covered, list(config), amount)
+    assert np.allclose(covered, counts)
+    lengths = np.arange(capacity + 1)
+    assert counts @ lengths / capacity <= lower * (1 + 1e-9) and lower <= sum(used.values()) <= 1.03 * lower
+    rounded, rest = packing.rounded_lp(counts, capacity)[:2]
+    assert rest.sum() < 0.1 * counts.sum()
+    for config, n in rounded.items():
+        np.add.at(rest, list(config), n)
+    assert (rest == counts).all()
+
+
 # 5: quality rules
 
 
