@@ -38,6 +38,7 @@ SLACK = 0.01  # of the best price that a step's configuration may lack
 LEAST = 0.25  # uses of a configuration that a step adds at least, where as much is left
 RATES = (2.0, 8.0)  # of the LP's weights, tried in turn until ...
 GAP = 0.01  # ... its value is within this, or within one sequence, of the lower bound
+TIGHT = (0.0, 0.95, 0.98, 0.99)  # least values of the configurations that are rounded
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -107,7 +108,7 @@ def filling(last: np.ndarray, room: int) -> list[int]:
 
 
 def covering(counts: np.ndarray, capacity: int, rate: float, step: float = STEP, slack: float = SLACK):
-    """Fractional use of configurations that covers every length exactly, and a lower bound of any such use.
+    """Fractional use of configurations that covers every length exactly, a lower bound of any such use, and its prices.
 
     Multiplicative weights on the covering rows, from weights in proportion to their tokens. A
     step adds a configuration as often as covers ``step`` of its scarcest length, or LEAST
@@ -116,7 +117,7 @@ def covering(counts: np.ndarray, capacity: int, rate: float, step: float = STEP,
     best configurations around each length, while they are worth (1 - slack) of the best one.
     """
     used: dict[tuple[int, ...], float] = defaultdict(float)
-    size, left, lower = np.arange(capacity + 1) / capacity, counts.astype(float), 0.0
+    size, left, lower, dual = np.arange(capacity + 1) / capacity, counts.astype(float), 0.0, np.zeros(capacity + 1)
     budget = int((counts > 0).sum() * (1 / step + 1)) + 1
     while (left > 0).any():
         there = np.flatnonzero(left > 0)
@@ -124,7 +125,9 @@ def covering(counts: np.ndarray, capacity: int, rate: float, step: float = STEP,
         price = np.full(capacity + 1, -np.inf)
         price[there] = size[there] * np.exp(rate * (left[there] / counts[there] - top))
         best, last = knapsack(price, capacity)
-        lower = max(lower, float(price[there] @ counts[there]) / best[capacity])  # by duality
+        bound = float(price[there] @ counts[there]) / best[capacity]  # by duality
+        if bound > lower:
+            lower, dual = bound, np.maximum(price, 0) / best[capacity]
         least = (1 - slack) * best[capacity]
         around = price[there] + best[capacity - there]
         for k in np.argsort(-around, kind="stable"):
@@ -141,19 +144,19 @@ def covering(counts: np.ndarray, capacity: int, rate: float, step: float = STEP,
                 left[lengths] -= amount * times
                 left[lengths[left[lengths] < 1e-9 * counts[lengths]]] = 0
                 price[lengths] = size[lengths] * np.exp(rate * (left[lengths] / counts[lengths] - top))
-    return used, lower
+    return used, lower, dual
 
 
 def configuration_lp(counts: np.ndarray, capacity: int, gap: float = GAP):
     """The covering of least value by rising rates of the weights, until one is within ``gap`` (or one sequence) of the lower bound."""
-    found, lower = None, 0.0
+    found, lower, dual = None, 0.0, np.zeros(capacity + 1)
     for rate in RATES:
-        used, bound = covering(counts, capacity, rate)
-        lower = max(lower, bound)
+        used, bound, prices = covering(counts, capacity, rate)
+        lower, dual = (bound, prices) if bound > lower else (lower, dual)
         found = used if found is None or sum(used.values()) < sum(found.values()) else found
         if sum(found.values()) <= max((1 + gap) * lower, lower + 1):
             break
-    return found, lower
+    return found, lower, dual
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
@@ -184,29 +187,45 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> dict[tuple[int, ..
     return out
 
 
-def rounded_lp(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+def rounded(counts: np.ndarray, used: dict[tuple[int, ...], float], value: dict[tuple[int, ...], float], up: bool):
     """Whole uses of the LP's configurations, and the histogram of what they leave over.
 
-    Uses are rounded down, the fullest configurations first; then up, by descending fraction,
-    where all pieces of one more use are left.
+    Uses are rounded down, the configurations of highest value first; then, with ``up``, up by
+    descending fraction, where all pieces of one more use are left.
     """
-    used = configuration_lp(counts, capacity)[0]
-    rest, rounded = counts.copy(), defaultdict(int)
+    rest, out = counts.copy(), defaultdict(int)
 
     def put(config: tuple[int, ...], most: int) -> None:
         lengths, times = np.unique(config, return_counts=True)
         n = min(most, int((rest[lengths] // times).min()))
         if n > 0:
-            rounded[config] += n
+            out[config] += n
             rest[lengths] -= n * times
 
     whole = {config: int(amount + 1e-6) for config, amount in used.items()}
-    for config in sorted(used, key=lambda c: (-sum(c), -used[c])):
+    for config in sorted(used, key=lambda c: (-value[c], -used[c])):
         put(config, whole[config])
     for config in sorted(used, key=lambda c: whole[c] - used[c]):
-        if used[config] - whole[config] > 1e-6:
+        if up and used[config] - whole[config] > 1e-6:
             put(config, 1)
-    return rounded, rest
+    return out, rest
+
+
+def rounded_lp(counts: np.ndarray, capacity: int):
+    """The LP rounded, the best fit of its leftover, and the leftover's histogram.
+
+    The last steps of the LP fill badly. So its configurations worth less than some share of a
+    sequence, at the prices of the lower bound, may be left to best fit. All shares in TIGHT are
+    tried, with rounding up and without, and the fewest sequences taken. Where lengths occur
+    about once each, rounding down may leave all to best fit.
+    """
+    used, _, dual = configuration_lp(counts, capacity)
+    value = {config: float(dual[list(config)].sum()) for config in used}
+    plans = []
+    for least, up in [*((t, True) for t in TIGHT), *((t, False) for t in TIGHT)]:
+        placed, rest = rounded(counts, {c: n for c, n in used.items() if value[c] >= least}, value, up)
+        plans.append((placed, best_fit_decreasing(rest, capacity), rest))
+    return min(plans, key=lambda p: sum(p[0].values()) + sum(p[1].values()))
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -214,11 +233,9 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     small = counts.astype(np.int64)
     alone = int(small[capacity])
     small[capacity] = 0
-    plain = best_fit_decreasing(small, capacity)
-    rounded, rest = rounded_lp(small, capacity)
-    for config, n in best_fit_decreasing(rest, capacity).items():
-        rounded[config] += n
-    chosen = rounded if sum(rounded.values()) <= sum(plain.values()) else plain
+    chosen, leftover, _ = rounded_lp(small, capacity)
+    for config, n in leftover.items():
+        chosen[config] += n
     return [*([((capacity,), alone)] if alone else []), *sorted(chosen.items(), reverse=True)]
 
 

@@ -250,11 +250,20 @@ def test_lp_covers_every_length(capacity):
     assert np.allclose(covered, counts)
     lengths = np.arange(capacity + 1)
     assert counts @ lengths / capacity <= lower * (1 + 1e-9) and lower <= sum(used.values()) <= 1.03 * lower
-    rounded, rest = packing.rounded_lp(counts, capacity)[:2]
-    assert rest.sum() < 0.1 * counts.sum()
-    for config, n in rounded.items():
-        np.add.at(rest, list(config), n)
-    assert (rest == counts).all()
+
+
+def test_plan_is_the_rounded_lp(monkeypatch):
+    """Best fit packs what the LP leaves, never the whole histogram, even where it would need fewer sequences."""
+    counts = np.random.default_rng(5).integers(0, 400, 65)
+    counts[0] = 0
+    seen, best_fit = [], packing.best_fit_decreasing
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda c, capacity: seen.append(c.sum()) or best_fit(c, capacity))
+    chosen = packing.plan(counts, 64)
+    assert max(seen) < counts[:64].sum() and min(seen) < 0.1 * counts.sum()
+    rest = counts.copy()
+    for config, n in chosen:
+        np.add.at(rest, list(config), -n)
+    assert not rest.any()
 
 
 # 5: quality rules
