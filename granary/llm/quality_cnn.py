@@ -211,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     net = fit([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
     held = [t for t, k in zip(texts, learn, strict=True) if not k]
     z = np.concatenate([logits(net, t, np.array([0, len(t)])) for t in held])
-    # Rows stand for their class's share among all labels, not in the sample.
-    rates = {r["y"]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
+    # Rows stand for their class's share among all labels outside the held-out fold, not in the sample.
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rates = {r["y"]: r["count"] for r in known.groupBy(F.col(label).cast("int").alias("y")).count().collect()}
     w = logistic(z[:, None], y[~learn])
     n1, n0 = y[~learn].sum(), (1 - y[~learn]).sum()
     shift = np.log(rates[1] / rates[0]) - np.log(n1 / n0)

@@ -434,6 +434,16 @@ def test_rollup_is_idempotent(spark):
 # 10: quality classifier
 
 
+def test_quality_ignores_held_out_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn.fit, "__defaults__", (5, 7))
+    docs = frame(spark, [("good words " if k % 2 else "$$$ ### ") * 5 for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    odd = labels.where(quality_cnn.held_out(F.col("doc_id"))).withColumn("quality", F.lit(1))
+    extra = odd.unionByName(spark.createDataFrame([(None, 1)] * 50, "doc_id long, quality int"))
+    clean = labels.where(~quality_cnn.held_out(F.col("doc_id")))
+    assert quality_cnn.train(docs, clean.unionByName(extra)).calibration == quality_cnn.train(docs, clean).calibration
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (1, 100, 300, 700)]
