@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shared import stored
+from granary.llm.shared import removed, stored
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lower.select("u", F.col("m").alias("v"))
         ).distinct()
-        edges = stored(small, label)
+        before, edges = edges, stored(small, label)
+        removed(before)
         # Done when the edges are stars: one edge a node, and no root has an edge of its own.
         several = edges.groupBy("u").count().where("count > 1")
         chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")

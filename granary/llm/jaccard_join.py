@@ -1,34 +1,40 @@
 """N-gram Jaccard self-join by signature trees, and its connected components.
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
-``threshold``. Documents with equal sets form a class and go on as one. Every class gets the
-``routes`` least of its scrambled shingle hashes. But for a chance of ``LOST``, a linked pair
-shares at least so many of these as ``sure_routes`` says (8 of 32 at 0.75, there without
-exception for unions of up to 96 shingles; small sets share at least the part of their shingles
-that the threshold asks for). So each class leaves out its most frequent routes, one fewer than
-that: the rarest route of those that a pair shares is among the rest of both, and passages
-common to many documents draw few classes. Each route that is left is a cell, and all links
-are to be found in the cells.
-
-1. *Contraction.* In every cell each class is compared with the cell's least class only, then
-   with two more where components are still apart. The links found already join most of each
-   family of copies, without emitting its pairs.
-2. *Signature trees.* Cells that still touch several components build a tree over their
-   classes: a leaf holds the bitmap of its shingles and its size, an inner node the OR of its
-   bitmaps and the range of its sizes and components. The tree is traversed against itself;
-   a pair of nodes is dropped when one component covers both, when no sizes in their ranges
-   fit each other, or when the largest possible overlap, from the bits in common and the
-   shingles that share a bit, is below what the threshold asks of the smallest sizes. Leaves
-   that survive are candidates. Cells with many classes are cut by size and key first.
-3. *Check.* Every candidate pair, of either step, is compared by its whole shingle sets.
+``threshold``. Documents with equal sets form a class and go on as one.
+
+1. *Suspects.* Every class gets the ``routes`` least of its scrambled shingle hashes. A linked
+   pair shares at least so many of these as ``sure_routes`` says (8 of 48 at 0.75; sets of up
+   to ten shingles share all that the threshold asks for), but for a chance of ``LOST`` a pair,
+   far below that of equal 64-bit hashes. Classes that share fewer routes with others are done.
+2. *Contraction.* The whole sets of the suspects are read once. Every suspect is compared with
+   the two classes that lead most of its routes, which joins most of each family of copies.
+   Suspects that share too few routes with other components are done.
+3. *Cells.* Of the rest, the scrambled prefix of each set is taken that shares ``extra``
+   shingles with every linked set: n - ceil(threshold * n) + extra of n. Each class leaves out
+   its ``extra`` - 1 most frequent ones, so the rarest shingle that a pair shares is among the
+   rest of both: this step is exact. Passages that many documents have in common go first, so
+   the cells, one per shingle, stay small. Cells with the same least class are put together
+   while they are within ``cell_rows`` classes and ``cell_bytes`` bytes; larger ones are taken
+   shingle by shingle, and a cell that is still larger is cut by size and key.
+4. *Signature trees.* A task has the whole sets of its cell. A leaf holds the bitmap of a
+   class's shingles and its size, an inner node the OR of its bitmaps and the range of its
+   sizes and components. The tree is traversed against itself; a pair of nodes is dropped when
+   one component covers both, when no sizes in their ranges fit each other, or when the largest
+   possible overlap, from the bits in common and the shingles that share a bit, is below what
+   the threshold asks of the smallest sizes. Leaves that survive are compared by their whole
+   sets if they are still apart, and the task keeps the components: it gives at most one link
+   for every class, a spanning forest, never the pairs of a family.
 
 Defined results for odd input:
 
 * null, empty or blank text: an empty set, linked with nothing, a component of its own.
 * fewer than five words: the whole sequence is one shingle.
-* null doc_id: the row takes the component of its class, null if the class has no id at all.
-* repeated rows and exact copies: one class; one output row per input row.
-* empty table: empty result. Other columns are ignored.
+* ids are whole numbers. Null doc_id: the row takes the component of its class, null if no
+  document in it has an id; such rows link other documents like any other row.
+* repeated rows and exact copies: one class; one output row per input row. Ties at the
+  threshold link.
+* empty table: empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +50,13 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.components import components
-from granary.llm.shared import broadcast_if_small, stored
+from granary.llm.shared import broadcast_if_small, dropped_rows, removed, row_key, same_row, stored
 
-ROUTES = 32
-LOST = 5e-10  # chance that a linked pair shares fewer routes than are counted on
+ROUTES = 48
+LOST = 1e-16  # chance that a linked pair shares fewer routes than are counted on
+EXTRA = 32  # shingles by which a prefix is longer than it must be, to leave out the frequent ones
 CELL = 4096  # classes of a cell that are put in one tree
-PIVOTS = 2  # classes of a cell that the second contraction compares the others with
+CELL_BYTES = 64 << 20  # bytes of their sets
 FANOUT = 16
 
 
@@ -59,9 +66,12 @@ def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield from hashing.shingle_sets(h, text_of, end - first, size)
 
 
-def class_id(shingles: np.ndarray) -> int | None:
-    """A 64-bit name of a shingle set; null for the empty set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())))) if len(shingles) else None
+def class_key(shingles: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """The 128-bit name of a shingle set, as two integers; nulls for the empty set."""
+    if not len(shingles):
+        return None, None
+    name = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(int(x) for x in np.array([name >> 64, name & (1 << 64) - 1], dtype=np.uint64).view(np.int64))
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -78,25 +88,24 @@ def fold(bits: np.ndarray, to: int) -> np.ndarray:
 
 
 def digest(docs: DataFrame, size: int, routes: int) -> DataFrame:
-    """(doc_id, sid, n, routes, bits) of every row; texts do not leave the scan's tasks."""
+    """(doc_id, row_key, h1, h2, n, routes) of every row; texts do not leave the scan's tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, n, least, bits = [], [], [], []
-            for s in sets_of(batch.column(1), size):
-                sid.append(class_id(s))
+            h1, h2, n, least = [], [], [], []
+            for s in sets_of(batch.column(2), size):
+                for column, x in zip((h1, h2), class_key(s), strict=True):
+                    column.append(x)
                 n.append(len(s))
                 r = hashing.mix(s)
                 r = np.partition(r, routes - 1)[:routes] if len(r) > routes else r
                 least.append(r.view(np.int64))
-                bits.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "sid", "n", "routes", "bits"],
-            )
+            columns = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "row_key", "h1", "h2", "n", "routes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, sid long, n long, routes array<long>, bits binary"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), row_key(text).alias("row_key"), text).mapInArrow(
+        run, "doc_id long, row_key long, h1 long, h2 long, n long, routes array<long>"
     )
 
 
@@ -250,36 +259,82 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def tree_candidates(cells: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """Candidate pairs (a, b) of all cells (cell, sid, n, comp, side, bits, earlier)."""
+def overlap(one: np.ndarray, other: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    if len(one) > len(other):
+        one, other = other, one
+    if not len(one):
+        return 0
+    at = np.searchsorted(other, one)
+    at[at == len(other)] = 0
+    return int((other[at] == one).sum())
+
+
+def reaches(one: np.ndarray, other: np.ndarray, threshold: float) -> bool:
+    both = overlap(one, other)
+    return both > 0 and 100 * both >= round(100 * threshold) * (len(one) + len(other) - both)
+
+
+def cell_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], earlier: pa.ListArray, threshold: float) -> list[tuple[int, int]]:
+    """Links (positions) that join the components of a cell: at most one for each class, whatever the number of linked pairs.
+
+    The first class of the largest component is compared with all others before the trees are built.
+    """
+    n = np.array([len(s) for s in sets])
+    label = np.unique(comp, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+
+    def judge(i: int, j: int) -> None:
+        if label[i] != label[j] and reaches(sets[i], sets[j], threshold):
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+
+    first = int(np.flatnonzero(label == np.bincount(label).argmax())[0])
+    t = round(100 * threshold)
+    for j in np.flatnonzero((100 * np.minimum(n, n[first]) >= t * np.maximum(n, n[first])) & (label != label[first])).tolist():
+        judge(first, j)
+    if (label != label[0]).any():
+        bits = [bitmap(s).tobytes() for s in sets]
+        for i, j in cell_candidates(np.arange(len(sets)), n, label.copy(), side, bits, earlier, threshold):
+            apart = label[i] != label[j]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                judge(x, y)
+    return out
+
+
+def tree_links(cells: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Links (a, b) of all cells (cell, sid, comp, side, earlier, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "cell"):
-            sid, n, comp, side = (t.column(c).to_numpy() for c in ("sid", "n", "comp", "side"))
-            earlier = t.column("earlier").combine_chunks()
-            for a, b in cell_candidates(sid, n, comp, side, t.column("bits").to_pylist(), earlier, threshold):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            sid, comp, side = (t.column(c).to_numpy() for c in ("sid", "comp", "side"))
+            shingles = t.column("shingles").combine_chunks()
+            sets = [np.frombuffer(shingles[k].as_buffer(), dtype=np.uint64) for k in range(len(sid))]
+            links = cell_links(comp, side, sets, t.column("earlier").combine_chunks(), threshold)
+            if links:
+                a, b = (sid[list(x)] for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = cells.select("cell", "sid", "comp", "side", "earlier", "shingles").repartition(parts, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL) -> DataFrame:
-    """Give rows (route, sid, n, comp) a ``cell``; routes with many classes are cut by size and key.
+def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Give rows (token, sid, n, comp, earlier) a ``cell``; tokens with too many classes are cut by size and key.
 
     A size step spans a third of the allowed ratio, so linked sizes are at most four steps
-    apart; within a step classes are dealt by key into parts of about ``cell_rows`` / 2. Each
-    class then goes to the cells of the pairs of parts that its size allows.
+    apart; within a step classes are dealt by key into parts of about half a cell. Each class
+    then goes to the cells of the pairs of parts that its size allows. All classes of such a
+    token have more than ``threshold`` of their shingles in common with as many others.
     """
     step = float(np.log(1 / threshold) / 3)
     sized = rows.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    parts = sized.groupBy("route", "step").agg(F.count("*").alias("rows")).groupBy("route").agg(
-        F.sum("rows").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("rows") * 2 / cell_rows).cast("int")))).alias("parts"),
+    per = sized.groupBy("token", "step").agg(F.greatest(F.count("*") / cell_rows, F.sum("n") * 8 / cell_bytes).alias("cells"))
+    parts = per.groupBy("token").agg(
+        F.sum("cells").alias("total"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("cells") * 2).cast("int")))).alias("parts")
     )
-    joined = sized.join(parts, "route")
-    whole = joined.where(F.col("total") <= cell_rows).withColumns({"cell": F.xxhash64("route"), "side": F.lit(0)})
+    joined = sized.join(parts, "token")
+    whole = joined.where("total <= 1").withColumns({"cell": F.xxhash64("token"), "side": F.lit(0)})
     own = F.pmod(F.xxhash64("sid"), F.col("parts")[F.col("step")]).cast("int")
     near = F.flatten(F.transform(
         F.sequence(F.col("step") - 4, F.col("step") + 4),
@@ -288,35 +343,40 @@ def cut_cells(rows: DataFrame, threshold: float, cell_rows: int = CELL) -> DataF
         )).otherwise(F.array().cast("array<struct<s:int,p:int>>")),
     ))
     mine = F.struct(F.col("step").alias("s"), F.col("own").alias("p"))
-    large = joined.where(F.col("total") > cell_rows).withColumn("own", own).withColumn("other", F.explode(near)).withColumn(
-        "cell", F.xxhash64("route", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
+    large = joined.where("total > 1").withColumn("own", own).withColumn("other", F.explode(near)).withColumn(
+        "cell", F.xxhash64("token", F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))
     ).withColumn("side", F.when(mine > F.col("other"), 1).otherwise(0))
-    keep = ["cell", "route", "sid", "n", "comp", "side"]
+    keep = ["cell", "sid", "comp", "side", "earlier"]
     return whole.select(keep).unionByName(large.select(keep))
 
 
-def shingle_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sid, shingles) of the wanted classes (sid, rep).
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(sid, n, shingles) of the wanted classes (sid, doc_id, row_key): the texts of one row a class are read again.
 
-    The few ids that are wanted are broadcast while they are small, so only the texts that are
-    compared move; beyond that it is a sorted semi join.
+    The keys of these rows are broadcast while they are small; beyond that it is a sorted join.
+    A row that is repeated gives its set once a task.
     """
-    ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sid, raw, used = [], [], 0
-            for k, s in enumerate(sets_of(batch.column(0), size)):
-                sid.append(class_id(s))
-                raw.append(s.tobytes())
-                used += s.nbytes
+            ids = batch.column(0).to_pylist()
+            for k, s in enumerate(sets_of(batch.column(1), size)):
+                if ids[k] not in seen:
+                    seen.add(ids[k])
+                    sid.append(ids[k])
+                    raw.append(s.tobytes())
+                    used += s.nbytes
                 if used > 4 << 20 or k == batch.num_rows - 1:  # a batch of sets is larger than its texts
-                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(raw, pa.binary())], ["sid", "shingles"])
+                    n = [len(x) // 8 for x in raw]
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["sid", "n", "shingles"])
                     sid, raw, used = [], [], 0
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    held = rows.join(broadcast_if_small(ids, 64), "doc_id", "left_semi")
-    return held.select("text").mapInArrow(run, "sid long, shingles binary").where("sid is not null")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("row_key"), text.alias("text")).alias("r")
+    reps = broadcast_if_small(wanted, 48).alias("w")
+    return rows.join(reps, same_row("r", "w")).select("sid", "text").mapInArrow(run, "sid long, n long, shingles binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
@@ -335,132 +395,157 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> D
         for batch in batches:
             a_out, b_out = [], []
             columns = [batch.column(c).to_pylist() for c in ("sid", "a", "salt", "ord")]
-            sets = batch.column("shingles")
+            shingles = batch.column("shingles")
             for k, (sid, a, salt, order) in enumerate(zip(*columns, strict=True)):
-                s = np.frombuffer(sets[k].as_buffer(), dtype=np.uint64)
+                s = np.frombuffer(shingles[k].as_buffer(), dtype=np.uint64)
                 if order == 0:
                     head, mine = (a, salt), s.copy()
-                elif head == (a, salt) and len(s) and len(mine):
-                    at = np.searchsorted(mine, s)
-                    at[at == len(mine)] = 0
-                    both = int((mine[at] == s).sum())
-                    if 100 * both >= round(100 * threshold) * (len(s) + len(mine) - both):
-                        a_out.append(a)
-                        b_out.append(sid)
+                elif head == (a, salt) and reaches(mine, s, threshold):
+                    a_out.append(a)
+                    b_out.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return rows.select("sid", "a", "salt", "ord", "shingles").mapInArrow(run, "a long, b long")
 
 
-def allowed(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps of both classes allow."""
+def prefix(shingles: np.ndarray, threshold: float, extra: int) -> tuple[np.ndarray, int]:
+    """The scrambled prefix of a set, and how many of it every linked set's prefix shares at least."""
+    n = len(shingles)
+    ask = -(-round(100 * threshold) * n // 100)
+    sure = min(extra, ask)
+    k = n - ask + sure
+    r = hashing.mix(shingles)
+    return (np.partition(r, k - 1)[:k] if k < n else r), sure
+
+
+def prefixes(sets: DataFrame, threshold: float, extra: int) -> DataFrame:
+    """(sid, n, comp, sure, tokens) of sets (sid, n, comp, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            ask = np.maximum(needed(n, m, threshold), 1)
-            keep = np.zeros(len(n), dtype=bool)
-            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
-                to = min(x.shape[1], y.shape[1])
-                x, y = fold(x, to), fold(y, to)
-                spare = min(n[k] - int(np.bitwise_count(x).sum()), m[k] - int(np.bitwise_count(y).sum()))
-                keep[k] = int(np.bitwise_count(x & y).sum()) + spare >= ask[k]
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    one = classes.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x"))
-    other = classes.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def checked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: float, size: int, parts: int) -> DataFrame:
-    """The pairs whose documents, read again, reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    return linked(pairs, shingle_rows(docs, wanted.join(reps, "sid"), size), threshold, parts)
-
-
-def _star_links(docs: DataFrame, stars: DataFrame, classes: DataFrame, threshold: float, size: int, parts: int) -> DataFrame:
-    """The links among candidate pairs (a, b): sizes and bitmaps first, then the whole sets."""
-    possible = allowed(stars.distinct(), classes, threshold)
-    return stored(checked(docs, possible, classes.select("sid", "rep"), threshold, size, parts), "links")
-
-
-def _open_cells(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(route, sid, n, comp) of the cells that touch several components of the links so far."""
-    labelled = met.select("route", "sid", "n").join(components(links), F.col("sid") == F.col("node"), "left").withColumn(
-        "comp", F.coalesce("root", "sid")
-    ).select("route", "sid", "n", "comp")
-    open_cells = labelled.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route")
-    return stored(labelled.join(open_cells, "route"), "open")
-
-
-def jaccard_components(
-    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL
+            found = [prefix(np.frombuffer(x.as_buffer(), dtype=np.uint64), threshold, extra) for x in batch.column(3)]
+            tokens = pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([k for _, k in found], pa.int64()), tokens], ["sid", "n", "comp", "sure", "tokens"]
+            )
+
+    return sets.select("sid", "n", "comp", "shingles").mapInArrow(run, "sid long, n long, comp long, sure long, tokens array<long>")
+
+
+def suspects(classes: DataFrame, routes: int, threshold: float) -> DataFrame:
+    """(sid, n, needs, routes, least, other) of classes that share enough routes with others, and the two that lead most of them."""
+    routed = classes.select("sid", "n", F.explode("routes").alias("route"))
+    shared = stored(
+        routed.groupBy("route").agg(F.count("*").alias("met"), F.min("sid").alias("least"), F.min_by("sid", F.xxhash64("sid")).alias("other"))
+        .where("met > 1").drop("met"), "shared",
+    )
+    needs = F.least(F.lit(sure_routes(routes, threshold)), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
+    found = stored(
+        routed.join(shared, "route").groupBy("sid", "n").agg(
+            F.collect_list("route").alias("routes"), F.mode("least").alias("least"), F.mode("other").alias("other")
+        ).withColumn("needs", needs).where(F.size("routes") >= F.col("needs")), "suspects",
+    )
+    removed(shared)
+    return found
+
+
+def with_components(met: DataFrame, links: DataFrame) -> DataFrame:
+    return met.join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
+
+
+def still_apart(met: DataFrame) -> DataFrame:
+    """(sid, comp) of suspects that share enough routes with classes of other components."""
+    routed = met.select("sid", "comp", "needs", F.explode("routes").alias("route"))
+    apart = stored(routed.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route"), "open-routes")
+    found = routed.join(apart, "route").groupBy("sid", "comp", "needs").agg(F.count("*").alias("met"))
+    return stored(found.where("met >= needs").select("sid", "comp"), "apart")
+
+
+def cells_of(tokens: DataFrame, threshold: float, cell_rows: int, cell_bytes: int) -> DataFrame:
+    """(cell, sid, comp, side, earlier) from prefixes: every linked pair of different components meets in some cell."""
+    each = tokens.select("sid", "n", "comp", "sure", F.explode("tokens").alias("token"))
+    shared = stored(
+        each.groupBy("token").agg(F.count("*").alias("classes"), F.min("sid").alias("home"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        .where("x < y").select("token", "classes", "home"), "open-tokens",
+    )
+    kept = stored(
+        each.join(shared, "token").groupBy("sid", "n", "comp", "sure").agg(
+            F.sort_array(F.collect_list(F.struct("classes", "token", "home")), asc=False).alias("cells")
+        ).where(F.size("cells") >= F.col("sure")).withColumn("cells", F.slice("cells", F.col("sure").cast("int"), F.size("cells"))), "kept",
+    )
+    homes = kept.select("sid", "n", "comp", F.explode(F.array_distinct("cells.home")).alias("home"))
+    size = stored(
+        homes.groupBy("home").agg(
+            F.count("*").alias("classes"), (8 * F.sum("n")).alias("bytes"), F.min("comp").alias("x"), F.max("comp").alias("y")
+        ).where("x < y").select("home", ((F.col("classes") > cell_rows) | (F.col("bytes") > cell_bytes)).alias("large")), "homes",
+    )
+    small = homes.join(size.where("not large"), "home").select(
+        F.xxhash64(F.lit(0), "home").alias("cell"), "sid", "comp", F.lit(0).alias("side"), F.array().cast("array<long>").alias("earlier")
+    )
+    large = kept.select("sid", "n", "comp", "cells.token", F.inline("cells")).toDF("sid", "n", "comp", "tokens", "classes", "token", "home")
+    large = large.join(size.where("large"), "home").select(
+        "token", "sid", "n", "comp", F.filter("tokens", lambda x: x < F.col("token")).alias("earlier")
+    )
+    return small.unionByName(cut_cells(large, threshold, cell_rows, cell_bytes))
+
+
+def components_of_rows(
+    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL, cell_bytes: int = CELL_BYTES,
+    extra: int = EXTRA,
 ) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(doc_id, row_key, n_shingles, class_id, component_id, first) of every row; ``first`` names the row of each component that goes before all others."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(digest(docs, size, routes), "digest")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     classes = stored(
-        rows.where("sid is not null").groupBy("sid").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("routes").alias("routes"), F.first("bits").alias("bits")
-        ).where("rep is not null"),
-        "classes",
-    )
-    routed = classes.select("sid", "n", F.explode("routes").alias("route"))
-    shared = routed.groupBy("route").agg(
-        F.count("*").alias("classes"), F.min("sid").alias("least"), F.min_by("n", "sid").alias("m")
-    ).where("classes > 1")
-    fewest = F.least(F.lit(sure_routes(routes, threshold)), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
-    kept = stored(
-        routed.join(shared, "route").groupBy("sid", "n").agg(
-            F.sort_array(F.collect_list(F.struct("classes", "route", "least", "m")), asc=False).alias("cells")
-        ).withColumn("cells", F.slice("cells", F.greatest(fewest, F.lit(1)), F.size("cells"))),
-        "kept",
+        rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("routes").alias("routes"))
+        .withColumn("sid", F.monotonically_increasing_id()), "classes",
     )
-    met = kept.select("sid", "n", F.inline("cells"))
-
-    # Contraction: each class against the least class of its cells, then, where a cell still
-    # touches several components, against classes chosen by salted hashes.
-    fits = (100 * F.least("n", "m") >= round(100 * threshold) * F.greatest("n", "m")) & (F.col("sid") != F.col("least"))
-    stars = met.where(fits).select(F.col("least").alias("a"), F.col("sid").alias("b"))
-    reps = classes.select("sid", "rep")
-    first = _star_links(docs, stars, classes, threshold, size, parts)
-    labelled = _open_cells(met, first)
-    chosen = labelled.groupBy("route").agg(*[
-        F.min_by(F.struct(F.col("sid").alias("least"), F.col("n").alias("m"), F.col("comp").alias("other")), F.xxhash64("sid", F.lit(salt))).alias(f"p{salt}")
-        for salt in range(PIVOTS)
-    ]).select("route", F.explode(F.array_distinct(F.array(*[f"p{salt}" for salt in range(PIVOTS)]))).alias("p")).select("route", "p.*")
-    stars = labelled.join(chosen, "route").where(fits & (F.col("comp") != F.col("other"))).select(
-        F.least("least", "sid").alias("a"), F.greatest("least", "sid").alias("b")
+    met = suspects(classes, routes, threshold)
+    wanted = stored(met.select("sid").join(classes.select("sid", "head.doc_id", "head.row_key"), "sid"), "wanted")
+    sets = stored(shingle_sets(docs, wanted, size), "sets")
+    stars = met.select(F.explode(F.array_distinct(F.array("least", "other"))).alias("a"), F.col("sid").alias("b")).where("a <> b")
+    links = stored(linked(stars, sets, threshold, parts), "links")
+
+    joined = stored(with_components(met, links), "joined")
+    apart = still_apart(joined)
+    done = [met, wanted, sets, joined, apart, links]
+    if not apart.isEmpty():
+        tokens = stored(prefixes(sets.join(apart, "sid"), threshold, extra), "prefixes")
+        cells = cells_of(tokens, threshold, cell_rows, cell_bytes).join(sets, "sid")
+        more = stored(tree_links(cells, threshold, parts), "tree-links")
+        links = links.unionByName(more)
+        done += [tokens, more]
+    named = classes.select("sid", "h1", "h2", "head").join(components(links), F.col("sid") == F.col("node"), "left").withColumn(
+        "root", F.coalesce("root", "sid")
     )
-    first = stored(first.unionByName(_star_links(docs, stars, classes, threshold, size, parts)), "links")
-
-    # Trees: cells that still touch several components.
-    labelled = _open_cells(met, first)
-    cells = cut_cells(labelled, threshold, cell_rows).join(
-        classes.select("sid", "bits").join(kept.select("sid", "cells"), "sid"), "sid"
-    ).withColumn("earlier", F.filter(F.col("cells.route"), lambda r: r < F.col("route"))).drop("cells", "route")
-    more = stored(tree_candidates(cells, threshold, parts), "candidates")
-    second = checked(docs, more, reps, threshold, size, parts)
-    final = components(stored(first.unionByName(second), "all-links"))
-
-    named = reps.join(final, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(least, "root").select("sid", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left").select(
-        "doc_id", "n_shingles", F.col("sid").alias("class_id"),
-        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    least = named.groupBy("root").agg(F.min("head").alias("first"))
+    by_class = stored(named.join(least, "root").select("h1", "h2", "sid", "first"), "by-class")
+    removed(*done, classes)
+    out = rows.select("doc_id", "row_key", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
+    return out.select(
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("sid").alias("class_id"),
+        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "first",
     )
 
 
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row of ``docs`` (doc_id, text)."""
+    return components_of_rows(docs, **options).drop("row_key", "first")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that are not the least doc_id of their component."""
-    found = jaccard_components(docs, **options)
-    lost = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
-    return docs.join(broadcast_if_small(lost, 32), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of every component: the one of least doc_id, rows without an id last.
+
+    Rows that agree in doc_id and text count as repeated; one of them stays. Rows without words
+    are in no group and all stay.
+    """
+    found = components_of_rows(docs.select("doc_id", "text"), **options).where("first is not null")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    rows = found.withColumn("is_first", is_first).groupBy("doc_id", "row_key").agg(F.min("is_first").alias("is_first"), F.count("*").alias("times"))
+    rows = stored(rows.where("not is_first or times > 1"), "not-first")
+    return dropped_rows(docs, rows.where("not is_first"), rows.where("is_first"))
