@@ -11,6 +11,7 @@ import pyarrow as pa
 SEGMENT = 1 << 20  # bytes hashed at once; bounds the memory that one long text needs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +53,23 @@ SPACED = table(lambda b: b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
 LETTERS = table(lambda b: b >= 128 or chr(b).isalnum())
 
 
+def _long_word(buf: np.ndarray, at: int, text_end: int, codes: np.ndarray, values: np.ndarray, prefixes: tuple[int, ...]) -> tuple:
+    """End and hashes of the word at ``at``, longer than a segment: segment by segment, so memory stays bounded."""
+    power = _powers(SEGMENT)[0]
+    raw, shift, k, ended = 0, 1, at, False
+    first = values[codes[buf[at : at + max(prefixes, default=0)]]]
+    while k < text_end and not ended:
+        b = codes[buf[k : min(text_end, k + SEGMENT)]]
+        back = np.flatnonzero(b == 0)
+        if len(back):
+            b, ended = b[: back[0]], True
+        raw += shift * int((values[b] * power[: len(b)]).sum())
+        shift = shift * pow(int(_STEP), len(b), 1 << 64) & _ALL
+        k += len(b)
+    sums = [(raw, k - at), *((int((first[:p] * power[:p]).sum()), p) for p in prefixes)]
+    return k, *(mix(np.array([(total + n * int(_STEP)) & _ALL], dtype=np.uint64)) for total, n in sums)
+
+
 def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(hash, text number, start position) of every word; bounds are text offsets, one more than the texts.
 
@@ -75,13 +93,11 @@ def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray, prefixes: tupl
             cuts += [int(next_text[-1])] if len(next_text) else []
             if cuts:
                 stop = max(cuts)
-            else:  # a word longer than a segment: go on to its end
-                text_end = int(bounds[np.searchsorted(bounds, stop)])
-                while stop < text_end:
-                    back = np.flatnonzero(codes[buf[stop : min(text_end, stop + SEGMENT)]] == 0)
-                    stop = stop + int(back[0]) if len(back) else min(text_end, stop + SEGMENT)
-                    if len(back):
-                        break
+            else:
+                stop, *hashes = _long_word(buf, at, int(bounds[np.searchsorted(bounds, stop)]), codes, values, prefixes)
+                found.append((np.array([at]), *hashes))
+                at = stop
+                continue
         b = codes[buf[at:stop]]
         word = b != 0
         first = np.zeros(stop - at + 1, dtype=bool)
