@@ -8,7 +8,9 @@ convolution a sum of table look-ups; blocks are bounded pieces of work, whatever
 the text, and cover it from its first byte to its last.
 
 Training draws a bounded, hash-chosen sample of labelled rows outside the held-out fold (at
-most ``MOST`` a class and ``MOST_BYTES`` in all, taken as whole texts) and runs a fixed number
+most about ``MOST`` a class and ``MOST_BYTES`` in all, taken as whole texts; texts over a
+sixteenth of that are scored but not learned from; sizes are tested before a text leaves the
+executors) and runs a fixed number
 of Adam steps on balanced batches; a final logistic regression on rows the filters have not
 seen turns the network's answer into a probability at the classes' true rates.
 
@@ -16,8 +18,9 @@ Defined results for odd input:
 
 * null text is an empty text; an empty text is one chunk of padding and gets its score.
 * no labels of a class: nothing can be learned, every score is 1 and every row is kept.
-* null doc_id: scored like any other row, not held out. Repeated rows: one result each.
-* empty table: empty result. Other columns are ignored.
+* null doc_id: scored like any other row, not held out. Repeated rows and ties: one result
+  each, the same for equal texts.
+* empty table: empty result. Other columns are kept; one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
@@ -76,7 +79,8 @@ class Model:
 def laid_out(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each filled up to whole blocks; and the first block of each.
 
-    At least WIDTH zero bytes follow every text, so no window reaches into the next one.
+    At least WIDTH zero bytes follow every text inside its own blocks. The windows of its last
+    block that would reach into the next text hold nothing of it, and are left out (``apart``).
     """
     size = np.diff(bounds)
     blocks = (size + WIDTH + BLOCK - 1) // BLOCK
@@ -98,11 +102,23 @@ def answers(net: Net, text: np.ndarray, blocks: int, at: int = 0) -> np.ndarray:
     return total.reshape(blocks, -1, FILTERS)
 
 
-def block_peaks(net: Net, text: np.ndarray, blocks: int, step: int = 1024) -> np.ndarray:
+def apart(acts: np.ndarray, first: np.ndarray, at: int = 0) -> np.ndarray:
+    """Answers of the blocks from ``at`` on, without windows that begin in a text's last block and end in the next text.
+
+    They begin after the text. A window of zero bytes alone is always left in that block.
+    """
+    last = first[1:] - 1 - at
+    acts[last[(last >= 0) & (last < len(acts))], 1 - WIDTH // STRIDE :] = -np.inf
+    return acts
+
+
+def block_peaks(net: Net, text: np.ndarray, blocks: int, step: int = 1024, first: np.ndarray | None = None) -> np.ndarray:
+    """Largest answers of every block; ``first`` names the texts' first blocks where there are several texts."""
+    first = np.array([0, blocks]) if first is None else first
     out = np.empty((blocks, FILTERS), dtype=np.float32)
     for at in range(0, blocks, step):
         n = min(step, blocks - at)
-        out[at : at + n] = answers(net, text, n, at).max(axis=1)
+        out[at : at + n] = apart(answers(net, text, n, at), first, at).max(axis=1)
     return out
 
 
@@ -125,11 +141,18 @@ def pooled(chunks: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def logits(net: Net, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One number a text. Sums run in a fixed order, so it is the same whatever other texts are in the batch."""
     if len(bounds) < 2:
         return np.zeros(0)
     text, first = laid_out(buf, bounds)
-    x = pooled(*chunk_peaks(block_peaks(net, text, int(first[-1])), first))
-    return np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2[0]
+    x = pooled(*chunk_peaks(block_peaks(net, text, int(first[-1]), first=first), first)).astype(np.float64)
+    hidden = np.tile(net.b1.astype(np.float64), (len(x), 1))
+    for k in range(x.shape[1]):
+        hidden += x[:, k, None] * net.w1[k]
+    z = np.full(len(x), float(net.b2[0]))
+    for k in range(HIDDEN):
+        z += np.maximum(hidden[:, k], 0) * net.w2[k]
+    return z
 
 
 def _batch_step(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
@@ -137,7 +160,7 @@ def _batch_step(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.nda
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     text, first = laid_out(np.concatenate(texts), bounds)
     n_blocks = int(first[-1])
-    acts = answers(net, text, n_blocks)
+    acts = apart(answers(net, text, n_blocks), first)
     won = acts.argmax(axis=1)  # (blocks, FILTERS)
     peaks = np.take_along_axis(acts, won[:, None], axis=1)[:, 0]
     chunks, at = chunk_peaks(peaks, first)
@@ -191,14 +214,12 @@ def fit(texts: list[np.ndarray], y: np.ndarray, steps: int = STEPS, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST, most_bytes: int = MOST_BYTES) -> Model:
-    sample = training_rows(docs, labels, label, most).orderBy(F.xxhash64("doc_id"), "doc_id").select(
-        F.coalesce("text", F.lit("")).alias("text"), "y", "part", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), "doc_id"
-    )
-    texts, y, part, used = [], [], [], 0
-    for row in sample.toLocalIterator():  # at most ``most`` rows a class, ``most_bytes`` in all
-        if used + row["size"] > most_bytes:
-            continue
-        used += row["size"]
+    sample = training_rows(docs, labels, label, most).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))))
+    order = ["at", "doc_id", "y", "size"]
+    sized = sample.where(F.col("size") <= most_bytes // 16).withColumn("at", F.xxhash64("doc_id"))
+    fits = sized.withColumn("used", F.sum("size").over(Window.orderBy(*order))).where(F.col("used") <= most_bytes)
+    texts, y, part = [], [], []
+    for row in fits.orderBy(*order).select(F.coalesce("text", F.lit("")).alias("text"), "y", "part").collect():
         texts.append(np.frombuffer(row["text"].encode(), dtype=np.uint8))
         y.append(row["y"])
         part.append(row["part"])
