@@ -12,8 +12,9 @@ Defined results for odd input:
 
 * null or empty text: a piece with the end token alone.
 * texts over the capacity: cut, the first piece takes the remainder, all others are full.
-* repeated rows and exact copies: each row is packed; null ids are carried along.
-* empty table: empty result. Other columns are ignored.
+* repeated rows and exact copies: each row is packed; null ids are carried along. Ids are whole
+  numbers. Ties, pieces of one length, go to sequences in any order.
+* empty table: empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +49,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = tokens.RANKS, with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document (doc_id, text), with the ids themselves if asked for."""
+def pieces_of(
+    docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = tokens.RANKS, with_ids: bool = False, special: bool = False
+) -> DataFrame:
+    """One row per piece of every document (doc_id, text), with the ids themselves if asked for.
+
+    With ``special``, strings of special tokens in a text are these tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +63,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = token
             texts = batch.column(1)
             out: list[list] = [[] for _ in range(6)]
             for k, doc_id in enumerate(ids_of):
-                ids = np.array([*tokens.encode(texts[k].as_py(), ranks_path), END], dtype="<u4")
+                ids = np.array([*tokens.encode(texts[k].as_py(), ranks_path, special), END], dtype="<u4")
                 for p, (start, length) in enumerate(cut(len(ids), capacity)):
                     piece = ids[start : start + length]
                     row = (doc_id, p, start, length, zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None)
@@ -256,24 +262,28 @@ def places(chosen: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def numbered(pieces: DataFrame, total: int, group_rows: int = 4000) -> DataFrame:
     """Add ``number``, from 0 without gaps within each length.
 
-    A length may hold a third of all pieces, so it is dealt into groups by key hash; groups are
-    numbered apart and shifted by the running count of the groups before them.
+    A length, or one repeated row, may hold a third of all pieces, so pieces are dealt into
+    groups by the number ``_deal`` that they were stored with; groups are numbered apart and
+    shifted by the running count of the groups before them.
     """
     groups = max(1, total // group_rows)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_deal"), F.lit(groups)))
     before = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n")).withColumn(
         "_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")
     ).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32"))
+    inside = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32", "_deal"))
     return dealt.withColumn("_inside", inside).join(before, ["length", "_group"]).withColumn(
         "number", F.col("_before") + F.col("_inside") - 1
-    ).drop("_group", "_before", "_inside")
+    ).drop("_group", "_before", "_inside", "_deal")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = tokens.RANKS, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = tokens.RANKS, with_ids: bool = False, special: bool = False
+) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    pieces = stored(pieces_of(docs, capacity, ranks_path, with_ids), "pieces")
+    pieces = pieces_of(docs, capacity, ranks_path, with_ids, special)
+    pieces = stored(pieces.withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
@@ -300,4 +310,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str = tokens.RAN
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Ids are those of the tokenizer with its default settings, which know special tokens in texts."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), special=True)
