@@ -1,22 +1,27 @@
 """Secret scans over an incremental ledger of content-addressed blobs, DataFrame functions only.
 
 A history of texts (path, version, text) is reduced to blobs by SHA-256. The ledger records
-which rules, by rule version, have seen which blob, and what they found. A scan runs only the
-unseen (blob, rule version) pairs, adds them to the ledger and joins the findings back to every
-path and version that holds the blob. Running the same scan again adds nothing; a new rule is
-run over all blobs while the old rules are not.
+which rules, by rule version, have seen which blob, and what each version found. A scan runs
+only the unseen (blob, rule version) pairs, adds them to the ledger and joins the findings of
+the asked rule versions back to every path and version that holds the blob. Running the same
+scan again adds nothing; a new rule, or one whose pattern changed, is run over all blobs while
+the others are not, and findings of a version that is no longer asked for are left out.
 
 Defined results for odd input:
 
 * null text is an empty text: no findings.
 * null path: kept, and matched null-safely.
 * exact copies and repeated rows: one blob, scanned once, reported for every input row.
+* ties: spans that start together stand in the order of the rules.
 * empty table: empty result. Very long texts are scanned whole.
-* Other columns of the input are carried along; columns named like an output are replaced.
+* ``scan`` returns the path columns, ``blob_id`` and ``spans``; path columns may not have these
+  two names. Other columns of the input are left out. ``redacted`` returns all columns of its
+  input, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from dataclasses import dataclass
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import broadcast_if_small, exists, new_folder, stored
+from granary.llm.shared import broadcast_if_small, exists, new_folder, removed, stored
 
 
 @dataclass(frozen=True)
@@ -61,10 +66,16 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-SPAN = "struct<start:int,ord:int,kind:string,end:int>"
+SPAN = "struct<start:int,kind:string,end:int,rule_version:string>"  # as the ledger keeps it
+FOUND = "struct<start:int,ord:int,kind:string,end:int>"  # as a scan returns it
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
+def may_match(text: Column, rule: Rule) -> Column:
+    found = text.rlike(rule.pattern)
+    return F.contains(text, F.lit(rule.hint)) & found if rule.hint else found
+
+
+def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of a rule in code points: the lengths of the gaps and of the matches, added up."""
     none = F.array().cast(f"array<{SPAN}>")
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -80,16 +91,13 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         lambda a, p: F.struct(
             (a["at"] + p["gap"] + p["len"]).alias("at"),
             F.when(p["judged"] >= rule.min_len, F.concat(a["out"], F.array(F.struct(
-                (a["at"] + p["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"),
-                (a["at"] + p["gap"] + p["len"]).alias("end"),
+                (a["at"] + p["gap"]).alias("start"), F.lit(rule.kind).alias("kind"), (a["at"] + p["gap"] + p["len"]).alias("end"),
+                F.lit(rule.version).alias("rule_version"),
             )))).otherwise(a["out"]).alias("out"),
         ),
         lambda a: a["out"],
     )
-    may = text.rlike(rule.pattern)
-    if rule.hint:
-        may = F.contains(text, F.lit(rule.hint)) & may
-    return F.when(may, placed).otherwise(none)
+    return F.when(may_match(text, rule), placed).otherwise(none)
 
 
 def spans_string(spans: Column) -> Column:
@@ -107,53 +115,58 @@ def scan(
 
     ``ledger`` is a folder that all executors see. It holds ``paths/`` (which blob every path
     and version had) and ``scans/`` (per blob: the rule versions run and the spans found), one
-    sub-folder a call. Only keys are grouped; the text of one owner row a blob then moves once,
-    by an equi join on distinct keys, so a blob with many copies is no hot spot. When few blobs
-    are unseen, adaptive execution broadcasts their keys and no text moves at all.
+    sub-folder a call.
+
+    Only keys are grouped and joined. Where the keys of unseen blobs are few, they are
+    broadcast and their texts are scanned where they lie. Where they are many, as on a first
+    load, every text is tested in place for a match of any rule; only those with one, few,
+    are then moved to one owner row a blob, so copies are no hot spot and no corpus is shuffled.
     """
+    if {"blob_id", "spans"} & set(path_cols):
+        raise ValueError("path columns may not be named blob_id or spans")
     spark = history.sparkSession
     batch = uuid.uuid4().hex
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = [r.version for r in rules]
-    keyed = history.select(*path_cols, F.unhex(F.sha2(text, 256)).alias("blob_id"), text.alias("_text"))
-    owner = F.struct(*path_cols)
-
-    held = keyed.select(owner.alias("_owner"), "blob_id")
-    todo = held.groupBy("blob_id").agg(F.min("_owner").alias("_first"))
-    wanted = F.array(*map(F.lit, versions))
+    known = {r.version: k for k, r in enumerate(rules)}
+    wanted = F.array(*map(F.lit, known))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = history.select(F.struct(*path_cols).alias("owner"), F.unhex(F.sha2(text, 256)).alias("blob_id"), text.alias("text"))
+    keyed.select("owner.*", "blob_id").write.parquet(f"{ledger}/paths/{batch}")
+    held = spark.read.parquet(f"{ledger}/paths/{batch}")
+
+    todo = held.groupBy("blob_id").agg(F.min(F.struct(*path_cols)).alias("owner"))
     if exists(spark, f"{ledger}/scans"):
         done = spark.read.parquet(f"{ledger}/scans/*").groupBy("blob_id").agg(
-            F.array_distinct(F.flatten(F.collect_list("rule_versions"))).alias("_done")
+            F.array_distinct(F.flatten(F.collect_list("rule_versions"))).alias("done")
         )
-        todo = todo.join(done, "blob_id", "left").withColumn(
-            "_todo", F.array_except(wanted, F.coalesce(F.col("_done"), F.array().cast("array<string>")))
-        ).where(F.size("_todo") > 0).drop("_done")
+        unseen = F.array_except(wanted, F.coalesce(F.col("done"), F.array().cast("array<string>")))
+        todo = todo.join(done, "blob_id", "left").withColumn("todo", unseen).where(F.size("todo") > 0).drop("done")
     else:
-        todo = todo.withColumn("_todo", wanted)
-
-    keyed.drop("_text").write.parquet(f"{ledger}/paths/{batch}")
-    texts = keyed.select(owner.alias("_owner"), F.col("blob_id").alias("_blob"), "_text")
-    unseen = texts.join(todo, (F.col("_blob") == F.col("blob_id")) & F.col("_owner").eqNullSafe(F.col("_first")))
-    found = [
-        F.when(F.array_contains("_todo", r.version), spans_of(F.col("_text"), r, k)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        for k, r in enumerate(rules)
-    ]
-    unseen.select(
-        "blob_id", F.col("_todo").alias("rule_versions"), F.concat(*found).alias("spans")
-    ).dropDuplicates(["blob_id"]).write.parquet(f"{ledger}/scans/{batch}")  # repeated rows own a blob twice
+        todo = todo.withColumn("todo", wanted)
+    todo = stored(todo, "unseen")
+
+    few = broadcast_if_small(todo, 128 + 16 * len(rules), limit=8 << 20)
+    texts = keyed
+    if few is todo:
+        texts = keyed.where(functools.reduce(Column.__or__, [may_match(F.col("text"), r) for r in rules]))
+    texts, few = texts.alias("t"), few.alias("u")
+    owned = texts.join(few, (F.col("t.blob_id") == F.col("u.blob_id")) & F.col("t.owner").eqNullSafe(F.col("u.owner")))
+    spans = F.concat(*[
+        F.when(F.array_contains("u.todo", r.version), spans_of(F.col("t.text"), r)).otherwise(F.array().cast(f"array<{SPAN}>")) for r in rules
+    ])
+    hits = owned.select("u.blob_id", spans.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob_id"])  # repeated rows own a blob twice
+    todo.select("blob_id", F.col("todo").alias("rule_versions")).join(hits, "blob_id", "left").withColumn(
+        "spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
+    ).write.parquet(f"{ledger}/scans/{batch}")
+    removed(todo)
 
-    known = {r.version: k for k, r in enumerate(rules)}
-    kinds = [r.kind for r in rules]
+    order = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     findings = (
-        spark.read.parquet(f"{ledger}/scans/*").where(F.size("spans") > 0).select("blob_id", "rule_versions", "spans")
-        .where(F.arrays_overlap("rule_versions", F.array(*map(F.lit, known))))
+        spark.read.parquet(f"{ledger}/scans/*").select("blob_id", F.filter("spans", lambda s: s["rule_version"].isin(list(known))).alias("spans"))
+        .where(F.size("spans") > 0)
+        .select("blob_id", F.transform("spans", lambda s: F.struct(s["start"], order[s["rule_version"]].alias("ord"), s["kind"], s["end"])).alias("spans"))
         .groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        .withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
-    )
-    held = spark.read.parquet(f"{ledger}/paths/{batch}")
-    return held.join(findings, "blob_id", "left").withColumn(
-        "spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     )
+    return held.join(findings, "blob_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{FOUND}>")))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -176,21 +189,24 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets blacked out; rows without secrets stay as they are.
 
     Findings come from the ledger by blob, so the few texts that change are found by a join on
-    their content hash, for which a small table of findings is broadcast; n_chars is counted
-    anew where the text changed.
+    their content hash, for which the findings are broadcast while their measured size allows;
+    n_chars is counted anew where the text changed. All columns go through as one struct, so
+    their names cannot clash with any used here.
     """
-    spark = docs.sparkSession
-    ledger = new_folder(spark, "secrets")
-    hashed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    found = scan(docs.select("doc_id", text_col), ledger, path_cols=("doc_id",), text_col=text_col)
-    found = stored(found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("_spans")), "found")
-    out = hashed.join(broadcast_if_small(found, 256), F.col("_blob") == F.col("blob_id"), "left")
-    changed = F.col("_spans").isNotNull()
-    new = F.when(changed, redact(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, new)
+    ledger = new_folder(docs.sparkSession, "secrets")
+    text = F.col(text_col).cast("string")
+    path = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("string")
+    found = scan(docs.select(path.alias("path"), text.alias("text")), ledger, path_cols=("path",))
+    found = stored(found.where(F.size("spans") > 0).groupBy("blob_id").agg(F.first("spans").alias("spans")), "found")
+    small = broadcast_if_small(found, 64 + 48 * F.size("spans").cast("long")).alias("f")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("blob_id")).alias("d")
+    out = whole.join(small, F.col("d.blob_id") == F.col("f.blob_id"), "left")
+    old, changed = F.col("d.row")[text_col], F.col("f.spans").isNotNull()
+    row = F.col("d.row").withField(text_col, F.when(changed, redact(old.cast("string"), F.col("f.spans"))).otherwise(old))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        n_chars = F.when(changed, F.length(row[text_col]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.row")["n_chars"])
+        row = row.withField("n_chars", n_chars)
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,9 +56,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """A broadcast of ``df``, a stored table, if its rows fit the limit; else the plain table, for a sorted join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast of ``df``, a stored table, if its rows fit the limit; else the plain table, for a sorted join.
+
+    ``row_bytes`` is the size of a row, a number or, where rows differ, an expression.
+    """
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def row_key(text: Column) -> Column:
