@@ -12,20 +12,28 @@ retrieved. Pairs are verified by five-word shingles: the passage must hold at le
 touch its answer (the last sentence).
 
 Passages are windows of twice the length of the longest item, in steps of that length, over
-whole documents: every stretch as long as an item lies inside a window. The index is made of
-shards of bounded size, one broadcast each; more items mean more shards, not a larger
-broadcast.
+whole documents: every stretch as long as an item lies inside a window. Document frequencies,
+the number and mean length of items and the step of the windows are those of all items. The
+index is made in shards by tasks, and a bounded number of shards is broadcast at a time; more
+items mean more passes over the corpus, not a larger broadcast. How items are dealt into shards
+changes no result.
 
 Defined results for odd input:
 
 * null, empty or wordless document: no passage, never contaminated.
 * null, empty or wordless item: ignored. Items under five words: the whole item is one shingle.
-* repeated rows and exact copies: each row is judged; equal (doc_id, item_id) results are one.
-* null ids are carried along. Empty tables: nothing is contaminated. Other columns are ignored.
+* items of equal text are one item: it has the least of their ids and counts them (``n_items``).
+* repeated rows and exact copies: each row is judged; equal (doc_id, item_id) results are one,
+  with the best score. A score at the threshold, a tie, is found.
+* ids are whole numbers; null ids are carried along. ``clean`` judges rows, not ids: a row with
+  a null id goes if it is contaminated, a clean row stays whoever shares its id.
+* empty tables: nothing is contaminated. Other columns are kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
-from granary.llm.shared import broadcast_if_small, stored
+from granary.llm.shared import dropped_rows, removed, row_key, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -84,21 +92,19 @@ class Shard:
     posting_terms: np.ndarray
     items: np.ndarray
     weights: np.ndarray
-    item_ids: list
+    item_ids: list  # (item_id, n_items)
     question: list[np.ndarray]  # shingles
     answer: list[np.ndarray]
     lengths: np.ndarray  # words
 
 
-def build(rows: list[tuple]) -> Shard | None:
-    """Index a shard's items (item_id, text)."""
-    rows = [(i, t, w) for i, t in rows if t and len(w := words_in(t))]
-    if not rows:
-        return None
-    mean = np.mean([len(w) for _, _, w in rows])
-    sets = [np.unique(w, return_counts=True) for _, _, w in rows]
-    terms, df = np.unique(np.concatenate([s[0] for s in sets]), return_counts=True)
-    idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
+def build(rows: list[tuple], n_items: int, mean: float) -> Shard:
+    """Index a shard's items ((item_id, n_items), text, terms, tf, df), of ``n_items`` in all with ``mean`` words."""
+    rows = [(ids, text, words_in(text), *(np.asarray(x) for x in (terms, tf, df))) for ids, text, terms, tf, df in rows]
+    terms, first = np.unique(np.concatenate([r[3] for r in rows]), return_index=True)
+    df = np.concatenate([r[5] for r in rows])[first]
+    idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
+    sets = [(r[3], r[4]) for r in rows]
     # Items with a rare term in common stand together, so their blocks are tight.
     rarest = [terms[at[idf[at].argmax()]] for at in (np.searchsorted(terms, s[0]) for s in sets)]
     order = np.argsort(np.array(rarest, dtype=np.uint64), kind="stable")
@@ -116,7 +122,7 @@ def build(rows: list[tuple]) -> Shard | None:
     block_top = np.zeros((len(terms), -(-len(rows) // BLOCK_ITEMS)), dtype=np.float32)
     np.maximum.at(block_top, (at, item // BLOCK_ITEMS), weight)
     question, answer = [], []
-    for _, text, w in rows:
+    for _, text, w, *_ in rows:
         g, q = grams(w), question_words(text)
         in_question = g[: max(q - SHINGLE + 1, 0)]
         question.append(np.unique(in_question if len(in_question) else g))
@@ -177,50 +183,103 @@ def windows(n_words: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.
     return text, first, np.minimum(first + 2 * step, n_words[text])
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """Distinct (doc_id, item_id) with the best passage's score and overlaps."""
+def described(items: DataFrame) -> DataFrame:
+    """(item_key, item_id, n_items, text, n, terms, tf): the distinct texts of the items and their words."""
+    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = texts.groupBy(F.unhex(F.sha2("text", 256)).alias("item_key")).agg(
+        F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.first("text").alias("text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_in(t) for t in batch.column(3).to_pylist()]
+            sets = [np.unique(w, return_counts=True) for w in words]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([t.view(np.int64) for t, _ in sets], longs), pa.array([c for _, c in sets], longs)],
+                ["item_key", "item_id", "n_items", "text", "n", "terms", "tf"],
+            )
+
+    kind = "item_key binary, item_id long, n_items long, text string, n long, terms array<long>, tf array<long>"
+    return texts.mapInArrow(run, kind).where("n > 0")
+
+
+def shards_of(items: DataFrame, n_items: int, mean: float, n_shards: int) -> DataFrame:
+    """(shard, index): the inverted index in parts, each made by a task from the items dealt to it."""
+    each = items.select("item_key", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select("item_key", F.col("p.terms").alias("term"), F.col("p.tf").alias("tf"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    postings = each.join(df, "term").groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df"))).alias("postings"))
+    dealt = items.join(postings, "item_key").select(
+        F.pmod(F.xxhash64("item_key"), F.lit(n_shards)).alias("shard"), "item_id", "n_items", "text", "postings.term", "postings.tf", "postings.df"
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, ids, copies, text, term, tf, freq = (c.to_pylist() for c in table.columns)
+        term = [np.array(t, dtype=np.int64).view(np.uint64) for t in term]
+        term, tf, freq = zip(*((t[o], np.array(x)[o], np.array(d)[o]) for t, x, d in zip(term, tf, freq, strict=True) for o in [np.argsort(t)]), strict=True)
+        rows = sorted(zip(zip(ids, copies, strict=True), text, term, tf, freq, strict=True), key=lambda r: r[1])
+        return pa.table({"shard": pa.array(shard[:1], pa.int64()), "index": pa.array([pickle.dumps(build(rows, n_items, mean))], pa.binary())})
+
+    return dealt.groupBy("shard").applyInArrow(run, "shard long, index binary")
+
+
+def row_matches(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
+    """(doc_id, row_key, item_id, n_items, score, question_overlap, answer_overlap) of every verified passage and item."""
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = int(size // SHARD_BYTES) + 1
-    keyed = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n_shards)))
-    kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = spark.createDataFrame([], kind)
+    kind = "doc_id long, row_key long, item_id long, n_items long, score double, question_overlap double, answer_overlap double"
+    known = stored(described(items), "items")
+    total = known.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not total["items"]:
+        return spark.createDataFrame([], kind)
+    n_shards = int(total["bytes"] // shard_bytes) + 1
+    step = max(MIN_WINDOW, total["longest"])
+    index = stored(shards_of(known, total["items"], total["mean"], n_shards), "index")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long"), row_key(text), text)
+    found = []
     for first in range(0, n_shards, SHARDS_A_PASS):
-        shards = []
-        for number in range(first, min(n_shards, first + SHARDS_A_PASS)):  # each about SHARD_BYTES of items
-            shard = build([(r["item_id"], r["text"]) for r in keyed.where(F.col("shard") == number).collect()])
-            shards += [shard] if shard is not None else []
-        if shards:
-            found = found.unionByName(source.mapInArrow(_judge(spark.sparkContext.broadcast(shards), threshold, overlap), kind))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap")
+        # At most SHARDS_A_PASS shards, each of about ``shard_bytes`` of items, or one item that is longer.
+        part = index.where((F.col("shard") >= first) & (F.col("shard") < first + SHARDS_A_PASS)).orderBy("shard").collect()
+        shared = spark.sparkContext.broadcast([pickle.loads(r["index"]) for r in part])
+        found.append(source.mapInArrow(_judge(shared, step, threshold, overlap), kind))
+        if n_shards > SHARDS_A_PASS:
+            found[-1] = stored(found[-1], "matches")
+            shared.unpersist()
+    removed(known, index)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def matches(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
+    """Distinct (doc_id, item_id) with the best passage's score and overlaps."""
+    return row_matches(docs, items, **limits).groupBy("doc_id", "item_id").agg(
+        F.max("n_items").alias("n_items"), F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"),
+        F.max("answer_overlap").alias("answer_overlap"),
     )
 
 
-def _judge(shared, threshold: float, overlap: float):
+def _judge(shared, step: int, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for row, end, buf, bounds in hashing.text_slices(batch.column(1)):
+            out: list[list] = [[] for _ in range(7)]
+            for row, end, buf, bounds in hashing.text_slices(batch.column(2)):
                 h, text_of, _ = hashing.words(buf, bounds, hashing.LETTERS)
                 begin = np.searchsorted(text_of, np.arange(end - row + 1))
                 for shard in shared.value:
-                    for text, item, *values in _slice_matches(shard, h, begin, threshold, overlap):
-                        doc = batch.column(0)[row + text].as_py()
-                        for column, value in zip(out, (doc, shard.item_ids[item], *values), strict=True):
+                    for text, item, *values in _slice_matches(shard, h, begin, step, threshold, overlap):
+                        doc = [batch.column(k)[row + text].as_py() for k in (0, 1)]
+                        for column, value in zip(out, (*doc, *shard.item_ids[item], *values), strict=True):
                             column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+            kinds = [pa.int64()] * 4 + [pa.float64()] * 3
+            names = ["doc_id", "row_key", "item_id", "n_items", "score", "question_overlap", "answer_overlap"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def _slice_matches(shard: Shard, h: np.ndarray, begin: np.ndarray, threshold: float, overlap: float):
+def _slice_matches(shard: Shard, h: np.ndarray, begin: np.ndarray, step: int, threshold: float, overlap: float):
     """(text, item, score, question overlap, answer overlap) of all verified passages of some texts."""
-    step = max(MIN_WINDOW, int(shard.lengths.max()))
     at = np.searchsorted(shard.terms, h)
     at[at == len(shard.terms)] = 0
     known = shard.terms[at] == h
@@ -245,15 +304,15 @@ def _window_terms(known: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np
 
 
 def clean(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
-    """The documents without a verified match. Few matches are broadcast, so texts need not move for them."""
-    bad = stored(matches(docs, items, **limits).select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad, 32), "doc_id", "left_anti").select(docs.columns)
+    """The rows without a verified match. Their few keys are broadcast, so texts need not move for them."""
+    bad = stored(row_matches(docs.select("doc_id", "text"), items, **limits).select("doc_id", "row_key").distinct(), "contaminated")
+    return dropped_rows(docs, bad)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return matches(docs, items).select(
-        "doc_id", "item_id", F.round("score", 4).alias("score"), F.round("question_overlap", 4).alias("question_overlap"),
+        "doc_id", "item_id", "n_items", F.round("score", 4).alias("score"), F.round("question_overlap", 4).alias("question_overlap"),
         F.round("answer_overlap", 4).alias("answer_overlap"),
     )
