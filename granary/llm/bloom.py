@@ -14,22 +14,13 @@ def blocks_for(keys: int, bits_per_key: int = 16, max_blocks: int = 1 << 18) ->
     return int(min(max_blocks, max(1, keys * bits_per_key // (64 * WORDS) + 1)))
 
 
-def block_of(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
-
-
-def bits_of(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(1))
-
-
 def build(keys: DataFrame, blocks: int) -> np.ndarray:
-    """The filter of a one-column table, as one partial aggregation a block; ``blocks`` bounds what the driver gets."""
-    key = F.col(keys.columns[0])
+    """The filter of a table of 64-bit keys (column key), as one partial aggregation a block; ``blocks`` bounds what the driver gets."""
     bit = lambda k: F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.col("bits"), 6 * k), F.lit(64)).cast("int")
     )
     got = (
-        keys.select(block_of(key, blocks).alias("block"), bits_of(key).alias("bits"))
+        keys.select(F.pmod(F.col("key"), F.lit(blocks)).cast("long").alias("block"), _bits(F.col("key")).alias("bits"))
         .groupBy("block").agg(*[F.bit_or(bit(k)).alias(f"w{k}") for k in range(WORDS)]).toPandas()
     )
     table = np.zeros((blocks, WORDS), dtype=np.uint64)
@@ -38,9 +29,17 @@ def build(keys: DataFrame, blocks: int) -> np.ndarray:
     return table
 
 
-def may_hold(table: np.ndarray, blocks: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(blocks), dtype=bool)
+def _bits(key: Column) -> Column:
+    """48 bits of the key that the number of its block, from the low ones, tells little of."""
+    return F.shiftrightunsigned(key, 16)
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (unsigned) may be in the filter."""
+    signed = keys.view(np.int64)
+    block, bits = np.mod(signed, np.int64(len(table))), keys >> np.uint64(16)
+    hit = np.ones(len(keys), dtype=bool)
     for k in range(WORDS):
-        bit = np.uint64(1) << ((bits >> (6 * k)) & 63).astype(np.uint64)
-        hit &= (table[blocks, k] & bit) != 0
+        bit = np.uint64(1) << ((bits >> np.uint64(6 * k)) & np.uint64(63))
+        hit &= (table[block, k] & bit) != 0
     return hit
