@@ -15,11 +15,12 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_rollup.op9_token_counts,
     "op10_quality_classifier": quality_cnn.op10_quality_classifier,
+    "token_rollup_by_expressions": token_rollup.token_rollup_by_expressions,
 }
 
 ORACLE = {
     "op1_secret_scans": secret_scan.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op8_url_filters": url_filter.SQL,
-    "op9_token_counts": token_rollup.SQL,
+    "token_rollup_by_expressions": token_rollup.SQL,
 }
