@@ -8,7 +8,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
    to ten shingles share all that the threshold asks for), but for a chance of ``LOST`` a pair,
    far below that of equal 64-bit hashes. Classes that share fewer routes with others are done.
 2. *Contraction.* The whole sets of the suspects are read once. Every suspect is compared with
-   the two classes that lead most of its routes, which joins most of each family of copies.
+   the first and the last class of its routes where one class is that of half its routes, which
+   joins most of each family of copies.
    Suspects that share too few routes with other components are done.
 3. *Cells.* Of the rest, the scrambled prefix of each set is taken that shares ``extra``
    shingles with every linked set: n - ceil(threshold * n) + extra of n. Each class leaves out
@@ -45,7 +46,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
@@ -385,10 +386,11 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> D
     The set of ``a`` is sent once to each group of its partners, ahead of theirs, and the task
     streams over the partners; large groups are dealt into several.
     """
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("groups"))
+    dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     heads = dealt.select("a", "salt").distinct().select(F.col("a").alias("sid"), "a", "salt", F.lit(0).alias("ord"))
-    wanted = dealt.select(F.col("b").alias("sid"), "a", "salt", F.lit(1).alias("ord")).unionByName(heads)
-    rows = wanted.join(sets, "sid").repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "ord")
+    wanted = stored(dealt.select(F.col("b").alias("sid"), "a", "salt", F.lit(1).alias("ord")).unionByName(heads), "asked")
+    rows = sets.join(broadcast_if_small(wanted, 32), "sid").repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = None, np.zeros(0, np.uint64)
@@ -433,17 +435,22 @@ def prefixes(sets: DataFrame, threshold: float, extra: int) -> DataFrame:
 
 
 def suspects(classes: DataFrame, routes: int, threshold: float) -> DataFrame:
-    """(sid, n, needs, routes, least, other) of classes that share enough routes with others, and the two that lead most of them."""
-    routed = classes.select("sid", "n", F.explode("routes").alias("route"))
-    shared = stored(
-        routed.groupBy("route").agg(F.count("*").alias("met"), F.min("sid").alias("least"), F.min_by("sid", F.xxhash64("sid")).alias("other"))
-        .where("met > 1").drop("met"), "shared",
-    )
+    """(sid, n, needs, routes, first, last) of classes that share enough routes with others.
+
+    ``first`` and ``last`` are (votes, a): the class that is most often the least or the last of a route.
+    """
+    routed = classes.select("sid", F.explode("routes").alias("route"))
+    shared = stored(routed.groupBy("route").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last"), "shared")
+
+    def voted(ids: Column) -> Column:
+        counts = F.transform(F.array_distinct(ids), lambda x: F.struct(F.size(F.filter(ids, lambda y: y == x)).alias("votes"), x.alias("a")))
+        return F.array_max(counts)
+
+    met = routed.join(shared, "route").groupBy("sid").agg(*(F.collect_list(c).alias(c) for c in ("route", "first", "last")))
     needs = F.least(F.lit(sure_routes(routes, threshold)), F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100)).cast("int")
+    met = met.join(classes.select("sid", "n"), "sid").withColumn("needs", needs).where(F.size("route") >= F.col("needs"))
     found = stored(
-        routed.join(shared, "route").groupBy("sid", "n").agg(
-            F.collect_list("route").alias("routes"), F.mode("least").alias("least"), F.mode("other").alias("other")
-        ).withColumn("needs", needs).where(F.size("routes") >= F.col("needs")), "suspects",
+        met.select("sid", "n", "needs", F.col("route").alias("routes"), voted(F.col("first")).alias("first"), voted(F.col("last")).alias("last")), "suspects"
     )
     removed(shared)
     return found
@@ -504,18 +511,20 @@ def components_of_rows(
     met = suspects(classes, routes, threshold)
     wanted = stored(met.select("sid").join(classes.select("sid", "head.doc_id", "head.row_key"), "sid"), "wanted")
     sets = stored(shingle_sets(docs, wanted, size), "sets")
-    stars = met.select(F.explode(F.array_distinct(F.array("least", "other"))).alias("a"), F.col("sid").alias("b")).where("a <> b")
+    leads = met.select("sid", F.explode(F.array("first", "last")).alias("lead"), F.least("n", F.lit(routes)).alias("of"))
+    stars = leads.where("lead.a <> sid and 2 * lead.votes >= of").select(F.col("lead.a").alias("a"), F.col("sid").alias("b")).distinct()
     links = stored(linked(stars, sets, threshold, parts), "links")
 
     joined = stored(with_components(met, links), "joined")
     apart = still_apart(joined)
     done = [met, wanted, sets, joined, apart, links]
     if not apart.isEmpty():
-        tokens = stored(prefixes(sets.join(apart, "sid"), threshold, extra), "prefixes")
-        cells = cells_of(tokens, threshold, cell_rows, cell_bytes).join(sets, "sid")
-        more = stored(tree_links(cells, threshold, parts), "tree-links")
+        tokens = stored(prefixes(sets.join(broadcast_if_small(apart, 24), "sid"), threshold, extra), "prefixes")
+        cells = stored(cells_of(tokens, threshold, cell_rows, cell_bytes), "cells")
+        size = 48 + 8 * F.size("earlier").cast("long")
+        more = stored(tree_links(sets.join(broadcast_if_small(cells, size), "sid"), threshold, parts), "tree-links")
         links = links.unionByName(more)
-        done += [tokens, more]
+        done += [tokens, cells, more]
     named = classes.select("sid", "h1", "h2", "head").join(components(links), F.col("sid") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "sid")
     )
