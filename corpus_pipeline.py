@@ -7,7 +7,18 @@
 5. packing: what is left is tokenised and packed into sequences.
 
 Every stage is written as Parquet and read again, so that a lost executor repeats part of one
-stage only. All but the last keep the columns of ``documents``.
+stage only. All but the last keep the columns of ``documents``, and any other columns, whatever
+their names.
+
+Defined results for odd input, by stage:
+
+* null, empty or wordless texts: scored like any text (1), in no group of copies (2), never
+  contaminated (3), without secrets (4), a piece with the end token alone (5).
+* repeated rows and exact copies: each is scored (1); one row of each group stays (2); each that
+  is left is judged (3, 4) and packed (5). Ties at a limit: kept (1), linked (2), dropped (3).
+* null ids: rows are told apart by id and text, so these rows are kept or dropped like others;
+  of a group of copies a row with an id stays before one without.
+* very long texts are scored, compared, scanned and packed whole. Empty tables: empty results.
 """
 
 from __future__ import annotations
@@ -16,18 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, secret_scan
-from granary.llm.shared import stored
+from granary.llm.shared import removed, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier calls good. It learns from the labelled rows of the raw documents."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality_cnn.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_cnn.score(docs, model).where(F.col("score") >= quality_cnn.CUT).select(docs.columns)
+    return docs.where(quality_cnn.scorer(spark, model)(F.col("text")) >= quality_cnn.CUT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every component; rows without an id stay."""
+    """Keep the first row of every component."""
     return jaccard_join.first_of_each(docs)
 
 
@@ -40,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES = [
@@ -56,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        removed(*before)  # nothing reads the stage before this one again
+        before = [docs]
     return docs
