@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shared import stored
+from granary.llm.shared import broadcast_if_small, stored
 
 
 def fold(doc_id: Column) -> Column:
@@ -20,8 +20,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y, part) of at most about ``most`` labelled rows of each class that are not held out.
 
-    The ids are broadcast, as ``most`` bounds them, so that no text moves; the sample is kept in
-    the shared folder, so that the corpus is read once for it.
+    The ids are broadcast, as ``most`` bounds them and their count is checked, so that no text
+    moves; the sample is kept in the shared folder, so that the corpus is read once for it.
 
     The sample is a range of id hashes, so it is the same for any layout of the tables. Rows
     with null label or id are left out; a document with several labels counts once for each.
@@ -32,5 +32,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = lambda y: min(1.0, most / counts[y]) if counts.get(y) else 1.0
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    chosen = known.where(at < F.when(F.col("y") == 1, share(1)).otherwise(share(0)))
-    return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+    chosen = stored(known.where(at < F.when(F.col("y") == 1, share(1)).otherwise(share(0))), "chosen")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return stored(rows.join(broadcast_if_small(chosen, 32), "doc_id"), "sample")

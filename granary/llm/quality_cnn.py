@@ -25,12 +25,12 @@ Defined results for odd input:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
@@ -241,9 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return Model(net, (float(w[0] + shift), float(w[1])))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to every row of docs (column text): one probability per whole document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """From a text column to its probability: one per whole document."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def probability(text):
@@ -254,7 +254,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out.append(shared.value.probability(logits(shared.value.net, buf, bounds)))
         return pd.Series(np.concatenate(out))
 
-    return docs.withColumn("score", probability(F.col("text").cast("string")))
+    return lambda text: probability(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Add ``score`` to every row of docs (column text)."""
+    return docs.withColumn("score", scorer(docs.sparkSession, model)(F.col("text")))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

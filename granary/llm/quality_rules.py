@@ -10,10 +10,13 @@ Defined results for odd input:
 * null or empty text: no words, fails the base rules, not kept; cleaned text is empty.
 * null host: documents without a host form one host of their own.
 * exact copies: documents of a host with equal text count once, so that copies alone never
-  make a line frequent.
-* repeated rows: every input row gives one output row.
-* empty table: empty result. Other columns of the input are carried along unchanged; a column
-  named like an output of this module is replaced.
+  make a line frequent; with ``doc_key``, a column that names documents, copies of different
+  names count each.
+* repeated rows: every input row gives one output row. Ties: a line in exactly as many
+  documents as its limit is kept, a document that keeps exactly ``min_left`` too.
+* very long texts and lines are counted whole. Empty table: empty result. Other columns of the
+  input are carried along unchanged, whatever their names; a column named like an output of
+  this module is replaced.
 """
 
 from __future__ import annotations
@@ -76,10 +79,10 @@ def repeat_words(words: Column) -> Column:
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda chars: F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
-    return docs.withColumns({
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text")).withColumns({
         "_counts": let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"))),
         "word_chars": without(SPACE_CHARS).cast("long"),
         "n_symbols": (F.length(text) - without(SYMBOLS)).cast("long"),
@@ -89,7 +92,14 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.col("_counts.r").cast("long"),
     }).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    ).drop("_counts")
+    )
+    return _with(docs, found, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+
+
+def _with(docs: DataFrame, found: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs``, which ``found`` has as one struct, with the named columns of ``found`` beside or in place of their own."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in names]
+    return found.select(*kept, *names)
 
 
 def normalised(line: Column) -> Column:
@@ -108,6 +118,7 @@ def line_rules(
     min_docs: int = 20,
     max_share: float = 0.05,
     min_left: float = 0.5,
+    doc_key: str | None = None,
 ) -> DataFrame:
     """Add host-wide line frequency results: lines_removed, words_left, depleted, clean_text.
 
@@ -119,11 +130,13 @@ def line_rules(
     copies collapse in the map tasks; the joins are plain equi joins whose skewed partitions
     adaptive execution splits. Texts themselves are never shuffled for the counts.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({
-        "_host": F.coalesce(F.col(host_col), F.lit("")),
-        "_key": F.unhex(F.md5(text)),
-    })
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = [F.coalesce(F.col(doc_key).cast("string"), F.lit("")), F.lit("\0")] if doc_key else []
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"),
+        F.unhex(F.md5(F.concat(*named, text))).alias("_key"), text.alias("text"),
+    )
+    text = F.col("text")
     lines = keyed.select(
         "_host", "_key",
         F.explode(F.transform(
@@ -154,14 +167,15 @@ def line_rules(
     ).where(F.col("_lost") > 0)
     left = F.coalesce(1 - F.col("_lost") / F.col("_all"), F.lit(1.0))
     bad = F.coalesce(F.col("_bad"), F.array().cast("array<bigint>"))
-    return keyed.join(per_text, ["_host", "_key"], "left").withColumns({
+    found = keyed.join(per_text, ["_host", "_key"], "left").withColumns({
         "lines_removed": F.size(bad).cast("long"),
         "words_left": left,
         "depleted": left < min_left,
         "clean_text": F.when(F.size(bad) == 0, text).otherwise(F.array_join(F.filter(
             F.split(text, "\n", -1), lambda x: ~F.coalesce(F.array_contains(bad, line_hash(x)), F.lit(False))
         ), "\n")),
-    }).drop("_host", "_key", "_all", "_lost", "_bad")
+    })
+    return _with(docs, found, ("lines_removed", "words_left", "depleted", "clean_text"))
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:

@@ -15,8 +15,10 @@ Defined results for odd input:
 
 * null, empty or wordless text: no segment, the score of a document without toxic words.
 * no labels of a class: nothing can be learned, every score is 0.
-* null doc_id: scored like any other row, not held out. Repeated rows: one result each.
-* empty table: empty result. Other columns are ignored. Very long texts are scanned whole.
+* null doc_id: scored like any other row, not held out. Ids are whole numbers. Repeated rows and
+  ties: one result each, the same for equal texts.
+* empty table: empty result. Other columns, whatever their names, are ignored. Very long texts
+  are scanned whole.
 """
 
 from __future__ import annotations
