@@ -2,29 +2,38 @@
 
 Every response becomes two records that point back to it. The ``metadata`` record lists the
 page's title, language and outgoing links; the ``conversion`` record holds its visible text.
-Both keep the response's target URI, date, payload digest and HTTP headers, name it in
-WARC-Refers-To, and carry a block digest of their own. Record ids are derived from the
-response's id and content, so a repeated run, or a task run again after a lost executor, gives
-the same records. Each record is one gzip member, so written files can be cut at any record.
+Both name the response in WARC-Refers-To, and keep its target URI, date, payload and block
+digests, its HTTP status and headers and the other headers of its record, line by line, in
+``WARC-Source-*`` headers of their own. Digests of the source are taken over as they stand; only
+where it brings none is one computed, over the payload's bytes as archived. Record ids are
+derived from the response's id, so a repeated run, or a task run again after a lost executor,
+gives the same records. Each record is one gzip member, so written files can be cut at any
+record.
 
 Defined results for odd input:
 
 * null or empty payload: both records, with empty text and no links.
-* null url: an empty target URI; relative links stay as they are. Unclosed tags, comments and
-  scripts run to the end of the page. Characters without a name keep their entity.
-* repeated rows: each row gives its two records; equal rows give equal records.
-* empty table: empty result. Other columns of the input are ignored.
+* null url: an empty target URI; relative links stay as they are. Line ends and other control
+  characters in a header's value are written as percent escapes, so they end no header.
+* unclosed tags, comments and scripts run to the end of the page; a ``<`` that begins no tag is
+  text. Characters without a name keep their entity. Unknown charsets are read as UTF-8; bytes
+  that do not decode, or a damaged encoding, are replaced in the text, never in a digest.
+* repeated rows and ties: each row gives its two records; equal rows give equal records.
+* very long pages are converted whole. Empty table: empty result. Other columns of the input,
+  whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -37,12 +46,12 @@ SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:granary:warc")
 DATE = "1970-01-01T00:00:00Z"  # of responses that do not bring one
 RECORD = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, payload_digest string, "
-    "block_digest string, content_type string, content_length long, n_links int, block binary, record binary"
+    "source_block_digest string, block_digest string, content_type string, content_length long, n_links int, block binary, record binary"
 )
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
 _BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|title|blockquote|pre)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[^>]*(?:>|$)")
+_TAG = re.compile(r"<[A-Za-z/!?][^>]*(?:>|$)")
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<(a|link|img|script|iframe|area)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -73,46 +82,123 @@ def page_metadata(page: str, url: str) -> dict:
     return {"title": " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else None, "lang": lang[1] if lang else None, "links": links}
 
 
+def header_value(value: str) -> str:
+    """A value on one line: control characters as percent escapes."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def serialised(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member of its own."""
-    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0)
+    lines = ["WARC/1.1", *(f"{k}: {header_value(v)}" for k, v in headers), f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0)
+
+
+def _unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip file of any number of members, or of a plain one, piece by piece."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + step]) for k in range(0, len(data), step))
+        return
+    member, rest, at = zlib.decompressobj(31), b"", 0
+    while rest or at < len(data):
+        if not rest:
+            rest, at = bytes(view[at : at + step]), at + step
+        piece = member.decompress(rest, step)
+        if piece:
+            yield piece
+        rest = member.unused_data if member.eof else member.unconsumed_tail
+        if member.eof:
+            member = zlib.decompressobj(31)
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers in their order, block) of the records of a WARC file; one record is unpacked at a time."""
+    pieces, held = _unpacked(data), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while held[:2] == b"\r\n":
+            del held[:2]
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and more():
+            end = held.find(b"\r\n\r\n")
+        if end < 0:
+            if held.strip():
+                raise ValueError("a WARC record without the end of its headers")
+            return
+        if held[:2] == b"\r\n":
+            continue
+        _, *lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
+        headers = [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines)]
+        size = int(dict((k.lower(), v) for k, v in headers)["content-length"])
+        while len(held) < end + 4 + size:
+            if not more():
+                raise ValueError("a WARC record is cut off")
+        block = bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
+        yield headers, block
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of a WARC file, gzipped or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        _, *lines = data[at:end].decode().split("\r\n")
-        headers = {k.strip(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
-        size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """The records with their headers as a dictionary."""
+    return ((dict(headers), block) for headers, block in records(data))
+
+
+def page_text(payload: bytes, head: str) -> str:
+    """The payload as text: without its content encoding, in the charset of its headers."""
+    said = head.lower()
+    if re.search(r"^content-encoding:\s*(?:x-)?gzip", said, re.M):
+        with contextlib.suppress(OSError, EOFError, zlib.error):
+            payload = gzip.decompress(payload)
+    elif re.search(r"^content-encoding:\s*deflate", said, re.M):
+        with contextlib.suppress(zlib.error):
+            payload = zlib.decompress(payload)
+    charset = re.search(r"^content-type:[^\r\n]*charset=[\"']?([\w.:-]+)", said, re.M)
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_id, url, date, headers, html) of the response records of WARC files; one file a task."""
-    kind = "page_id long, record_id string, url string, date string, headers string, html string"
+    """The response records of WARC files, for ``derivatives``; one file a task.
+
+    (page_id, record_id, url, date, headers, html, payload, source_headers): ``payload`` has the
+    archived bytes, ``html`` their text, ``source_headers`` the record's own headers. A task
+    holds its file as it is stored, and unpacks one record at a time.
+    """
+    names = ["page_id", "record_id", "url", "date", "headers", "html", "payload", "source_headers"]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names
+        )
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for headers, block in parsed(content.as_py()):
-                    if headers.get("WARC-Type") == "response":
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((
-                            None, headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Date"),
-                            head.decode("latin-1"), body.decode("utf-8", "replace"),
-                        ))
+                rows, size = [], 0
+                for headers, block in records(content.as_py()):
+                    of = dict(headers)
+                    if of.get("WARC-Type") != "response":
+                        continue
+                    head, _, body = block.partition(b"\r\n\r\n")
+                    head = head.decode("latin-1")
+                    rows.append((
+                        None, of["WARC-Record-ID"], of.get("WARC-Target-URI"), of.get("WARC-Date"), head, page_text(body, head), body,
+                        "\r\n".join(f"{k}: {v}" for k, v in headers),
+                    ))
+                    size += 2 * len(body)
+                    if size > 4 << 20:
+                        yield table(rows)
+                        rows, size = [], 0
                 if rows:
-                    names = [c.split(" ")[0] for c in kind.split(", ")]
-                    columns = [pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    yield table(rows)
 
+    kind = "page_id long, record_id string, url string, date string, headers string, html string, payload binary, source_headers string"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
 
 
@@ -128,22 +214,47 @@ def responses_of(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Headers of the source's record that the derivatives carry under names of their own, or that hold for the source alone.
+_OWN = {"warc-type", "warc-record-id", "warc-target-uri", "warc-date", "content-length", "content-type", "warc-payload-digest", "warc-block-digest"}
+
+
+def source_lines(http: str | None, warc: str | None) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """What both derivatives keep of the response's headers, line by line; and the headers of its record by lower-case name."""
+    out = []
+    status, *lines = (http or "").split("\r\n")
+    if status:
+        out.append(("WARC-Source-HTTP-Status", status))
+    out += [("WARC-Source-HTTP-Header", line) for line in lines if line]
+    of = {}
+    for line in (warc or "").split("\r\n"):
+        name, _, value = line.partition(":")
+        of[name.strip().lower()] = value.strip()
+        if line and name.strip().lower() not in _OWN:
+            out.append(("WARC-Source-Header", line))
+    return out, of
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Two records (see RECORD) for every response (page_id, record_id, url, date, headers, html).
+    """Two records (see RECORD) for every response (page_id, record_id, url, date, headers, html; and payload, source_headers where there are any).
 
     A narrow pass, page by page: nothing is shuffled, and a task holds one page's records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in RECORD.split(", ")]
-        kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), *[pa.string()] * 9, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        table = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names
+        )
         for batch in batches:
             rows, size = [], 0
-            for page_id, source, url, date, headers, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, source, url, date, http, page, data, warc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 url, page = url or "", page or ""
+                kept, of = source_lines(http, warc)
                 found = page_metadata(page, url)
-                payload = digest(page.encode("utf-8", "surrogatepass"))
-                fields = found | {"http-headers": headers, "payload-digest": payload}
+                payload = of.get("warc-payload-digest") or digest(page.encode("utf-8", "surrogatepass") if data is None else data)
+                whole = of.get("warc-block-digest")
+                fields = found | {"http-headers": http, "payload-digest": payload}
                 blocks = (
                     ("metadata", "application/json", json.dumps(fields, ensure_ascii=False).encode("utf-8", "replace")),
                     ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace")),
@@ -152,28 +263,30 @@ def derivatives(responses: DataFrame) -> DataFrame:
                     record_id = f"<urn:uuid:{uuid.uuid5(SPACE, f'{source} {kind}')}>"
                     head = [
                         ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Refers-To", source), ("WARC-Target-URI", url),
-                        ("WARC-Date", date or DATE), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)),
-                        ("Content-Type", content_type),
+                        ("WARC-Date", date or DATE), ("WARC-Source-Payload-Digest", payload), *([("WARC-Source-Block-Digest", whole)] if whole else []),
+                        *kept, ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type),
                     ]
                     record = serialised(head, block)
                     size += len(record) + len(block)
                     rows.append((
-                        page_id, kind, record_id, source, url, date or DATE, payload, digest(block), content_type, len(block),
+                        page_id, kind, record_id, source, url, date or DATE, payload, whole, digest(block), content_type, len(block),
                         len(found["links"]), block, record,
                     ))
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield table(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield table(rows)
 
-    columns = ["page_id", "record_id", "url", "date", "headers", "html"]
-    return responses.select(F.col("page_id").cast("long").alias("page_id"), *columns[1:]).mapInArrow(run, RECORD)
+    given = [c if c in responses.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("payload", "binary"), ("source_headers", "string"))]
+    columns = ["record_id", "url", "date", "headers", "html"]
+    return responses.select(F.col("page_id").cast("long").alias("page_id"), *columns, *given).mapInArrow(run, RECORD)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page, the records themselves with what identifies them."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return derivatives(responses_of(pages)).select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_type",
-        "content_length", "n_links", F.length("record").cast("long").alias("record_bytes"),
+        "content_length", "n_links", "record",
     )
