@@ -118,9 +118,9 @@ def build(rows: list[tuple], n_items: int, mean: float) -> Shard:
         weight.append(w / w.sum())
     at, item, weight = np.concatenate(at), np.concatenate(item), np.concatenate(weight)
     order = np.lexsort((at, item // BLOCK_ITEMS))
-    at, item, weight = at[order], item[order], weight[order].astype(np.float32)
+    at, item, weight = at[order], item[order], weight[order]
     block_top = np.zeros((len(terms), -(-len(rows) // BLOCK_ITEMS)), dtype=np.float32)
-    np.maximum.at(block_top, (at, item // BLOCK_ITEMS), weight)
+    np.maximum.at(block_top, (at, item // BLOCK_ITEMS), weight.astype(np.float32))
     question, answer = [], []
     for _, text, w, *_ in rows:
         g, q = grams(w), question_words(text)
@@ -159,12 +159,12 @@ def search(shard: Shard, terms: np.ndarray, starts: np.ndarray, threshold: float
             own, cut = _part(mine, at, left)
             posts = slice(*np.searchsorted(shard.block_of_posting, [block, block + 1]))
             there, row = np.unique(shard.posting_terms[posts], return_inverse=True)
-            weights = np.zeros((len(there) + 1, BLOCK_ITEMS), dtype=np.float32)  # the last row is for other terms
+            weights = np.zeros((len(there) + 1, BLOCK_ITEMS))  # the last row is for other terms
             weights[row, shard.items[posts] % BLOCK_ITEMS] = shard.weights[posts]
             row_of[there] = np.arange(len(there))
-            scores = _sums(weights[row_of[own]], cut)
+            scores = _sums(weights[row_of[own]], cut).round(6)  # so that the order of the sum does not show
             row_of[there] = -1
-            for p, item in np.argwhere(scores >= slack):
+            for p, item in np.argwhere(scores >= threshold):
                 yield int(passages[left[p]]), int(block * BLOCK_ITEMS + item), float(scores[p, item])
 
 
