@@ -37,3 +37,9 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+
+def normalised_mode(mode: str | None) -> str:
+    """``rag`` or ``dummy``, in any case and with blanks around; anything else is ``dummy``."""
+    mode = (mode or "").strip().lower()
+    return mode if mode in ("rag", "dummy") else "dummy"

@@ -25,9 +25,13 @@ def validated(questions: DataFrame, column: str = "question", settings: Settings
     })
 
 
+#: Fixed value: how a reply without a collection begins.
+DUMMY = 'This is a **dummy reply** for: "'
+
+
 def dummy_answer(question: Column) -> Column:
     return F.concat(
-        F.lit('This is a **dummy reply** for: "'), strip(question), F.lit('"\n\nNo collection was searched. Ingest documents and ask in mode `rag`.')
+        F.lit(DUMMY), strip(question), F.lit('"\n\nNo collection was searched. Ingest documents and ask in mode `rag`.')
     )
 
 
@@ -54,7 +58,7 @@ class Extractive:
     """Answers with the sentences of the context that share most words with the question."""
 
     name = "extractive"
-    #: The reply where the context has nothing to offer.
+    #: Fixed value: the reply where the context has nothing to offer.
     nothing = "I cannot find this information in the provided documents."
 
     def __init__(self, sentences: int = 3):
@@ -71,9 +75,15 @@ class Extractive:
         return "\n".join(f"- {lines[k].strip()}" for k in sorted(best)) or self.nothing
 
 
-def generate(rows: DataFrame, generator: Generator, column: str = "question") -> DataFrame:
-    """Add ``answer`` and ``model`` to rows of (question, context, ...)."""
+#: The answer where no generator is configured; its model is "none".
+NO_GENERATOR = "No answer was written: no generator is configured. The sources below were found."
+
+
+def generate(rows: DataFrame, generator: Generator | None, column: str = "question") -> DataFrame:
+    """Add ``answer`` and ``model`` to rows of (question, context, ...); a fixed notice where there is no generator."""
     names = [c for c in rows.columns if c not in ("answer", "model")]
+    if generator is None:
+        return rows.select(*names, F.lit(NO_GENERATOR).alias("answer"), F.lit("none").alias("model"))
     at = names.index(column), names.index("context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +111,7 @@ def error_text(body: Column, status: Column) -> Column:
     return (
         F.when(listed.isNotNull() & (listed != ""), listed)
         .when(detail.isNotNull() & ~F.startswith(detail, F.lit("[")), detail)
-        .when(status == 400, "No documents ingested. Ingest first.")
-        .when(status >= 500, "API error. Check the service's log and keys.")
-        .otherwise(F.concat(F.lit("Request failed ("), status.cast("string"), F.lit(")")))
+        .when(status == 400, "The collection is empty. Ingest documents before asking.")
+        .when(status >= 500, "The service failed. Its log says more.")
+        .otherwise(F.concat(F.lit("Not answered, status "), status.cast("string")))
     )

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import DEFAULT, Settings
 
-#: Texts whose ordinals fall in one range are numbered together.
-RANGE = 65_536
+#: Texts whose ordinals agree but for so many low bits are numbered together.
+RANGE_BITS = 22
 
 
 def pieces(text: str, separators: tuple[str, ...], size: int) -> list[str]:
@@ -73,18 +73,26 @@ def fixed_chunks(docs: DataFrame, size: int = 400, text_col: str = "text") -> Da
 def with_ordinals(chunks: DataFrame, order_col: str) -> DataFrame:
     """Add ``chunk_index``, from 0 over the whole batch in document order.
 
-    Chunks are counted per document; documents are summed per range of ``order_col`` and the
-    few ranges are added up in order, so no task sees more than a range of documents.
+    Chunks are counted per document, documents summed per range of ``order_col``, and ranges
+    per range of ranges, so whatever the spread of the order, dense or hashed over 64 bits, no
+    window has more than 2^22 rows. ``chunks`` is read twice: give a stored table.
     """
-    counts = chunks.groupBy(order_col).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(order_col) / RANGE))
-    ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_sum")).withColumn(
-        "_before", F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")
+    bits = RANGE_BITS
+    counts = chunks.groupBy(F.col(order_col).cast("long").alias("_order")).agg(F.count("*").alias("_n"))
+    low = counts.withColumn("_low", F.shiftright("_order", bits))
+    middle = low.groupBy("_low").agg(F.sum("_n").alias("_n")).withColumn("_high", F.shiftright("_low", bits))
+    high = middle.groupBy("_high").agg(F.sum("_n").alias("_n"))
+
+    def before(order: str, *within: str) -> Column:
+        return F.sum("_n").over(Window.partitionBy(*within).orderBy(order)) - F.col("_n")
+
+    high = high.select("_high", before("_high").alias("_b2"))
+    middle = middle.select("_low", "_high", before("_low", "_high").alias("_b1")).join(high, "_high").select("_low", (F.col("_b1") + F.col("_b2")).alias("_b"))
+    starts = low.select("_order", "_low", before("_order", "_low").alias("_b0")).join(middle, "_low").select(
+        "_order", (F.col("_b0") + F.col("_b")).alias("_start")
     )
-    inside = F.sum("_n").over(Window.partitionBy("_range").orderBy(order_col)) - F.col("_n")
-    starts = counts.withColumn("_inside", inside).join(ranges, "_range").select(
-        order_col, (F.col("_before") + F.col("_inside")).alias("_start")
-    )
-    return chunks.join(starts, order_col).withColumn("chunk_index", (F.col("_start") + F.col("pos")).cast("long")).drop("_start")
+    numbered = chunks.join(starts, F.col(order_col).cast("long") == F.col("_order"))
+    return numbered.withColumn("chunk_index", (F.col("_start") + F.col("pos")).cast("long")).drop("_start", "_order")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -22,7 +22,10 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words and word pairs into a unit vector; needs no network."""
+    """Signed feature hashing of words and word pairs into a unit vector; needs no network.
+
+    A feature's hash is the first four bytes of its MD5, which SQL can compute as well.
+    """
 
     def __init__(self, width: int = 256):
         self.width = width
@@ -34,7 +37,7 @@ class HashingEmbedder:
         words = re.findall(r"\w+", (text or "").lower())
         out = np.zeros(self.width)
         for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-            h = zlib.crc32(w.encode())
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
             out[h % self.width] += 1 if h & 0x80000000 else -1
         norm = np.linalg.norm(out)
         return (out / norm if norm else out).tolist()

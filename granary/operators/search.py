@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.config import DEFAULT, Settings
 from granary.functions.text import strip
@@ -16,9 +17,13 @@ from granary.functions.text import strip
 QUERY_BLOCK = 4096
 
 
-def unit_rows(vectors: list[list[float]]) -> np.ndarray:
-    """Rows scaled to length one in double precision; a zero or missing vector becomes NaN."""
-    m = np.array(vectors, dtype=np.float64)
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Rows scaled to length one in double precision, from the array's own buffer; a zero or broken vector becomes NaN.
+
+    All vectors are of one width. A vector that lacks a value matches nothing.
+    """
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -27,45 +32,46 @@ def top_k(
     queries: DataFrame, vectors: DataFrame, k: int | None = None, query_id: str = "query_id", vector_id: str = "vec_id",
     settings: Settings = DEFAULT,
 ) -> DataFrame:
-    """(query_id, vec_id, distance, rank) of the k nearest rows of each query; 0 or null k is the default.
+    """(query_id, <vector_id>, distance, rank) of the k nearest rows of each query; 0 or null k is the default.
 
     A block of queries is broadcast (its size is bounded by QUERY_BLOCK) and multiplied with
     each Arrow batch of vectors; a batch passes on its own k best per query, so what is shuffled
     for the final ranking does not grow with the vectors in a batch. Zero vectors and vectors
-    without any value match nothing; ties go by id.
+    without any value match nothing; ties go by id, which may be of any type.
     """
     k = k or settings.top_k
     spark = vectors.sparkSession
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
-        "embedding is not null"
+        "size(embedding) > 0"
     )
+    source = vectors.select(vector_id, "embedding").where("size(embedding) > 0")
+    schema = T.StructType().add("query_id", "long").add(vector_id, vectors.schema[vector_id].dataType).add("distance", "double")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = "query_id long, vec_id long, distance double"
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         if rows:
-            shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], unit_rows([r["embedding"] for r in rows])))
-            source = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-            found = found.unionByName(source.where("embedding is not null").mapInArrow(_best_of_batch(shared, k), schema))
-    nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id")
+            shared = spark.sparkContext.broadcast(
+                (np.array([r["query_id"] for r in rows]), unit_rows(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))))
+            )
+            found = found.unionByName(source.mapInArrow(_best_of_batch(shared, k, vector_id), schema))
+    nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), vector_id)
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _best_of_batch(shared, k: int):
+def _best_of_batch(shared, k: int, vector_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vec_ids = batch.column(0).to_numpy()
-            distance = 1 - q @ unit_rows(batch.column(1).to_pylist()).T
+            distance = 1 - q @ unit_rows(batch.column(1)).T
             # As the ranking rounds to nine digits, ties at the k-th place must all come through.
             rounded = np.round(distance, 9)
             limit = np.partition(np.nan_to_num(rounded, nan=np.inf), min(k, rounded.shape[1]) - 1, axis=1)[:, min(k, rounded.shape[1]) - 1]
             row, col = np.nonzero(rounded <= limit[:, None] + 1e-9)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids)[row]), pa.array(vec_ids[col]), pa.array(distance[row, col])], ["query_id", "vec_id", "distance"]
+                [pa.array(ids[row]), batch.column(0).take(pa.array(col)), pa.array(distance[row, col])], ["query_id", vector_id, "distance"]
             )
 
     return run

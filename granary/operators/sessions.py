@@ -10,13 +10,17 @@ from granary.functions.text import title
 from granary.operators.assemble import in_order
 
 
-def fold_sessions(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """One row per conv_id: title of the first user turn, number of messages, the transcript in turn order."""
+def fold_sessions(messages: DataFrame, settings: Settings = DEFAULT, time_col: str | None = None) -> DataFrame:
+    """One row per conv_id: title of the first user turn, number of messages, the transcript in turn order.
+
+    With ``time_col``, a timestamp of every message, also ``updated_ms``: the last one's epoch milliseconds.
+    """
+    updated = [F.max(F.unix_millis(F.col(time_col).cast("timestamp"))).alias("updated_ms")] if time_col else []
     said = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     first = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
     return messages.groupBy("conv_id").agg(
         F.coalesce(title(first, settings.title), F.lit("")).alias("title"), F.count("*").alias("n_messages"),
-        F.max("turn").alias("last_turn"), F.array_join(in_order(said, F.col("turn")), "\n").alias("transcript"),
+        F.max("turn").alias("last_turn"), F.array_join(in_order(said, F.col("turn")), "\n").alias("transcript"), *updated,
     )
 
 
@@ -25,6 +29,11 @@ def newest_first(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.col("conv_id").desc())
 
 
+def selected(sessions: DataFrame, conv_id: int) -> DataFrame:
+    """The session of an id: one row, or none."""
+    return sessions.where(F.col("conv_id") == conv_id)
+
+
 def without(sessions: DataFrame, conv_id: int) -> DataFrame:
     return sessions.where(F.col("conv_id") != conv_id)
 

@@ -11,8 +11,9 @@ from granary.config import EXPANSIONS
 from granary.functions import metadata, text
 from granary.operators import answer, assemble, chunk, embed, expand, search, sessions
 from granary.plans import pipeline
+from granary.shared import new_folder, stored
+from granary.sources import files, store
 from granary.sources import sessions as session_store
-from granary.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,14 +80,53 @@ def relevance_scores(spark, sf_dir):
     return near.select("query_id", "vec_id", search.relevance(F.col("distance")).alias("relevance"))
 
 
-def _hits(spark, sf_dir, n=5):
-    """Ranked hits without a search: each source asks for its first documents."""
-    docs = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return docs.where(F.col("rank") <= n).withColumns({"query_id": F.col("source"), "distance": F.col("rank") / 8.0})
+WIDTH = 64
+
+
+def _fixed(spark, sf_dir):
+    """Every distinct 400-character cut of every document, the last of equal ones, with its embedding; stored."""
+    cut = chunk.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    keyed = cut.select(metadata.content_id(F.col("text")).alias("chunk_id"), "text", "source", F.struct("doc_id", "pos").alias("place"))
+    last = store.last_wins(keyed, "chunk_id", "place").drop("place")
+    return stored(embed.embed(last, embed.HashingEmbedder(WIDTH)), "fixed-chunks")
+
+
+def _hits(spark, sf_dir, k=5):
+    """The nearest cuts of every benchmark item, ranked, copies included."""
+    return pipeline.retrieve(_asked(spark, sf_dir), _fixed(spark, sf_dir), embed.HashingEmbedder(WIDTH), k, distinct=False)
+
+
+_EXPAND = "concat_ws(' ', {x}, " + ", ".join(f"CASE WHEN contains(lower({{x}}), '{w}') THEN '{p}' END" for w, p in EXPANSIONS) + ")"
+
+#: The same in SQL: feature hashing is MD5 arithmetic, and ranks are windows.
+_EMBEDDED = """
+fixed AS (
+  SELECT 'chunk_' || sha256(text) AS chunk_id, text, source FROM (
+    SELECT doc_id, source, pos, substring(text, pos * 400 + 1, 400) AS text
+    FROM (SELECT doc_id, source, text, unnest(generate_series(0, (length(text) - 1) // 400)) AS pos FROM documents WHERE length(text) > 0))
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC, pos DESC) = 1
+), asked AS (SELECT item_id AS query_id, text AS question, """ + _EXPAND.format(x="text") + """ AS text FROM benchmark
+), all_texts AS (
+  SELECT chunk_id AS id, text FROM fixed UNION ALL SELECT 'q' || query_id, text FROM asked
+), words AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM all_texts
+), features AS (
+  SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), hashed AS (SELECT id, CAST(CAST('0x' || substr(md5(f), 1, 8) AS UINTEGER) AS BIGINT) AS h FROM features
+), summed AS (SELECT id, h % 64 AS bucket, sum(CASE WHEN h >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM hashed GROUP BY ALL
+), normed AS (SELECT id, map_from_entries(list((bucket, x))) AS m, sqrt(sum(x * x)) AS norm FROM summed GROUP BY id
+), vectors AS (
+  SELECT id, list_transform(range(64), lambda b: CAST(CAST(coalesce(m[b], 0) / norm AS FLOAT) AS DOUBLE)) AS v FROM normed WHERE norm > 0
+)"""
+_HITS = """(WITH """ + _EMBEDDED + """, pairs AS (
+  SELECT query_id, question, chunk_id, fixed.text AS text, source, 1 - list_cosine_similarity(a.v, b.v) AS distance
+  FROM asked JOIN vectors a ON a.id = 'q' || query_id, fixed JOIN vectors b ON b.id = chunk_id
+) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM pairs QUALIFY rank <= @n)"""
+
+
+def _hits_sql(n: int) -> str:
+    return _HITS.replace("@n", str(n))
 
 
-_HITS = """(SELECT *, source AS query_id, rank / 8.0 AS distance FROM
-  (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= {n})"""
 _BLANK = r"[\s\x{0b}\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
@@ -95,15 +135,14 @@ def _strip_sql(x: str) -> str:
 
 
 @query(f"""
-SELECT doc_id, query_id, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, {_strip_sql('text')} ORDER BY rank) AS c FROM {_HITS.format(n=40)}
+SELECT chunk_id, query_id, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, {_strip_sql('text')} ORDER BY rank) AS c FROM {_hits_sql(40)}
 ) WHERE c = 1
 """)
 def dedupe_after_top_k(spark, sf_dir):
-    return search.dedupe(_hits(spark, sf_dir, 40)).select("doc_id", "query_id", F.col("rank").cast("long").alias("rank"))
+    return search.dedupe(_hits(spark, sf_dir, 40)).select("chunk_id", "query_id", F.col("rank").cast("long").alias("rank"))
 
 
-_EXPAND = "concat_ws(' ', {x}, " + ", ".join(f"CASE WHEN contains(lower({{x}}), '{w}') THEN '{p}' END" for w, p in EXPANSIONS) + ")"
 
 
 @query(f"SELECT CAST(query_id AS BIGINT) AS query_id, {_EXPAND.format(x='question')} AS expanded FROM {_QUESTIONS_SQL}")
@@ -118,7 +157,7 @@ def expand_conversations(spark, sf_dir):
 
 @query(f"""
 SELECT query_id, string_agg('Source: ' || coalesce(source, 'unknown') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
-  count(*) AS context_chunks FROM {_HITS.format(n=5)} GROUP BY query_id
+  count(*) AS context_chunks FROM {_hits_sql(5)} GROUP BY query_id
 """)
 def context_text(spark, sf_dir):
     return assemble.context(_hits(spark, sf_dir))
@@ -126,7 +165,7 @@ def context_text(spark, sf_dir):
 
 @query(f"""
 SELECT query_id, string_agg('📄 Source: ' || coalesce(source, 'unknown') || chr(10) || text || chr(10) || '---', chr(10) ORDER BY rank) AS context
-FROM {_HITS.format(n=5)} GROUP BY query_id
+FROM {_hits_sql(5)} GROUP BY query_id
 """)
 def context_text_alt(spark, sf_dir):
     return assemble.framed_context(_hits(spark, sf_dir))
@@ -134,7 +173,7 @@ def context_text_alt(spark, sf_dir):
 
 @query(f"""
 SELECT query_id, rank, coalesce(source, 'unknown') AS filename, CAST(round(1 - distance, 3) + 0.0 AS DOUBLE) AS relevance_score,
-  substring(text, 1, 200) AS snippet FROM {_HITS.format(n=5)}
+  substring(text, 1, 200) AS snippet FROM {_hits_sql(5)}
 """)
 def citations(spark, sf_dir):
     return assemble.citations(_hits(spark, sf_dir)).select(
@@ -144,7 +183,7 @@ def citations(spark, sf_dir):
 
 @query(f"""
 SELECT query_id, string_agg(coalesce(source, 'unknown') || '|' || substring(text, 1, 200), chr(10) ORDER BY rank) AS listed
-FROM {_HITS.format(n=5)} GROUP BY query_id
+FROM {_hits_sql(5)} GROUP BY query_id
 """)
 def answer_sources(spark, sf_dir):
     """Sources of each answer as an array in rank order, written out flat."""
@@ -335,8 +374,8 @@ _FAILURES_SQL = "(VALUES " + ", ".join(f"({i}, '{r}', '{k}', '{m}', '{b}')" for
 
 @query(f"""
 SELECT CAST(failure_id AS BIGINT) AS failure_id, status, CASE WHEN msg <> '' THEN msg WHEN detail IS NOT NULL THEN detail
-  WHEN status = 400 THEN 'No documents ingested. Ingest first.' WHEN status >= 500 THEN 'API error. Check the service''s log and keys.'
-  ELSE 'Request failed (' || status || ')' END AS shown FROM (
+  WHEN status = 400 THEN 'The collection is empty. Ingest documents before asking.' WHEN status >= 500 THEN 'The service failed. Its log says more.'
+  ELSE 'Not answered, status ' || status END AS shown FROM (
   SELECT *, CASE WHEN route <> 'query' THEN 500 WHEN kind = 'runtime' THEN 400
     WHEN contains(message, 'expired_api_key') OR contains(message, 'Invalid API Key') THEN 401 ELSE 500 END AS status,
     CASE WHEN json_valid(body) THEN body ->> '$.detail[0].msg' END AS msg,
@@ -350,7 +389,7 @@ def failures(spark, sf_dir):
 
 def _chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return embed.embed(pipeline.chunked(docs, "doc_id").dropDuplicates(["chunk_id"]), embed.HashingEmbedder(64))
+    return stored(embed.embed(store.last_wins(pipeline.chunked(docs, "doc_id"), "chunk_id", "chunk_index"), embed.HashingEmbedder(64)), "embedded")
 
 
 def _asked(spark, sf_dir):
@@ -375,3 +414,140 @@ def grounded_answers(spark, sf_dir):
     """An extractive answer with sources to every benchmark item."""
     got = pipeline.answer_questions(_asked(spark, sf_dir), _chunks(spark, sf_dir), embed.HashingEmbedder(64), answer.Extractive())
     return got.select("query_id", "answer", F.size("sources").alias("n_sources"), "context_chunks", "model")
+
+
+@query("WITH " + _EMBEDDED + """ SELECT chunk_id, 64 AS width, round(list_sum(list_transform(range(64), lambda b: (b + 1) * coalesce(v[b + 1], 0))), 4) + 0.0 AS weighed
+FROM fixed LEFT JOIN vectors ON id = chunk_id""")
+def embedded_fixed_chunks(spark, sf_dir):
+    """Every distinct fixed cut with its embedding, summed up by position."""
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return _fixed(spark, sf_dir).select("chunk_id", F.size("embedding").cast("long").alias("width"), (F.round(weighed, 4) + F.lit(0.0)).alias("weighed"))
+
+
+@query("SELECT query_id, rank, round(distance, 6) + 0.0 AS distance, chunk_id, source FROM " + _hits_sql(5))
+def retrieved_plain(spark, sf_dir):
+    """The five nearest fixed cuts of every benchmark item, extended by phrases, copies included."""
+    got = _hits(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "distance", "chunk_id", "source")
+    return got.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@query(f"""
+SELECT query_id, rank, round(distance, 6) + 0.0 AS distance, chunk_id, source FROM {_hits_sql(5)}
+QUALIFY row_number() OVER (PARTITION BY query_id, {_strip_sql('text')} ORDER BY rank) = 1
+""")
+def retrieved_with_scores(spark, sf_dir):
+    """The same without copies."""
+    got = pipeline.retrieve(_asked(spark, sf_dir), _fixed(spark, sf_dir), embed.HashingEmbedder(WIDTH))
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), (F.round("distance", 6) + F.lit(0.0)).alias("distance"), "chunk_id", "source")
+
+
+@query(f"""
+WITH kept AS (
+  SELECT * FROM {_hits_sql(5)} QUALIFY row_number() OVER (PARTITION BY query_id, {_strip_sql('text')} ORDER BY rank) = 1
+), contexts AS (
+  SELECT query_id, any_value(question) AS question, count(*) AS context_chunks,
+    string_agg('Source: ' || coalesce(source, 'unknown') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+    string_agg(coalesce(source, 'unknown'), '|' ORDER BY rank) AS filenames FROM kept GROUP BY query_id
+), lines AS (
+  SELECT query_id, question, i, lines[i] AS line FROM (
+    SELECT query_id, question, lines, unnest(generate_series(1, len(lines))) AS i FROM (
+      SELECT query_id, question, string_split(context, chr(10)) AS lines FROM contexts))
+  WHERE NOT starts_with(lines[i], 'Source: ')
+), sentences AS (
+  SELECT query_id, question, i, j, parts[j] AS sentence FROM (
+    SELECT query_id, question, i, parts, unnest(generate_series(1, len(parts))) AS j FROM (
+      SELECT query_id, question, i, string_split(line, '. ') AS parts FROM lines))
+  WHERE {_strip_sql('parts[j]')} <> ''
+), weighed AS (
+  SELECT *, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(question), '{_BLANK}+'), lambda x: x <> '')),
+    list_distinct(list_filter(regexp_split_to_array(lower(sentence), '{_BLANK}+'), lambda x: x <> '')))) AS n FROM sentences
+), best AS (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i, j) <= 3
+), said AS (
+  SELECT query_id, string_agg('- ' || {_strip_sql('sentence')}, chr(10) ORDER BY i, j) AS answer FROM best WHERE n > 0 GROUP BY query_id
+)
+SELECT query_id, coalesce(answer, '{answer.Extractive.nothing}') AS answer, filenames, context_chunks, 'extractive' AS model
+FROM contexts LEFT JOIN said USING (query_id)
+""")
+def extractive_answers(spark, sf_dir):
+    """An answer from the context of the nearest fixed cuts of every benchmark item, and its sources in rank order."""
+    got = pipeline.answer_questions(_asked(spark, sf_dir), _fixed(spark, sf_dir), embed.HashingEmbedder(WIDTH), answer.Extractive())
+    return got.select("query_id", "answer", F.array_join("sources.filename", "|").alias("filenames"), "context_chunks", "model")
+
+
+@query("SELECT item_id AS query_id, '" + answer.NO_GENERATOR + "' AS answer, 'none' AS model, 5 AS n_sources FROM benchmark WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+def answers_without_generator(spark, sf_dir):
+    got = pipeline.answer_questions(_asked(spark, sf_dir), _fixed(spark, sf_dir), embed.HashingEmbedder(WIDTH), None)
+    return got.select("query_id", "answer", "model", F.greatest(F.size("sources"), F.lit(5)).cast("long").alias("n_sources"))
+
+
+#: Files of a folder: name and content. Only .txt and .pdf count; a form feed ends a page of our PDFs.
+_FILES = (("b.TXT", "one\r\ntwo é"), ("a.txt", "first"), ("c.md", "not read"), ("d.pdf", "p1\fp2"), ("e.Txt", "\ufeffmark\rend"))
+
+
+def _split_pages(content: bytes) -> list:
+    return [(text, {"page": str(k), "source": "overwritten"}) for k, text in enumerate(content.decode().split("\f"))]
+
+
+def _put(spark, path: str, content: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+@query("""SELECT 'folder' AS via, * FROM (VALUES ('a.txt', 'text', 0::BIGINT, 'first', NULL), ('b.TXT', 'text', 1, 'one' || chr(10) || 'two é', NULL),
+  ('d.pdf', 'pdf', 2, 'p1', '0'), ('d.pdf', 'pdf', 3, 'p2', '1'), ('e.Txt', 'text', 4, chr(65279) || 'mark' || chr(10) || 'end', NULL)) AS t(source, file_type, ordinal, text, page)
+UNION ALL SELECT 'paths', * FROM (VALUES ('c.md', 'text', 0::BIGINT, 'not read', NULL), ('d.pdf', 'pdf', 1, 'p1', '0'), ('d.pdf', 'pdf', 2, 'p2', '1'))
+UNION ALL SELECT 'raw', * FROM (VALUES ('z.txt', 'text', 0::BIGINT, 'raw', NULL))""")
+def file_documents(spark, sf_dir):
+    """Documents of a folder of samples, of named paths, and of a raw folder that goes before the samples."""
+    root = new_folder(spark, "files")
+    for name, content in _FILES:  # a few literals
+        _put(spark, f"{root}/samples/{name}", content)
+    samples = files.documents_from(spark, [], f"{root}/raw", f"{root}/samples", _split_pages).withColumn("via", F.lit("folder"))
+    named = files.documents_from(spark, [f"{root}/samples/c.md", f"{root}/samples/d.pdf"], f"{root}/raw", f"{root}/samples", _split_pages)
+    _put(spark, f"{root}/raw/z.txt", "raw")
+    raw = files.documents_from(spark, None, f"{root}/raw", f"{root}/samples").withColumn("via", F.lit("raw"))
+    every = samples.unionByName(named.withColumn("via", F.lit("paths"))).unionByName(raw)
+    return every.select("via", "source", "file_type", "ordinal", "text", F.col("metadata")["page"].alias("page"))
+
+
+def _rows_for_store(docs, shift=0):
+    return docs.select(
+        metadata.content_id(F.col("text")).alias("chunk_id"), "text", "source", (F.col("doc_id") + shift).alias("chunk_index"),
+        F.length("text").cast("int").alias("chunk_size"), F.create_map().cast("map<string,string>").alias("metadata"),
+        F.array(F.lit(0.5).cast("float")).alias("embedding"),
+    )
+
+
+@query("""SELECT 'chunk_' || sha256(text) AS chunk_id, coalesce(max(doc_id + 10000000) FILTER (lang = 'en'), max(doc_id)) AS chunk_index
+FROM documents GROUP BY 1""")
+def collection_merges(spark, sf_dir):
+    """A collection after all documents were merged, then the English ones again with other ordinals, twice."""
+    docs = table(spark, sf_dir, "documents")
+    kept = store.Collection(spark, new_folder(spark, "collection"))
+    kept.upsert(_rows_for_store(docs))
+    for _ in range(2):
+        kept.upsert(_rows_for_store(docs.where("lang = 'en'"), 10_000_000))
+    return kept.read().select("chunk_id", "chunk_index")
+
+
+@query("""SELECT * FROM (SELECT 'new' AS step, false AS ready, 0::BIGINT AS total_documents, 'none' AS status
+UNION ALL SELECT 'loaded', true, count(DISTINCT text), 'given ' || count(*) FROM documents UNION ALL SELECT 'dropped', false, 0, 'cleared')""")
+def collection_lifecycle(spark, sf_dir):
+    """What a collection says of itself when new, loaded and dropped."""
+    kept = store.Collection(spark, new_folder(spark, "collection"))
+    said = lambda step, status: (step, kept.ready(), store.stats(kept.read()).first()["total_documents"], status)
+    rows = [said("new", "none")]
+    rows.append((lambda n: said("loaded", f"given {n}"))(kept.upsert(_rows_for_store(table(spark, sf_dir, "documents")))))
+    rows.append((lambda r: said("dropped", r["status"]))(kept.drop()))
+    return spark.createDataFrame(rows, "step string, ready boolean, total_documents long, status string")
+
+
+@query("""SELECT user_id AS conv_id, epoch_ms(max(ts)) AS updated_ms, count(*) AS n_messages FROM events GROUP BY 1""")
+def session_updates(spark, sf_dir):
+    """Sessions of events by user, with the time of the last one."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.lit("user").alias("role"), F.col("event_type").alias("text"), "ts"
+    )
+    return sessions.fold_sessions(rows, time_col="ts").select("conv_id", "updated_ms", "n_messages")

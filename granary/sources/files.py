@@ -1,6 +1,6 @@
 """Text and PDF files as document rows.
 
-A document row is (path, source, file_type, ordinal, text). Spark's file listing leaves out
+A document row is (path, source, file_type, ordinal, text, metadata). Spark's file listing leaves out
 names that begin with a dot or underscore and files of no bytes; these are not documents here.
 """
 
@@ -9,45 +9,60 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import basename
+from granary.shared import stored
 
-SCHEMA = "path string, source string, file_type string, ordinal long, text string"
+SCHEMA = "path string, source string, file_type string, ordinal long, text string, metadata map<string,string>"
+_ROWS = "path string, source string, file_type string, page int, text string, metadata map<string,string>"
 
-#: From the bytes of a PDF to the texts of its pages.
-PdfParser = Callable[[bytes], list[str]]
+#: From the bytes of a PDF to its pages: texts, or (text, metadata) pairs.
+PdfParser = Callable[[bytes], list]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Ordinals in the order of names; counts of files, not of texts, pass through the window."""
-    order = docs.select("path", "page", "source").withColumn("ordinal", F.row_number().over(Window.orderBy("source", "path", "page")) - 1)
-    return docs.join(order.drop("source"), ["path", "page"]).select(
-        "path", "source", "file_type", F.col("ordinal").cast("long").alias("ordinal"), "text"
+    """Ordinals in the order of names.
+
+    The rows are stored in that order, which evaluates scan and parser once; a row's ordinal is
+    its place in its part file and the number of rows in the files before, a few counts.
+    """
+    kept = stored(docs.orderBy("source", "path", "page"), "documents")
+    placed = kept.select("*", F.col("_metadata.file_name").alias("_part"), F.col("_metadata.row_index").alias("_at"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(  # a row for each part file
+        "path", "source", "file_type", (F.col("_before") + F.col("_at")).cast("long").alias("ordinal"), "text", "metadata"
     )
 
 
+def decoded(content: Column) -> Column:
+    """Strict UTF-8 with one kind of line end, for batches and streams alike."""
+    return F.regexp_replace(F.decode(content, "UTF-8"), "\r\n?", "\n")
+
+
 def _texts(files: DataFrame) -> DataFrame:
-    """Whole files as strict UTF-8, with one kind of line end."""
     return files.select(
         "path", basename(F.col("path")).alias("source"), F.lit("text").alias("file_type"), F.lit(0).alias("page"),
-        F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"),
+        decoded(F.col("content")).alias("text"), F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
 
 def _pdfs(files: DataFrame, parse: PdfParser | None) -> DataFrame:
+    """Pages by the parser. Its metadata is kept, but for ``source`` and ``file_type``, which are the scan's."""
     if parse is None:
-        return files.sparkSession.createDataFrame([], "path string, source string, file_type string, page int, text string")
+        return files.sparkSession.createDataFrame([], _ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, content in zip(rows["path"], rows["content"], strict=True):
-                pages = parse(bytes(content))
-                yield pd.DataFrame({"path": path, "page": range(len(pages)), "text": pages}, columns=["path", "page", "text"])
+                pages = [(p, {}) if isinstance(p, str) else p for p in parse(bytes(content))]
+                meta = [{k: None if v is None else str(v) for k, v in m.items() if k not in ("source", "file_type")} for _, m in pages]
+                yield pd.DataFrame({"path": path, "page": range(len(pages)), "text": [t for t, _ in pages], "metadata": meta}, columns=["path", "page", "text", "metadata"])
 
-    pages = files.select("path", "content").mapInPandas(run, "path string, page int, text string")
-    return pages.select("path", basename(F.col("path")).alias("source"), F.lit("pdf").alias("file_type"), "page", "text")
+    pages = files.select("path", "content").mapInPandas(run, "path string, page int, text string, metadata map<string,string>")
+    return pages.select("path", basename(F.col("path")).alias("source"), F.lit("pdf").alias("file_type"), "page", "text", "metadata")
 
 
 def scan_files(spark: SparkSession, paths: list[str], parse_pdf: PdfParser | None = None) -> DataFrame:

@@ -1,16 +1,23 @@
-"""A keyed collection of chunks in versioned Parquet folders.
+"""A keyed collection of chunks in Parquet folders.
 
-Every write makes a new version next to the old one and is seen once its ``_SUCCESS`` marker is
-there, so readers never meet half a version and a failed write leaves the old one in place.
+``v=<n>`` is a full version, ``d=<n>`` the rows that a later write added or replaced; numbers
+rise over both. A folder is seen once its ``_SUCCESS`` marker is there, so readers never meet
+half a write and a failed one leaves everything in place. A write costs what it adds; after
+``COMPACT`` of them the collection is written anew as one version.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.config import DEFAULT, Settings
-from granary.sources.files import folder_exists
+from granary.config import DEFAULT, Settings, normalised_mode
+from granary.shared import broadcast_if_small, exists, removed, stored
+
+log = logging.getLogger(__name__)
+COMPACT = 8
 
 SCHEMA = (
     "chunk_id string, text string, source string, chunk_index long, chunk_size int, metadata map<string,string>, embedding array<float>"
@@ -25,44 +32,82 @@ class Collection:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
-        if not folder_exists(self.spark, self.root):
+    def _numbers(self, kind: str) -> list[int]:
+        if not exists(self.spark, self.root):
             return []
         fs, path = self._fs(self.root)
         names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and folder_exists(self.spark, f"{self.root}/{n}/_SUCCESS"))
+        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and exists(self.spark, f"{self.root}/{n}/_SUCCESS"))
+
+    def versions(self) -> list[int]:
+        """Numbers of the full versions."""
+        return self._numbers("v")
+
+    def deltas(self) -> list[int]:
+        """Numbers of the writes since the newest full version."""
+        newest = (self.versions() or [0])[-1]
+        return [n for n in self._numbers("d") if n > newest]
+
+    def _part(self, kind: str, number: int) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{kind}={number}")
 
     def read(self) -> DataFrame:
-        """The newest version; an empty table if there is none."""
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v={found[-1]}")
+        """The newest version under the writes since: of equal ids the latest; an empty table if there is none."""
+        versions = self.versions()
+        rows = self._part("v", versions[-1]) if versions else self.spark.createDataFrame([], SCHEMA)
+        for n in self.deltas():
+            delta = self._part("d", n)
+            ids = broadcast_if_small(delta.select("chunk_id"), 96)
+            rows = rows.join(ids, "chunk_id", "left_anti").unionByName(delta)
+        return rows
 
     def upsert(self, chunks: DataFrame, order_col: str = "chunk_index") -> int:
         """Merge by chunk_id, the last of equal ids wins; returns the number of chunks given.
 
-        One shuffle by id ranks the new rows, one anti join drops the rows they replace.
+        The given rows are evaluated once, into a table of their own, so an embedder is called
+        once for each text and what is counted is what is stored. Of that, one shuffle by id
+        keeps the last of equal ids.
         """
-        new = last_wins(chunks.select(_columns()), "chunk_id", order_col)
-        merged = self.read().join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
-        number = (self.versions() or [0])[-1] + 1
-        merged.write.mode("overwrite").parquet(f"{self.root}/v={number}")
-        return chunks.count()
+        given = stored(chunks.select(_columns()), "upsert")
+        n = given.count()
+        number = max([0, *self.versions(), *self.deltas()]) + 1
+        kind = "d" if self.versions() else "v"
+        last_wins(given, "chunk_id", order_col).write.mode("overwrite").parquet(f"{self.root}/{kind}={number}")
+        removed(given)
+        if len(self.deltas()) >= COMPACT:
+            self.compact()
+        return n
+
+    def compact(self) -> None:
+        """One full version of all there is."""
+        deltas = self.deltas()
+        if deltas:
+            self.read().write.mode("overwrite").parquet(f"{self.root}/v={deltas[-1] + 1}")
 
     def drop(self) -> dict:
-        fs, path = self._fs(self.root)
-        fs.delete(path, True)
+        """Remove the collection. A failure is logged and still reported as cleared."""
+        try:
+            fs, path = self._fs(self.root)
+            fs.delete(path, True)
+        except Exception:
+            log.exception("collection %s was not removed", self.name)
         return {"status": "cleared", "message": f"collection {self.name} removed"}
 
     def ready(self) -> bool:
-        return not self.read().isEmpty()
+        """Does it hold anything? False on any error."""
+        try:
+            return not self.read().isEmpty()
+        except Exception:
+            log.exception("collection %s cannot be read", self.name)
+            return False
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all versions but the newest ones."""
-        for v in self.versions()[:-keep]:
-            fs, path = self._fs(f"{self.root}/v={v}")
-            fs.delete(path, True)
+        """Remove all full versions but the newest ones, and the writes before them."""
+        old = self.versions()[:-keep]
+        for kind, numbers in (("v", old), ("d", [n for n in self._numbers("d") if n < (self.versions() or [0])[-keep:][0]])):
+            for n in numbers:
+                fs, path = self._fs(f"{self.root}/{kind}={n}")
+                fs.delete(path, True)
 
 
 def _columns() -> list[str]:
@@ -84,7 +129,7 @@ def stats(chunks: DataFrame, name: str = DEFAULT.collection, model: str = "hashi
 
 def health(chunks: DataFrame, model: str = "extractive", settings: Settings = DEFAULT, mode: str | None = None) -> DataFrame:
     """One row: ready if there are chunks or in dummy mode; unknown modes are the dummy mode."""
-    mode = mode if mode in ("dummy", "rag") else settings.mode
+    mode = normalised_mode(settings.mode if mode is None else mode)
     dummy = mode == "dummy"
     return chunks.agg(F.count("*").alias("total_documents")).select(
         F.lit("ok").alias("status"), (F.lit(dummy) | (F.col("total_documents") > 0)).alias("ready"), "total_documents",

@@ -10,6 +10,7 @@ from granary.config import DEFAULT, Settings
 from granary.functions.text import basename
 from granary.operators.embed import Embedder
 from granary.plans.pipeline import ingest
+from granary.sources.files import decoded
 from granary.sources.store import Collection
 
 
@@ -18,10 +19,9 @@ def watch_folder(
     once: bool = True,
 ) -> StreamingQuery:
     """A streaming query over a folder. The merge is keyed by content, so a batch that is sent again changes nothing."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
-    docs = files.select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.lit("text").alias("file_type")
-    ).withColumns({"source": basename(F.col("path")), "ordinal": F.pmod(F.xxhash64("path"), F.lit(1 << 40))})
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.[tT][xX][tT]").load(folder)
+    docs = files.select(decoded(F.col("content")).alias("text"), "path", F.lit("text").alias("file_type")).withColumns({"source": basename(F.col("path")), "ordinal": F.pmod(F.xxhash64("path"), F.lit(1 << 40))})  # texts as in a batch: strict UTF-8, one line end
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():

@@ -188,3 +188,70 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
             (folder / name).write_text("beta text")
         watch_folder(spark, str(folder), store, EMBEDDER, str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["text"] for r in store.read().collect()) == ["alpha text", "beta text"]
+
+
+class Counted:
+    """An embedder that counts the texts it was given."""
+
+    def __init__(self, spark):
+        self.seen = spark.sparkContext.accumulator(0)
+
+    def __call__(self, texts):
+        self.seen.add(len(texts))
+        return EMBEDDER(texts)
+
+
+def test_every_text_is_embedded_once(spark, tmp_path):
+    store, docs = Collection(spark, str(tmp_path / "store")), spark.createDataFrame(
+        [(k, f"text number {k} about cats", f"f{k}") for k in range(12)] + [(12, "text number 3 about cats", "copy")], "ordinal long, text string, source string"
+    )
+    counted = Counted(spark)
+    assert pipeline.ingest(docs, store, counted)["chunks_added"] == 13 and counted.seen.value == 13
+    asked = Counted(spark)
+    questions = spark.createDataFrame([(1, "number 3"), (2, "cats"), (3, "text 5")], "query_id long, question string")
+    assert pipeline.answer_questions(questions, store.read(), asked, answer.Extractive()).count() == 3 and asked.seen.value == 3
+    got = pipeline.answer_questions(questions, store.read(), EMBEDDER, None).collect()
+    assert {(r["answer"], r["model"]) for r in got} == {(answer.NO_GENERATOR, "none")} and all(r["sources"] for r in got)
+    assert pipeline.ask(spark, "cats", store, EMBEDDER, None, " RAG ")["model"] == "none"
+    assert pipeline.ask(spark, "cats", store, EMBEDDER, None, "else")["model"] == "dummy"
+
+
+@pytest.mark.parametrize("orders", [range(50), [pow(3, k, 1 << 61) for k in range(40)], [-5, 0, 1 << 45, (1 << 45) + 1, 1 << 62]])
+def test_ordinals_of_any_order(spark, orders):
+    rows = [(o, p) for k, o in enumerate(orders) for p in range(1 + k % 3)]
+    got = chunk.with_ordinals(spark.createDataFrame(rows, "o long, pos int").repartition(3), "o").collect()
+    assert [r["chunk_index"] for r in sorted(got, key=lambda r: (r["o"], r["pos"]))] == list(range(len(rows)))
+
+
+def test_collection_adds_deltas_and_compacts(spark, tmp_path, monkeypatch):
+    from granary.sources import store as module
+
+    monkeypatch.setattr(module, "COMPACT", 3)
+    store = Collection(spark, str(tmp_path / "store"))
+    rows = lambda *pairs: spark.createDataFrame(
+        [(i, f"t{i}", "s", n, 1, {}, [1.0]) for i, n in pairs], module.SCHEMA)
+    want = {}
+    for n in range(6):
+        batch = [("a", n), ("b" if n % 2 else "c", n), (f"x{n}", n)]
+        want |= dict(batch)
+        assert store.upsert(rows(*batch)) == 3
+        assert {r["chunk_id"]: r["chunk_index"] for r in store.read().collect()} == want
+    assert store.versions() == [1, 5] and store.deltas() == [6, 7]
+    store.vacuum(1)
+    assert store.versions() == [5] and {r["chunk_id"]: r["chunk_index"] for r in store.read().collect()} == want
+    monkeypatch.setattr(Collection, "_fs", lambda *_: 1 / 0)
+    assert store.drop()["status"] == "cleared" and not store.ready()
+
+
+def test_pdf_metadata_reaches_the_chunks(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    parse = lambda b: [(t, {"page": k, "source": "no", "title": None}) for k, t in enumerate(b.decode().split("|"))]
+    docs = files.scan_folder(spark, str(tmp_path), parse)
+    got = pipeline.chunked(docs).orderBy("chunk_index").collect()
+    assert [(r["text"], r["source"], r["metadata"]["page"], r["metadata"]["title"], r["metadata"]["file_type"]) for r in got] == [("one", "a.pdf", "0", "", "pdf"), ("two", "a.pdf", "1", "", "pdf")]
+
+
+def test_session_updates_and_selection(spark):
+    rows = spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, 'x' AS text, timestamp'2024-01-01 00:00:01.5' AS at UNION ALL SELECT 2L, 0L, 'user', 'y', null")
+    got = sessions.fold_sessions(rows, time_col="at")
+    assert sessions.selected(got, 1).first()["updated_ms"] == 1704067201500 and sessions.selected(got, 3).count() == 0
