@@ -1,68 +1,13 @@
-"""The folder that driver and executors share, and tables kept there to cut lineage."""
+"""Stored tables, as for the rest of the library, and rows told apart by id and text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.shared import broadcast_if_small, exists, new_folder, removed, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local master gets a temporary folder of its own; on a cluster that
-    is an error, since executors would not see each other's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    path = spark.conf.get("granary.shared.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="granary-")
-    spark.conf.set("granary.shared.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def removed(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing will read again: all that came of them is stored itself."""
-    for table in tables:
-        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 << 20) -> DataFrame:
-    """A broadcast of ``df``, a stored table, if its rows fit the limit; else the plain table, for a sorted join.
-
-    ``row_bytes`` is the size of a row, a number or, where rows differ, an expression.
-    """
-    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+__all__ = ["broadcast_if_small", "dropped_rows", "exists", "new_folder", "removed", "row_key", "same_row", "shared_folder", "stored"]
 
 
 def row_key(text: Column) -> Column:
