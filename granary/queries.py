@@ -11,7 +11,7 @@ from granary.config import EXPANSIONS
 from granary.functions import metadata, text
 from granary.operators import answer, assemble, chunk, embed, expand, search, sessions
 from granary.plans import pipeline
-from granary.shared import new_folder, stored
+from granary.shared import new_folder, spread, stored
 from granary.sources import files, store
 from granary.sources import sessions as session_store
 
@@ -85,7 +85,7 @@ WIDTH = 64
 
 def _fixed(spark, sf_dir):
     """Every distinct 400-character cut of every document, the last of equal ones, with its embedding; stored."""
-    cut = chunk.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    cut = chunk.fixed_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     keyed = cut.select(metadata.content_id(F.col("text")).alias("chunk_id"), "text", "source", F.struct("doc_id", "pos").alias("place"))
     last = store.last_wins(keyed, "chunk_id", "place").drop("place")
     return stored(embed.embed(last, embed.HashingEmbedder(WIDTH)), "fixed-chunks")
@@ -273,8 +273,8 @@ def recursive_chunk_invariants(spark, sf_dir):
 
 @query()
 def recursive_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunk.with_ordinals(chunk.split_documents(docs), "doc_id").select("doc_id", "pos", "chunk_index", "chunk_size", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunk.with_ordinals(stored(chunk.split_documents(docs), "split"), "doc_id").select("doc_id", "pos", "chunk_index", "chunk_size", "text")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(source, '') END AS source, coalesce(lang, '') AS lang,
@@ -388,7 +388,7 @@ def failures(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return stored(embed.embed(store.last_wins(pipeline.chunked(docs, "doc_id"), "chunk_id", "chunk_index"), embed.HashingEmbedder(64)), "embedded")
 
 

@@ -63,3 +63,9 @@ def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 <
     """
     size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes).cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer parts than there are cores, such as one file of one row group, dealt out to all cores; others as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
