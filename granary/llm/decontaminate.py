@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
-from granary.llm.shared import dropped_rows, removed, row_key, stored
+from granary.llm.shared import dropped_rows, removed, row_key, spread, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -310,7 +310,7 @@ def clean(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return matches(docs, items).select(
         "doc_id", "item_id", "n_items", F.round("score", 4).alias("score"), F.round("question_overlap", 4).alias("question_overlap"),

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.components import components
-from granary.llm.shared import broadcast_if_small, dropped_rows, removed, row_key, same_row, stored
+from granary.llm.shared import broadcast_if_small, dropped_rows, removed, row_key, same_row, spread, stored
 
 ROUTES = 48
 LOST = 1e-16  # chance that a linked pair shares fewer routes than are counted on
@@ -544,7 +544,7 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:

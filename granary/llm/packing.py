@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.shared import stored
+from granary.llm.shared import spread, stored
 
 CAPACITY = 1024
 END = 2
@@ -311,4 +311,4 @@ def pack(
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are those of the tokenizer with its default settings, which know special tokens in texts."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), special=True)
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), special=True)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.labelled import held_out, training_rows
+from granary.llm.shared import spread
 from granary.llm.toxicity import logistic
 
 WIDTH = 8
@@ -263,7 +264,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")

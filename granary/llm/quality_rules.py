@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shared import stored
+from granary.llm.shared import spread, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -63,9 +63,9 @@ def repeat_words(words: Column) -> Column:
         )
 
     def union_length(h):
-        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.aggregate(
-            F.array_sort(let(placed, repeated)),
+            F.sort_array(let(placed, repeated)),
             F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
             lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
             lambda a: a["n"],
@@ -185,7 +185,7 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "lines_removed", F.round("words_left", 6).alias("words_left"),

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import broadcast_if_small, exists, new_folder, removed, stored
+from granary.llm.shared import broadcast_if_small, exists, new_folder, removed, spread, stored
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = scan(docs, new_folder(spark, "secrets"), path_cols=("doc_id",))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))

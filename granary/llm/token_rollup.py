@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as bpe
-from granary.llm.shared import exists, new_folder, stored
+from granary.llm.shared import exists, new_folder, spread, stored
 
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -199,12 +199,12 @@ def four_batches(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the byte-level BPE and of words, maintained over four batches."""
-    return four_batches(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text"), TOKENIZERS)
+    return four_batches(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")), TOKENIZERS)
 
 
 def token_rollup_by_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same four batches with tokenizers that SQL can count too."""
-    return four_batches(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text"), EXPRESSIONS)
+    return four_batches(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")), EXPRESSIONS)
 
 
 SQL = r"""

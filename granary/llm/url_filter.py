@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import bloom
 from granary.llm.hashing import mix
-from granary.llm.shared import broadcast_if_small, removed, stored
+from granary.llm.shared import broadcast_if_small, removed, spread, stored
 
 #: (verdict, host, path): fixed values of the query's contract.
 RULES = (
@@ -189,7 +189,7 @@ def reported(pages: DataFrame, every: int = REPORTED) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     listed = site_list(spark).unionByName(reported(pages))
     return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed_url")
 

@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.shared import spread
+
 #: Record ids are UUIDs of version 5 in this name space.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:granary:warc")
 DATE = "1970-01-01T00:00:00Z"  # of responses that do not bring one
@@ -285,7 +287,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both derivatives of every page, the records themselves with what identifies them."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return derivatives(responses_of(pages)).select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_type",
         "content_length", "n_links", "record",
