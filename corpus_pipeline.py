@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, secret_scan
-from granary.llm.shared import removed, stored
+from granary.llm.shared import removed, spread, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         removed(*before)  # nothing reads the stage before this one again
