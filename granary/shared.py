@@ -65,6 +65,16 @@ def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 <
     return F.broadcast(df) if size <= limit else df
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most ``size`` bytes from now on in this session, unless it has a limit of its own.
+
+    Spark's default of 64 MB is held several times over, in the executor and its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(key, size)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that lies in fewer parts than there are cores, such as one file of one row group, dealt out to all cores; others as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
