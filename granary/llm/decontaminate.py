@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import hashing
-from granary.llm.shared import dropped_rows, removed, row_key, spread, stored
+from granary.llm.shared import bounded_batches, dropped_rows, removed, row_key, spread, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -228,6 +228,7 @@ def row_matches(
 ) -> DataFrame:
     """(doc_id, row_key, item_id, n_items, score, question_overlap, answer_overlap) of every verified passage and item."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = "doc_id long, row_key long, item_id long, n_items long, score double, question_overlap double, answer_overlap double"
     known = stored(described(items), "items")
     total = known.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20  # bytes hashed at once; bounds the memory that one long text needs
+SEGMENT = 1 << 18  # bytes hashed at once; bounds the memory that one long text needs
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.full(n, _STEP, dtype=np.uint64)
     base[0] = 1
@@ -107,7 +107,7 @@ def words(buf: np.ndarray, bounds: np.ndarray, codes: np.ndarray, prefixes: tupl
         begins[1:] &= ~word[:-1] | first[1:-1]
         ends[:-1] &= ~word[1:] | first[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        power, inverse = _powers(1 << int(max(stop - at, 2) - 1).bit_length())
+        power, inverse = _powers(SEGMENT)
         run = np.zeros(stop - at + 1, dtype=np.uint64)
         np.cumsum(values[b] * power[: stop - at], out=run[1:])
         ends_at = [e, *(np.minimum(e, s + p) for p in prefixes)]

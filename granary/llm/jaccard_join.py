@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.components import components
-from granary.llm.shared import broadcast_if_small, dropped_rows, removed, row_key, same_row, spread, stored
+from granary.llm.shared import bounded_batches, broadcast_if_small, dropped_rows, removed, row_key, same_row, spread, stored
 
 ROUTES = 48
 LOST = 1e-16  # chance that a linked pair shares fewer routes than are counted on
@@ -501,6 +501,7 @@ def components_of_rows(
     extra: int = EXTRA,
 ) -> DataFrame:
     """(doc_id, row_key, n_shingles, class_id, component_id, first) of every row; ``first`` names the row of each component that goes before all others."""
+    bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(digest(docs, size, routes), "digest")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")

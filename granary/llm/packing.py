@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.shared import spread, stored
+from granary.llm.shared import bounded_batches, spread, stored
 
 CAPACITY = 1024
 END = 2
@@ -282,6 +282,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = pieces_of(docs, capacity, ranks_path, with_ids, special)
     pieces = stored(pieces.withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)

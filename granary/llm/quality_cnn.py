@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.labelled import held_out, training_rows
-from granary.llm.shared import spread
+from granary.llm.shared import bounded_batches, spread
 from granary.llm.toxicity import logistic
 
 WIDTH = 8
@@ -244,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """From a text column to its probability: one per whole document."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

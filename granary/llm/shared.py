@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.shared import broadcast_if_small, exists, new_folder, removed, shared_folder, spread, stored
+from granary.shared import bounded_batches, broadcast_if_small, exists, new_folder, removed, shared_folder, spread, stored
 
-__all__ = ["broadcast_if_small", "dropped_rows", "exists", "new_folder", "removed", "row_key", "same_row", "shared_folder", "spread", "stored"]
+__all__ = ["bounded_batches", "broadcast_if_small", "dropped_rows", "exists", "new_folder", "removed", "row_key", "same_row", "shared_folder", "spread", "stored"]
 
 
 def row_key(text: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as bpe
-from granary.llm.shared import exists, new_folder, spread, stored
+from granary.llm.shared import bounded_batches, exists, new_folder, spread, stored
 
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -161,6 +161,7 @@ def four_batches(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     but one. The texts are read once: all batches are made from one stored table of counts.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rollup = Rollup(spark, new_folder(spark, "rollup"), compact=3)
     first, second = tokenizers
     text, plain = F.col("text"), F.translate("text", "0123456789", "")

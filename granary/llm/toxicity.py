@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import hashing
 from granary.llm.labelled import held_out, training_rows
-from granary.llm.shared import spread
+from granary.llm.shared import bounded_batches, spread
 
 BUCKETS = 1 << 17
 PREFIXES = (6, 4)
@@ -138,6 +138,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, model: Model, carry: str) -> DataFrame:
     """(carry, best, total, n, passages) of every row of (carry, text)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

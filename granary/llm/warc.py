@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import spread
+from granary.llm.shared import bounded_batches, spread
 
 #: Record ids are UUIDs of version 5 in this name space.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:granary:warc")
@@ -280,6 +280,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
             if rows:
                 yield table(rows)
 
+    bounded_batches(responses.sparkSession)
     given = [c if c in responses.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("payload", "binary"), ("source_headers", "string"))]
     columns = ["record_id", "url", "date", "headers", "html"]
     return responses.select(F.col("page_id").cast("long").alias("page_id"), *columns, *given).mapInArrow(run, RECORD)
