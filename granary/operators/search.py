@@ -46,19 +46,29 @@ def top_k(
     )
     source = vectors.select(vector_id, "embedding").where("size(embedding) > 0")
     schema = T.StructType().add("query_id", "long").add(vector_id, vectors.schema[vector_id].dataType).add("distance", "double")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if rows:
-            shared = spark.sparkContext.broadcast(
-                (np.array([r["query_id"] for r in rows]), unit_rows(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))))
-            )
-            found = found.unionByName(source.mapInArrow(_best_of_batch(shared, k, vector_id), schema))
+    for block, rows in enumerate(_query_blocks(asked)):
+        shared = spark.sparkContext.broadcast(
+            (np.array([r["query_id"] for r in rows]), unit_rows(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))))
+        )
+        near = source.mapInArrow(_best_of_batch(shared, k, vector_id), schema)
+        found = found.unionByName(near) if block else near
     nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), vector_id)
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
+def _query_blocks(asked: DataFrame) -> Iterator[list]:
+    """The queries in lists of bounded size: one list, got by one job, where they are few."""
+    rows = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(rows) > QUERY_BLOCK:
+        blocks = -(-asked.count() * 5 // (4 * QUERY_BLOCK))  # dealt by hash, so with some room
+        for block in range(blocks):
+            if rows := asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect():
+                yield rows
+    elif rows:
+        yield rows
+
+
 def _best_of_batch(shared, k: int, vector_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value

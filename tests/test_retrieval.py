@@ -79,6 +79,18 @@ def test_top_k_against_brute_force(spark):
     assert search.top_k(asked.limit(0), vectors, 3).count() == 0 and search.top_k(asked, vectors, 1000).count() == 4 * 299
 
 
+def test_top_k_in_blocks_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(k, v) for k, v in enumerate(np.random.default_rng(2).normal(size=(40, 5)).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("name", F.concat(F.lit("v"), F.col("vec_id")))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = lambda: sorted((r["query_id"], r["rank"], r["name"]) for r in search.top_k(asked, vectors, 3, vector_id="name").collect())
+    whole = found()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert found() == whole and len(whole) == 120
+
+
 def test_dedupe_expand_and_assemble(spark):
     hits = spark.createDataFrame(
         [(1, 1, 0.1, "a ", "s"), (1, 2, 0.2, " a", "t"), (1, 3, 0.3, "b", None)], "query_id long, rank int, distance double, text string, source string"
