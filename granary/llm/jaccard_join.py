@@ -6,7 +6,7 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 1. *Suspects.* Every class gets the ``routes`` least of its scrambled shingle hashes. A linked
    pair shares at least so many of these as ``sure_routes`` says (9 of 48 at 0.75; sets of up
    to twelve shingles share all that the threshold asks for), but for a chance of ``LOST`` a pair,
-   far below that of equal 64-bit hashes. Classes that share fewer routes with others are done.
+   less than that of a collision among the pair's own 64-bit shingle hashes. Classes that share fewer routes with others are done.
 2. *Contraction.* The whole sets of the suspects are read once. Every suspect is compared with
    the first and the last class of its routes where one class is that of half its routes, which
    joins most of each family of copies.
