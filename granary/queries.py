@@ -544,7 +544,7 @@ def collection_lifecycle(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, ready boolean, total_documents long, status string")
 
 
-@query("""SELECT user_id AS conv_id, epoch_ms(max(ts)) AS updated_ms, count(*) AS n_messages FROM events GROUP BY 1""")
+@query("""SELECT user_id AS conv_id, epoch_us(max(ts)) // 1000 AS updated_ms, count(*) AS n_messages FROM events GROUP BY 1""")
 def session_updates(spark, sf_dir):
     """Sessions of events by user, with the time of the last one."""
     rows = table(spark, sf_dir, "events").select(
