@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import decontaminate, jaccard_join, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter, warc
+from granary.llm import decontaminate, jaccard_join, merkle, packing, quality_cnn, quality_rules, secret_scan, token_rollup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_token_counts": token_rollup.op9_token_counts,
     "op10_quality_classifier": quality_cnn.op10_quality_classifier,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "token_rollup_by_expressions": token_rollup.token_rollup_by_expressions,
 }
 
@@ -22,5 +23,6 @@ ORACLE = {
     "op1_secret_scans": secret_scan.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op8_url_filters": url_filter.SQL,
+    "op11_merkle_manifest": merkle.SQL,
     "token_rollup_by_expressions": token_rollup.SQL,
 }
