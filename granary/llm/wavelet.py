@@ -84,10 +84,31 @@ def _ids_of_parts(parts: list[str], path: str) -> list[Sequence[int]]:
     return out
 
 
+def _kinds() -> np.ndarray:
+    """Of each ASCII byte: 1 white space, 2 letter, 3 digit, 4 mark; 0 for the rest, of which nothing is assumed."""
+    out = np.zeros(256, np.uint8)
+    for b in (9, 10, 11, 12, 13, *range(32, 127)):
+        c = chr(b)
+        out[b] = 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4
+    return out
+
+
+KINDS = _kinds()
+SPECIAL = b"<|endoftext|>"  # one token, wherever it stands
+
+
 def cuts(buf: np.ndarray) -> np.ndarray:
-    """Whether the tokenizer breaks before a byte: it never joins a visible character and the space or newline after it."""
-    out = np.zeros(len(buf), bool)
-    out[1:] = ((buf[1:] == 0x20) | (buf[1:] == 0x0A)) & (buf[:-1] > 0x20) & (buf[:-1] < 0x7F)
+    """Before which bytes the tokenizer breaks in any case.
+
+    Its tokens hold letters, digits or marks, and white space before them only; but an apostrophe
+    may go with the letters after it. A letter of U+00C0 to U+07FF is no white space either.
+    """
+    kind, out = KINDS[buf], np.zeros(len(buf), bool)
+    before, after = kind[:-1], kind[1:]
+    out[1:] = (before > 1) & (after == 1)
+    out[2:] |= (buf[1:-1] & 0xC0 == 0x80) & (buf[:-2] >= 0xC3) & (buf[:-2] <= 0xDF) & (after[1:] == 1)
+    if SPECIAL not in buf.tobytes():
+        out[1:] |= (before > 1) & (after > 1) & (before != after) & ~((buf[:-1] == 0x27) & (after == 2))
     return out
 
 
