@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,9 @@ def top_k(
     """(query_id, <vector_id>, distance, rank) of the k nearest rows of each query; 0 or null k is the default.
 
     A block of queries is broadcast (its size is bounded by QUERY_BLOCK) and multiplied with
-    each Arrow batch of vectors; a batch passes on its own k best per query, so what is shuffled
-    for the final ranking does not grow with the vectors in a batch. Zero vectors and vectors
-    without any value match nothing; ties go by id, which may be of any type.
+    each Arrow batch of vectors. A task keeps the k best per query over all its batches and passes
+    on these alone, so what is shuffled for the final ranking does not grow with the vectors.
+    Zero vectors and vectors without any value match nothing; ties go by id, which may be of any type.
     """
     k = k or settings.top_k
     spark = vectors.sparkSession
@@ -51,7 +52,7 @@ def top_k(
         shared = spark.sparkContext.broadcast(
             (np.array([r["query_id"] for r in rows]), unit_rows(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))))
         )
-        near = source.mapInArrow(_best_of_batch(shared, k, vector_id), schema)
+        near = source.mapInArrow(_best_of_task(shared, k, vector_id), schema)
         found = found.unionByName(near) if block else near
     nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), vector_id)
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
@@ -69,20 +70,41 @@ def _query_blocks(asked: DataFrame) -> Iterator[list]:
         yield rows
 
 
-def _best_of_batch(shared, k: int, vector_id: str):
+def smallest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least distances of each row, to nine digits as the ranking has them; of ties the first columns."""
+    rounded = np.nan_to_num(np.round(distance, 9), nan=np.inf)
+    n = min(k, rounded.shape[1])
+    limit = np.partition(rounded, n - 1, axis=1)[:, n - 1 : n]
+    row, col = np.nonzero((rounded <= limit) & np.isfinite(rounded))
+    order = np.lexsort((col, rounded[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n]
+
+
+def _best_of_task(shared, k: int, vector_id: str):
+    def best(row: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.RecordBatch]:
+        """Of (query, id, distance) rows the k best a query, ties by id."""
+        order = pc.sort_indices(pa.table([pa.array(row), pa.array(np.round(batch.column(1), 9)), batch.column(0)], ["q", "d", "i"]), sort_keys=[("q", "ascending"), ("d", "ascending"), ("i", "ascending")]).to_numpy()
+        row = row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], batch.take(pa.array(order[kept]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        rows, held = np.zeros(0, np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.take(pc.sort_indices(batch.column(0)))  # so that of ties the first columns have the least ids
             distance = 1 - q @ unit_rows(batch.column(1)).T
-            # As the ranking rounds to nine digits, ties at the k-th place must all come through.
-            rounded = np.round(distance, 9)
-            limit = np.partition(np.nan_to_num(rounded, nan=np.inf), min(k, rounded.shape[1]) - 1, axis=1)[:, min(k, rounded.shape[1]) - 1]
-            row, col = np.nonzero(rounded <= limit[:, None] + 1e-9)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), batch.column(0).take(pa.array(col)), pa.array(distance[row, col])], ["query_id", vector_id, "distance"]
-            )
+            row, col = smallest(distance, k)
+            found = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(col)), pa.array(distance[row, col])], ["i", "d"])
+            if held is not None:
+                row, found = np.concatenate([rows, row]), pa.concat_batches([held, found])
+            rows, held = best(row, found)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), *held.columns], ["query_id", vector_id, "distance"])
 
     return run
 

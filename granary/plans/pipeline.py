@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from granary.config import DEFAULT, Settings, normalised_mode
 from granary.functions.metadata import content_id, sanitised
-from granary.operators import answer, assemble, chunk, embed, search
+from granary.operators import answer, assemble, chunk, embed, ivf, search
 from granary.operators.expand import expanded
 from granary.shared import broadcast_if_small, stored
 from granary.sources.store import Collection
@@ -54,16 +54,25 @@ def ingest(
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, embedder: embed.Embedder, k: int | None = None, settings: Settings = DEFAULT,
-    distinct: bool = True,
+    distinct: bool = True, index: ivf.VectorIndex | None = None, where: Column | None = None, target: float | None = 0.95,
 ) -> DataFrame:
     """(query_id, question, rank, distance, chunk_id, text, source) of questions (query_id, question).
 
+    With an ``index`` of the chunks, by chunk_id, only the cells that reach the recall ``target``
+    are searched, and ``where`` may limit the search by the index's payload columns; without one
+    ``where`` limits ``chunks``, which are all compared.
+
     Questions are extended for the search only. Texts are joined to the few hits afterwards, so
     vectors are ranked without them; ``chunks`` is read for both, so give a stored table, such
     as a collection. Questions are embedded once, into a stored table.
     """
     asked = stored(embed.embed(questions.select("query_id", expanded(F.col("question"), settings).alias("text")), embedder), "questions")
-    hits = stored(search.top_k(asked, chunks, k, vector_id="chunk_id", settings=settings), "hits")
+    if index is None:
+        chunks = chunks if where is None else chunks.where(where)
+        found = search.top_k(asked, chunks, k, vector_id="chunk_id", settings=settings)
+    else:
+        found = index.search(asked, k or settings.top_k, target, where)
+    hits = stored(found, "hits")
     texts = chunks.select("chunk_id", "text", "source").join(broadcast_if_small(hits, 160), "chunk_id")
     full = texts.join(questions.select("query_id", "question"), "query_id")
     full = full.select("query_id", "question", "rank", "distance", "chunk_id", "text", "source")

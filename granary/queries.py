@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.config import EXPANSIONS
 from granary.functions import metadata, text
-from granary.operators import answer, assemble, chunk, embed, expand, search, sessions
+from granary.operators import answer, assemble, chunk, embed, expand, ivf, search, sessions
 from granary.plans import pipeline
 from granary.shared import new_folder, spread, stored
 from granary.sources import files, store
@@ -80,6 +80,37 @@ def relevance_scores(spark, sf_dir):
     return near.select("query_id", "vec_id", search.relevance(F.col("distance")).alias("relevance"))
 
 
+def _indexed(spark, sf_dir, **search_options):
+    """Rows of ``search`` in an index of all vectors, partitioned by label, for every fiftieth vector."""
+    vectors = spread(table(spark, sf_dir, "embeddings"))
+    index = ivf.VectorIndex.build(vectors, new_folder(spark, "vector-index"), partition="label")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _ranked(index.search(asked, 10, **search_options))
+
+
+@query()
+def vector_index_top_k(spark, sf_dir):
+    """The ten nearest vectors by the inverted-file index, at its default recall."""
+    return _indexed(spark, sf_dir)
+
+
+@query()
+def vector_index_quantised(spark, sf_dir):
+    """The same from quantised codes, the best ranked anew."""
+    return _indexed(spark, sf_dir, quantised=True)
+
+
+@query(_NEAREST.format(k=10))
+def vector_index_exact(spark, sf_dir):
+    return _indexed(spark, sf_dir, target=None)
+
+
+@query(_NEAREST.replace("AS y FROM embeddings", "AS y FROM embeddings WHERE label IN (1, 4, 7)").format(k=10))
+def vector_index_filtered(spark, sf_dir):
+    """The ten nearest among the vectors of three labels; the folders of other labels are not opened."""
+    return _indexed(spark, sf_dir, target=None, where=F.col("label").isin(1, 4, 7))
+
+
 WIDTH = 64
 
 
@@ -424,6 +455,16 @@ def embedded_fixed_chunks(spark, sf_dir):
     return _fixed(spark, sf_dir).select("chunk_id", F.size("embedding").cast("long").alias("width"), (F.round(weighed, 4) + F.lit(0.0)).alias("weighed"))
 
 
+@query("SELECT query_id, rank, round(distance, 6) + 0.0 AS distance, chunk_id, source FROM " + _hits_sql(5).replace("ON b.id = chunk_id", "ON b.id = chunk_id WHERE source LIKE '%1%'"))
+def retrieved_from_sources(spark, sf_dir):
+    """The five nearest fixed cuts of every benchmark item among those of some sources, by an index partitioned by source."""
+    fixed = _fixed(spark, sf_dir)
+    index = ivf.VectorIndex.build(fixed, new_folder(spark, "chunk-index"), id_col="chunk_id", partition="source")
+    some = F.col("source").like("%1%")
+    got = pipeline.retrieve(_asked(spark, sf_dir), fixed, embed.HashingEmbedder(WIDTH), distinct=False, index=index, where=some, target=None)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), (F.round("distance", 6) + F.lit(0.0)).alias("distance"), "chunk_id", "source")
+
+
 @query("SELECT query_id, rank, round(distance, 6) + 0.0 AS distance, chunk_id, source FROM " + _hits_sql(5))
 def retrieved_plain(spark, sf_dir):
     """The five nearest fixed cuts of every benchmark item, extended by phrases, copies included."""
