@@ -32,11 +32,12 @@ import os
 import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ SHARD = 1 << 20  # ids
 BLOCK = 4096  # bytes of a plane that are compressed together
 CELL_BITS = 20  # places that agree but for so many low bits look for their shard together
 SLICE = 4 << 20  # bytes of text encoded at once
-CACHE = 1 << 19  # parts of texts whose ids a worker remembers
+CACHE = 600_000  # parts of texts whose ids a worker remembers
 MAGIC = b"WVM1"
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -60,30 +61,6 @@ SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
 # Tokens of many texts at once
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The tokenizer and the ids of the parts seen so far, once a worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def _ids_of_parts(parts: list[str], path: str) -> list[Sequence[int]]:
-    tok, known = tokenizer(path)
-    new = [p for p in parts if p not in known]
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = parts
-    if new:
-        known.update(zip(new, (e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    out = [known[p] for p in parts]
-    for p in new:
-        if len(p) > 64:
-            del known[p]
-    return out
-
-
 def _kinds() -> np.ndarray:
     """Of each ASCII byte: 1 white space, 2 letter, 3 digit, 4 mark; 0 for the rest, of which nothing is assumed."""
     out = np.zeros(256, np.uint8)
@@ -112,6 +89,82 @@ def cuts(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+class Parts:
+    """The tokenizer, and the ids of parts of texts seen so far, once a worker."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each id; the vocabulary writes a byte as a character
+        for token, n in vocabulary.items():
+            self.bytes[n] = len(token)
+        self._keep([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _keep(self, names: list[str], flat: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
+        self.known = dict(zip(names, range(len(names)), strict=True))
+        self.flat, self.size, self.hits = flat, size, hits
+
+    def ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, first, number) such that part k, all different, has ``flat[first[k] : first[k] + number[k]]``."""
+        known = self.known
+        at = np.fromiter(map(known.get, parts.to_pylist(), repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = parts.take(pa.array(missing))
+            if len(known) + len(new) > CACHE:
+                self._forget()
+                return self.ids(parts) if len(self.known) + len(parts) <= CACHE else self._alone(parts)
+            ids, size = self._encode(new)
+            at[missing] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(new.to_pylist(), at[missing].tolist(), strict=True))
+            self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits[at] += 1
+        return self.flat, (np.cumsum(self.size) - self.size)[at], self.size[at]
+
+    def _alone(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, size = self._encode(parts)
+        return ids, np.cumsum(size) - size, size
+
+    def _forget(self) -> None:
+        """Keep what came up most, a third of the room at most; parts that came up once go."""
+        room = CACHE // 3
+        least = max(2, int(np.partition(self.hits, -room)[-room]) + 1 if len(self.hits) > room else 2)
+        stay = self.hits >= least
+        names = [p for p, s in zip(self.known, stay.tolist(), strict=True) if s]
+        self._keep(names, self.flat[np.repeat(stay, self.size)], self.size[stay], self.hits[stay] // 2)
+
+    def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and the number of each.
+
+        Parts are encoded together wherever the tokenizer breaks between two, and told apart by
+        the bytes of their tokens.
+        """
+        ends = np.cumsum(pc.binary_length(parts).to_numpy())
+        joined = b"".join(parts.cast(pa.large_binary()).to_pylist())
+        breaks = np.append(cuts(np.frombuffer(joined, np.uint8)), True)[ends]
+        runs, at, first = [], 0, 0
+        for k in np.flatnonzero(~breaks | (np.arange(1, len(ends) + 1) % 2048 == 0)).tolist() + [len(ends) - 1]:
+            if k >= first:
+                runs.append(joined[at : ends[k]].decode())
+                at, first = int(ends[k]), k + 1
+        found = [e.ids for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        token_ends = np.cumsum(self.bytes[ids])
+        upto = np.searchsorted(token_ends, ends) + 1
+        if not np.array_equal(token_ends[upto - 1], ends):
+            raise ValueError("a token lies in two parts")
+        return ids, np.diff(upto, prepend=0)
+
+
+@lru_cache(maxsize=2)
+def known_parts(path: str) -> Parts:
+    return Parts(path)
+
+
 def encode(buf: np.ndarray, bounds: np.ndarray, path: str = TOKENIZER, limit: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and the number of each; bounds are offsets of UTF-8 texts in buf.
 
@@ -143,13 +196,11 @@ def _encode(buf: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray,
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
     parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-    ids = _ids_of_parts(parts.dictionary.to_pylist(), path)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+    flat, first, number = known_parts(path).ids(parts.dictionary)
     code = parts.indices.to_numpy()
-    length = sizes[code]
+    length = number[code]
     ends = np.cumsum(length)
-    source = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - length), length) + np.arange(ends[-1])
+    source = np.repeat(first[code] - (ends - length), length) + np.arange(ends[-1])
     before = np.concatenate([[0], ends])
     return flat[source], np.diff(before[np.searchsorted(starts, bounds)])
 
