@@ -561,6 +561,46 @@ def _rows_for_store(docs, shift=0):
     )
 
 
+def _three_writes(spark, sf_dir):
+    """A collection of all documents but English ones, then those, then some again with other ordinals."""
+    docs = table(spark, sf_dir, "documents")
+    kept = store.Collection(spark, new_folder(spark, "log"))
+    kept.upsert(_rows_for_store(docs.where("lang <> 'en'")))
+    kept.upsert(_rows_for_store(docs.where("lang = 'en'")))
+    kept.upsert(_rows_for_store(docs.where("doc_id % 3 = 0"), 10_000_000))
+    return kept
+
+
+_THREE_WRITES = """
+WITH writes AS (
+  SELECT 1 AS write, 'chunk_' || sha256(text) AS chunk_id, doc_id AS chunk_index FROM documents WHERE lang <> 'en'
+  UNION ALL SELECT 2, 'chunk_' || sha256(text), doc_id FROM documents WHERE lang = 'en'
+  UNION ALL SELECT 3, 'chunk_' || sha256(text), doc_id + 10000000 FROM documents WHERE doc_id % 3 = 0
+)"""
+
+
+@query(_THREE_WRITES + """
+SELECT version, chunk_id, chunk_index FROM writes, (VALUES (1), (2), (3)) AS v(version) WHERE write <= version
+QUALIFY row_number() OVER (PARTITION BY version, chunk_id ORDER BY write DESC, chunk_index DESC) = 1
+""")
+def collection_as_of(spark, sf_dir):
+    """A collection as of each of three commits."""
+    kept = _three_writes(spark, sf_dir)
+    rows = [kept.read(n).select(F.lit(n).cast("long").alias("version"), "chunk_id", "chunk_index") for n in kept.commits()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(_THREE_WRITES + """
+SELECT chunk_id, chunk_index FROM writes WHERE chunk_id IN (SELECT 'chunk_' || sha256(text) FROM benchmark UNION SELECT 'chunk_' || sha256(text) FROM documents WHERE doc_id % 50 = 0)
+QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY write DESC, chunk_index DESC) = 1
+""")
+def collection_lookup(spark, sf_dir):
+    """Rows of some keys, from the buckets that hold them."""
+    docs, items = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select("text"), table(spark, sf_dir, "benchmark").select("text")
+    ids = docs.unionByName(items).select(metadata.content_id(F.col("text")).alias("chunk_id"))
+    return _three_writes(spark, sf_dir).lookup(ids).select("chunk_id", "chunk_index")
+
+
 @query("""SELECT 'chunk_' || sha256(text) AS chunk_id, coalesce(max(doc_id + 10000000) FILTER (lang = 'en'), max(doc_id)) AS chunk_index
 FROM documents GROUP BY 1""")
 def collection_merges(spark, sf_dir):

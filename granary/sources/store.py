@@ -1,14 +1,27 @@
-"""A keyed collection of chunks in Parquet folders.
+"""A keyed collection of chunks in Parquet folders, with a log of numbered commits.
 
-``v=<n>`` is a full version, ``d=<n>`` the rows that a later write added or replaced; numbers
-rise over both. A folder is seen once its ``_SUCCESS`` marker is there, so readers never meet
-half a write and a failed one leaves everything in place. A write costs what it adds; after
-``COMPACT`` of them the collection is written anew as one version.
+``log/<number>.json`` is a commit. Its file is written whole under another name and put in place
+only if no other writer has taken the number, so of two writers one gets it and the other goes on to
+the next. A commit names the parts, data folders under ``data/``, that make up the collection after
+it; readers take the newest commit, or an older one (``read(version=n)``), and never meet half a
+write. A part is a full state (``v``) or the rows that a write added or replaced (``d``).
+
+Rows are dealt to ``BUCKETS`` folders by their key, are sorted by it and have a Bloom filter of it
+in each file. A write opens no earlier file; ``lookup`` opens the buckets of its keys alone. After
+``COMPACT`` deltas these are merged, with each other or, once they hold a good part of the
+collection's rows, with the full state, so a row is rewritten a logarithmic number of times.
+
+A write depends on nothing it has read, so a writer that lost its number commits under the next one;
+``expected`` makes it fail with ``Conflict`` instead if anything was committed since. A compaction
+stands if the parts it read are still there, whatever was added meanwhile; else it is given up.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,50 +31,158 @@ from granary.shared import broadcast_if_small, exists, removed, stored
 
 log = logging.getLogger(__name__)
 COMPACT = 8
+BUCKETS = 16
+FILE_ROWS = 1_000_000  # of a bucket's file
+SHARE = 0.25  # of the full state's rows: deltas that hold more are merged into it
 
 SCHEMA = (
     "chunk_id string, text string, source string, chunk_index long, chunk_size int, metadata map<string,string>, embedding array<float>"
 )
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the expected version."""
+
+
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, name: str = DEFAULT.collection):
-        self.spark, self.name, self.root = spark, name, f"{root.rstrip('/')}/{name}"
+    def __init__(self, spark: SparkSession, root: str, name: str = DEFAULT.collection, buckets: int = BUCKETS):
+        self.spark, self.name, self.root, self.buckets = spark, name, f"{root.rstrip('/')}/{name}", buckets
+
+    # The log
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _numbers(self, kind: str) -> list[int]:
-        if not exists(self.spark, self.root):
+    def _commit_path(self, number: int) -> str:
+        return f"{self.root}/log/{number:012d}.json"
+
+    def commits(self) -> list[int]:
+        """Numbers of the commits that can be read."""
+        if not exists(self.spark, f"{self.root}/log"):
             return []
-        fs, path = self._fs(self.root)
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and exists(self.spark, f"{self.root}/{n}/_SUCCESS"))
+        fs, path = self._fs(f"{self.root}/log")
+        return sorted(int(n[:-5]) for f in fs.listStatus(path) if (n := f.getPath().getName()).endswith(".json") and not n.startswith("."))
+
+    def _commit(self, number: int) -> dict:
+        fs, path = self._fs(self._commit_path(number))
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _newest(self) -> dict:
+        numbers = self.commits()
+        return self._commit(numbers[-1]) if numbers else {"number": 0, "buckets": self.buckets, "parts": []}
+
+    def _put_if_absent(self, number: int, commit: dict) -> bool:
+        """Write a commit unless its number is taken. The file appears whole or not at all.
+
+        Renaming fails where the target exists, but replaces it on a local disk; there a hard
+        link, which does not, takes its place. The store must be one of these kinds.
+        """
+        path = self._commit_path(number)
+        fs, target = self._fs(path)
+        _, temporary = self._fs(f"{self.root}/log/.{uuid.uuid4().hex}")
+        stream = fs.create(temporary, True)
+        stream.write(bytearray(json.dumps(commit).encode()))
+        stream.close()
+        if fs.getUri().getScheme() == "file":
+            jvm, place = self.spark._jvm, lambda p: fs.makeQualified(p).toUri().getPath()
+            local = lambda p: jvm.java.io.File(place(p)).toPath()
+            try:
+                jvm.java.nio.file.Files.createLink(local(target), local(temporary))
+                done = True
+            except Exception as error:
+                if "FileAlreadyExists" not in str(error):
+                    raise
+                done = False
+        else:
+            done = not fs.exists(target) and fs.rename(temporary, target)
+        fs.delete(temporary, False)
+        return done
+
+    def _append(self, change, expected: int | None = None) -> int:
+        """Commit what ``change`` makes of the newest commit's parts, under the next free number; 0 if it gives up."""
+        while True:
+            newest = self._newest()
+            if expected is not None and newest["number"] != expected:
+                raise Conflict(f"version {newest['number']} is there, {expected} was expected")
+            number = newest["number"] + 1
+            parts = change(number, newest["parts"])
+            if parts is None:
+                return 0
+            if self._put_if_absent(number, {"number": number, "buckets": newest["buckets"], "time_ms": int(time.time() * 1000), "parts": parts}):
+                return number
+
+    # Parts
+
+    def _parts(self, version: int | None = None) -> list[dict]:
+        if version is None:
+            return self._newest()["parts"]
+        if version not in self.commits():
+            raise ValueError(f"no version {version}")
+        return self._commit(version)["parts"]
 
     def versions(self) -> list[int]:
-        """Numbers of the full versions."""
-        return self._numbers("v")
+        """Numbers of the commits that wrote a full state."""
+        numbers, found = self.commits(), []
+        for n in numbers:
+            found += [n] if any(p["kind"] == "v" and p["number"] == n for p in self._commit(n)["parts"]) else []
+        return found
 
     def deltas(self) -> list[int]:
-        """Numbers of the writes since the newest full version."""
-        newest = (self.versions() or [0])[-1]
-        return [n for n in self._numbers("d") if n > newest]
-
-    def _part(self, kind: str, number: int) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{kind}={number}")
-
-    def read(self) -> DataFrame:
-        """The newest version under the writes since: of equal ids the latest; an empty table if there is none."""
-        versions = self.versions()
-        rows = self._part("v", versions[-1]) if versions else self.spark.createDataFrame([], SCHEMA)
-        for n in self.deltas():
-            delta = self._part("d", n)
-            ids = broadcast_if_small(delta.select("chunk_id"), 96)
-            rows = rows.join(ids, "chunk_id", "left_anti").unionByName(delta)
-        return rows
-
-    def upsert(self, chunks: DataFrame, order_col: str = "chunk_index") -> int:
+        """Numbers of the deltas over the newest full state."""
+        return [p["number"] for p in self._parts() if p["kind"] == "d"]
+
+    def _write(self, rows: DataFrame, n: int, buckets: int) -> str:
+        """A new data folder, a file for each bucket and so many rows."""
+        folder, files = f"data/{uuid.uuid4().hex}", max(1, -(-n // (buckets * FILE_ROWS)))
+        dealt = rows.withColumn("bucket", bucket_of(F.col("chunk_id"), buckets)).repartition(
+            min(buckets, max(1, n)) * files, "bucket", F.pmod(F.xxhash64(F.lit(1), "chunk_id"), F.lit(files))
+        )
+        dealt.sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").option(
+            "parquet.bloom.filter.enabled#chunk_id", "true"
+        ).option("parquet.bloom.filter.expected.ndv#chunk_id", str(min(FILE_ROWS, max(1, n)))).parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _rows(self, part: dict, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(f"{self.root}/{part['folder']}")
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def _merged(self, parts: list[dict], buckets: list[int] | None = None) -> DataFrame:
+        """Rows of parts, oldest first; of equal keys those of the latest part."""
+        out = None
+        for part in parts:
+            rows = self._rows(part, buckets)
+            if out is not None:
+                ids = broadcast_if_small(rows.select("bucket", "chunk_id"), 100)
+                rows = out.join(ids, ["bucket", "chunk_id"], "left_anti").unionByName(rows)
+            out = rows
+        return self.spark.createDataFrame([], SCHEMA) if out is None else out.drop("bucket")
+
+    # Reading
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All rows, now or as of a commit; an empty table if there is none."""
+        return self._merged(self._parts(version))
+
+    def lookup(self, ids: DataFrame, version: int | None = None) -> DataFrame:
+        """Rows of the keys of a table (chunk_id); only the files of their buckets are opened."""
+        buckets = self._newest()["buckets"]
+        wanted = stored(ids.select("chunk_id").distinct(), "wanted")
+        touched = [r["b"] for r in wanted.select(bucket_of(F.col("chunk_id"), buckets).alias("b")).distinct().collect()]  # a row a bucket
+        return self._merged(self._parts(version), touched).join(broadcast_if_small(wanted, 100), "chunk_id", "left_semi")
+
+    def history(self) -> DataFrame:
+        """(number, time_ms, n_parts, n_rows_written) of the commits in the log."""
+        rows = [(c["number"], c["time_ms"], len(c["parts"]), sum(p["rows"] for p in c["parts"] if p["number"] == c["number"])) for c in map(self._commit, self.commits())]
+        return self.spark.createDataFrame(rows, "number long, time_ms long, n_parts int, n_rows_written long")
+
+    # Writing
+
+    def upsert(self, chunks: DataFrame, order_col: str = "chunk_index", expected: int | None = None) -> int:
         """Merge by chunk_id, the last of equal ids wins; returns the number of chunks given.
 
         The given rows are evaluated once, into a table of their own, so an embedder is called
@@ -70,19 +191,47 @@ class Collection:
         """
         given = stored(chunks.select(_columns()), "upsert")
         n = given.count()
-        number = max([0, *self.versions(), *self.deltas()]) + 1
-        kind = "d" if self.versions() else "v"
-        last_wins(given, "chunk_id", order_col).write.mode("overwrite").parquet(f"{self.root}/{kind}={number}")
+        folder = self._write(last_wins(given, "chunk_id", order_col), n, self._newest()["buckets"])
         removed(given)
+        try:
+            self._append(lambda number, parts: [*parts, {"kind": "d" if parts else "v", "number": number, "folder": folder, "rows": n}], expected)
+        except Conflict:
+            self._delete(folder)
+            raise
         if len(self.deltas()) >= COMPACT:
             self.compact()
         return n
 
-    def compact(self) -> None:
-        """One full version of all there is."""
-        deltas = self.deltas()
-        if deltas:
-            self.read().write.mode("overwrite").parquet(f"{self.root}/v={deltas[-1] + 1}")
+    def compact(self) -> int:
+        """Merge the deltas, with the full state if they hold ``SHARE`` of its rows; the commit's number, 0 if there was nothing to do."""
+        parts = self._parts()
+        full, deltas = [p for p in parts if p["kind"] == "v"], [p for p in parts if p["kind"] == "d"]
+        whole = not full or sum(p["rows"] for p in deltas) >= SHARE * full[0]["rows"]
+        old = parts if whole else deltas
+        if len(old) < 2:
+            return 0
+        rows = stored(self._merged(old), "compacted")
+        n = rows.count()
+        folder = self._write(rows, n, self._newest()["buckets"])
+        removed(rows)
+        gone = {p["folder"] for p in old}
+
+        def change(number: int, now: list[dict]) -> list[dict] | None:
+            if not gone <= {p["folder"] for p in now}:
+                return None  # another writer merged or dropped them
+            # What was added meanwhile is newer than all that was merged.
+            merged = {"kind": "v" if whole else "d", "number": number, "folder": folder, "rows": n}
+            kept = [p for p in now if p["folder"] not in gone]
+            return [*(p for p in kept if p["kind"] == "v"), merged, *(p for p in kept if p["kind"] == "d")]
+
+        number = self._append(change)
+        if not number:
+            self._delete(folder)
+        return number
+
+    def _delete(self, name: str) -> None:
+        fs, path = self._fs(f"{self.root}/{name}")
+        fs.delete(path, True)
 
     def drop(self) -> dict:
         """Remove the collection. A failure is logged and still reported as cleared."""
@@ -102,12 +251,19 @@ class Collection:
             return False
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all full versions but the newest ones, and the writes before them."""
-        old = self.versions()[:-keep]
-        for kind, numbers in (("v", old), ("d", [n for n in self._numbers("d") if n < (self.versions() or [0])[-keep:][0]])):
-            for n in numbers:
-                fs, path = self._fs(f"{self.root}/{kind}={n}")
-                fs.delete(path, True)
+        """Remove the commits before the newest full states, and data that none of the others names."""
+        full = self.versions()[-keep:]
+        if not full:
+            return
+        numbers = self.commits()
+        named = {p["folder"] for n in numbers if n >= full[0] for p in self._commit(n)["parts"]}
+        gone = {p["folder"] for n in numbers if n < full[0] for p in self._commit(n)["parts"]} - named
+        for name in [*(f"log/{n:012d}.json" for n in numbers if n < full[0]), *gone]:
+            self._delete(name)
+
+
+def bucket_of(key, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def _columns() -> list[str]:
