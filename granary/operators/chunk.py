@@ -61,13 +61,10 @@ def split_documents(docs: DataFrame, settings: Settings = DEFAULT, text_col: str
 
 
 def fixed_chunks(docs: DataFrame, size: int = 400, text_col: str = "text") -> DataFrame:
-    """Hard cuts every ``size`` characters, without overlap, in expressions only."""
+    """Hard cuts every ``size`` characters, without overlap, in expressions only; one reading of each text."""
     rest = [c for c in docs.columns if c not in (text_col, "pos", "chunk_size")]
-    starts = F.sequence(F.lit(0), F.floor((F.length(text_col) - 1) / F.lit(size)).cast("int"))
-    cut = docs.where(F.length(text_col) > 0).select(*rest, text_col, F.explode(starts).alias("pos"))
-    return cut.withColumn(text_col, F.substring(text_col, F.col("pos") * size + 1, F.lit(size))).withColumn(
-        "chunk_size", F.length(text_col).cast("int")
-    )
+    cuts = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return docs.select(*rest, F.posexplode(cuts).alias("pos", text_col)).withColumn("chunk_size", F.length(text_col).cast("int"))
 
 
 def with_ordinals(chunks: DataFrame, order_col: str) -> DataFrame:

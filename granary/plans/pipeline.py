@@ -16,8 +16,8 @@ from granary.shared import broadcast_if_small, stored
 from granary.sources.store import Collection
 
 
-#: Names of sources that a report lists.
-REPORTED = 1000
+#: Bytes of source names up to which a report lists them all.
+REPORTED = 32 << 20
 
 
 def chunked(docs: DataFrame, order_col: str = "ordinal", settings: Settings = DEFAULT) -> DataFrame:
@@ -43,13 +43,14 @@ def ingest(
 ) -> dict:
     """Chunk, embed and merge documents; nothing is stored if any batch fails to embed.
 
-    The report counts all sources and names the first ``REPORTED``.
+    The report's ``source_table`` is a stored table of all sources, and ``sources`` lists them
+    all where their names fit the driver (``REPORTED``), else it is None.
     """
     added = collection.upsert(embed.embed(chunked(docs, order_col, settings), embedder, batch=settings.embed_batch))
-    sources = assemble.distinct_sources(docs)
-    count = sources.count()
-    named = [r["source"] for r in sources.orderBy("source").limit(REPORTED).collect()]
-    return {"status": "ok", "chunks_added": added, "sources": named, "message": f"{added} chunks from {count} sources"}
+    sources = stored(assemble.distinct_sources(docs), "sources")
+    count, size = sources.agg(F.count("*"), F.sum(F.octet_length("source") + 64)).first()
+    named = [r["source"] for r in sources.orderBy("source").collect()] if (size or 0) <= REPORTED else None
+    return {"status": "ok", "chunks_added": added, "sources": named, "source_table": sources, "message": f"{added} chunks from {count} sources"}
 
 
 def retrieve(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.config import EXPANSIONS
 from granary.functions import metadata, text
-from granary.operators import answer, assemble, chunk, embed, expand, ivf, search, sessions
+from granary.operators import answer, assemble, chunk, embed, expand, ivf, keywords, search, sessions, sketches, temporal
 from granary.plans import pipeline
 from granary.shared import new_folder, spread, stored
 from granary.sources import files, store
@@ -418,6 +418,108 @@ def failures(spark, sf_dir):
     return rows.select("failure_id", "status", answer.error_text(F.col("body"), F.col("status")).alias("shown"))
 
 
+_EVENT_FAILURES = """(SELECT event_id AS failure_id, CASE event_type WHEN 'signup' THEN 'ingest' WHEN 'click' THEN 'documents' ELSE 'query' END AS route,
+  CASE WHEN event_type = 'error' THEN 'runtime' ELSE 'other' END AS kind,
+  CASE event_id % 4 WHEN 0 THEN 'Invalid API Key' WHEN 1 THEN 'got expired_api_key' WHEN 2 THEN props END AS message,
+  CASE event_id % 5 WHEN 0 THEN concat('{"detail": "', event_type, '"}') WHEN 1 THEN concat('{"detail": [{"msg": "', event_type, '"}, {"msg": "again"}]}') WHEN 2 THEN props
+    WHEN 3 THEN 'not json' END AS body FROM events)"""
+
+
+@query(f"""
+SELECT failure_id, status, CASE WHEN msg <> '' THEN msg WHEN detail IS NOT NULL THEN detail
+  WHEN status = 400 THEN 'The collection is empty. Ingest documents before asking.' WHEN status >= 500 THEN 'The service failed. Its log says more.'
+  ELSE 'Not answered, status ' || status END AS shown FROM (
+  SELECT *, CASE WHEN route <> 'query' THEN 500 WHEN kind = 'runtime' THEN 400
+    WHEN contains(message, 'expired_api_key') OR contains(message, 'Invalid API Key') THEN 401 ELSE 500 END AS status,
+    CASE WHEN json_valid(body) THEN body ->> '$.detail[0].msg' END AS msg,
+    CASE WHEN json_valid(body) AND json_type(body, '$.detail') = 'VARCHAR' THEN body ->> '$.detail' END AS detail FROM {_EVENT_FAILURES})
+""")
+def failures_of_events(spark, sf_dir):
+    """The status and the shown text of every event, read as a failed request."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("granary_events")
+    rows = spark.sql("SELECT * FROM " + _EVENT_FAILURES.replace("FROM events", "FROM granary_events"))
+    rows = rows.withColumn("status", answer.http_status(F.col("kind"), F.col("message"), F.col("route")))
+    return rows.select("failure_id", "status", answer.error_text(F.col("body"), F.col("status")).alias("shown"))
+
+
+@query("""
+WITH signups AS (SELECT user_id, ts AS signup_ts, max(event_id) AS signup_id FROM events WHERE event_type = 'signup' GROUP BY ALL)
+SELECT event_id, signup_id, signup_ts FROM events e ASOF LEFT JOIN signups s ON e.user_id = s.user_id AND e.ts >= s.signup_ts
+""")
+def events_as_of_signup(spark, sf_dir):
+    """Every event with the last sign-up of its user at or before it."""
+    events = table(spark, sf_dir, "events")
+    signups = events.where("event_type = 'signup'").select("user_id", F.col("ts").alias("signup_ts"), F.col("event_id").alias("signup_id"))
+    got = temporal.as_of(events.select("event_id", "user_id", "ts"), signups, "ts", "signup_ts", by=["user_id"])
+    return got.select("event_id", "signup_id", "signup_ts")
+
+
+@query("""
+WITH versions AS (SELECT ts AS since, max(event_id) AS version FROM events WHERE event_id % 100 = 0 GROUP BY ts)
+SELECT event_id, version FROM events e ASOF LEFT JOIN versions v ON e.ts >= v.since
+""")
+def version_in_force(spark, sf_dir):
+    """Every event with the version that was in force, whatever its key: every hundredth event begins one."""
+    events = table(spark, sf_dir, "events")
+    versions = events.where("event_id % 100 = 0").select(F.col("ts").alias("since"), F.col("event_id").alias("version"))
+    return temporal.as_of(events.select("event_id", "ts"), versions, "ts", "since").select("event_id", "version")
+
+
+@query("""
+SELECT o.o_orderkey, p.o_orderkey AS promotion FROM orders o JOIN orders p ON p.o_orderkey % 100 = 0 AND o.o_orderpriority = p.o_orderpriority
+  AND o.o_orderdate >= p.o_orderdate AND o.o_orderdate < p.o_orderdate + to_days(CAST(p.o_orderkey % 37 AS INTEGER))
+""")
+def orders_in_promotions(spark, sf_dir):
+    """Every order with the promotions of its priority that it falls into; every hundredth order begins one of up to 36 days."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    promotions = orders.where("o_orderkey % 100 = 0").select(
+        F.col("o_orderkey").alias("promotion"), "o_orderpriority", F.col("o_orderdate").alias("begins"),
+        F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 37 AS INT))").alias("ends"),
+    )
+    return temporal.within(orders, promotions, "o_orderdate", "begins", "ends", by=["o_orderpriority"]).select("o_orderkey", "promotion")
+
+
+@query("""
+WITH k AS (SELECT DISTINCT lower(w) AS keyword FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark)
+), found AS (
+  SELECT conv_id, turn, string_agg('<' || keyword || '>', ' ' ORDER BY keyword) AS phrases FROM conversations JOIN k ON contains(lower(text), keyword) GROUP BY ALL
+)
+SELECT conv_id, turn, concat_ws(' ', text, phrases) AS expanded FROM conversations LEFT JOIN found USING (conv_id, turn)
+""")
+def expand_by_table(spark, sf_dir):
+    """Every turn and the phrases of all long words of the benchmark that occur in it."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w"))
+    known = words.select(F.lower("w").alias("keyword")).distinct().select(F.lit(0).alias("ord"), "keyword", F.concat(F.lit("<"), "keyword", F.lit(">")).alias("phrase"))
+    return keywords.expanded_by(table(spark, sf_dir, "conversations"), known).select("conv_id", "turn", "expanded")
+
+
+@query()
+def event_sketches(spark, sf_dir):
+    """Users and values of events by type from merged sketches of daily batches, one of them sent twice."""
+    events = table(spark, sf_dir, "events")
+    kept = sketches.SketchTable(spark, new_folder(spark, "sketches"), ["event_type"])
+    for third in (0, 1, 2, 1):
+        kept.append(f"part-{third}", events.where(F.dayofmonth("ts") % 3 == third), "user_id", "value")
+    return kept.totals()
+
+
+#: Ends a document in the files that ``documents_as_files`` writes.
+_END = "\x1d"
+
+
+@query("""
+SELECT sha256(regexp_replace(translate(text, chr(29), ' '), '\r\n?', chr(10), 'g')) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1
+""")
+def documents_as_files(spark, sf_dir):
+    """All documents written to text files, up to 500 in each, and scanned again as a folder."""
+    root = new_folder(spark, "text-files")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.translate("text", _END, " ").alias("value"))
+    docs.write.option("lineSep", _END).option("maxRecordsPerFile", 500).text(f"{root}/raw")
+    parts = F.split("text", _END)
+    texts = files.documents_from(spark, None, f"{root}/raw", f"{root}/samples").select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("text"))
+    return texts.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
 def _chunks(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return stored(embed.embed(store.last_wins(pipeline.chunked(docs, "doc_id"), "chunk_id", "chunk_index"), embed.HashingEmbedder(64)), "embedded")
@@ -515,10 +617,14 @@ def extractive_answers(spark, sf_dir):
     return got.select("query_id", "answer", F.array_join("sources.filename", "|").alias("filenames"), "context_chunks", "model")
 
 
-@query("SELECT item_id AS query_id, '" + answer.NO_GENERATOR + "' AS answer, 'none' AS model, 5 AS n_sources FROM benchmark WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+@query(f"""
+WITH kept AS (
+  SELECT * FROM {_hits_sql(5)} QUALIFY row_number() OVER (PARTITION BY query_id, {_strip_sql('text')} ORDER BY rank) = 1
+) SELECT query_id, '{answer.NO_GENERATOR}' AS answer, 'none' AS model, count(*) AS n_sources FROM kept GROUP BY query_id
+""")
 def answers_without_generator(spark, sf_dir):
     got = pipeline.answer_questions(_asked(spark, sf_dir), _fixed(spark, sf_dir), embed.HashingEmbedder(WIDTH), None)
-    return got.select("query_id", "answer", "model", F.greatest(F.size("sources"), F.lit(5)).cast("long").alias("n_sources"))
+    return got.select("query_id", "answer", "model", F.size("sources").cast("long").alias("n_sources"))
 
 
 #: Files of a folder: name and content. Only .txt and .pdf count; a form feed ends a page of our PDFs.
