@@ -35,4 +35,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if several.isEmpty() and chained.isEmpty():
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out.stored_at = edges.stored_at  # to be removed once it has been read
+    return out

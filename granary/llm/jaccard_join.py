@@ -41,7 +41,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,8 @@ EXTRA = 32  # shingles by which a prefix is longer than it must be, to leave out
 CELL = 4096  # classes of a cell that are put in one tree
 CELL_BYTES = 64 << 20  # bytes of their sets
 FANOUT = 16
+FEW = 128  # classes of a cell below which pairs are compared without postings
+POSTINGS = 1 << 23  # entries of the matrix of a cell's frequent shingles
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -112,9 +114,12 @@ def digest(docs: DataFrame, size: int, routes: int) -> DataFrame:
 
 def sure_routes(routes: int, threshold: float) -> int:
     """How many routes a linked pair shares at least, but for a chance of ``LOST``; binomial, one at the least."""
+    if threshold >= 1:
+        return max(routes, 1)
     few = 0.0
     for shared in range(routes + 1):
-        few += comb(routes, shared) * threshold**shared * (1 - threshold) ** (routes - shared)
+        ways = lgamma(routes + 1) - lgamma(shared + 1) - lgamma(routes - shared + 1)
+        few += exp(ways + shared * log(threshold) + (routes - shared) * log1p(-threshold))
         if few > LOST:
             break
     return max(shared, 1)
@@ -210,13 +215,40 @@ def _first_meeting(earlier: pa.ListArray, i: np.ndarray, j: np.ndarray, step: in
     return out
 
 
+class Postings:
+    """How much pairs of a cell can have in common, at most, from the postings of its shingles.
+
+    Shingles that most sets hold, the core of a family, are counted exactly by one matrix product;
+    of the others those that occur once cannot be shared, and the rest may all be.
+    """
+
+    def __init__(self, sets: list[np.ndarray], room: int = POSTINGS):
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        most = np.argsort(-held, kind="stable")[: max(1, room // len(sets))]
+        place = np.full(len(held), -1)
+        place[most[held[most] > 1]] = np.arange(int((held[most] > 1).sum()))
+        at = place[code]
+        rows = np.zeros((len(sets), int((place >= 0).sum())), np.float32)
+        rows[owner[at >= 0], at[at >= 0]] = 1
+        self.rows, self.sizes, self.both = rows, sizes, None
+        self.spare = np.bincount(owner[(at < 0) & (held[code] > 1)], minlength=len(sets))
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        if self.both is None:
+            self.both = self.rows @ self.rows.T
+        most = self.both[i, j].astype(np.int64) + np.minimum(self.spare[i], self.spare[j])
+        return most >= np.maximum(needed(self.sizes[i], self.sizes[j], threshold), 1)
+
+
 def cell_candidates(
-    sid, n, comp, side, bits: list[bytes], earlier: pa.ListArray, threshold: float
+    sid, n, comp, side, bits: list[bytes], earlier: pa.ListArray, threshold: float, postings: Postings | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of one cell: a tree per bitmap width, against itself and the next width.
 
     A pair that shares several routes is reported by the cell of the first one only, and a cell
-    of two parts reports only pairs across them.
+    of two parts reports only pairs across them. ``postings`` leaves out pairs that cannot link.
     """
     width = np.array([len(b) for b in bits])
     across = side.any()
@@ -225,6 +257,9 @@ def cell_candidates(
         if across:
             keep = side[i] != side[j]
             i, j = i[keep], j[keep]
+        if postings is not None:
+            keep = postings.may_link(i, j, threshold)
+            i, j = i[keep], j[keep]
         keep = _first_meeting(earlier, i, j)
         return sid[i[keep]], sid[j[keep]]
 
@@ -296,7 +331,8 @@ def cell_links(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], earli
         judge(first, j)
     if (label != label[0]).any():
         bits = [bitmap(s).tobytes() for s in sets]
-        for i, j in cell_candidates(np.arange(len(sets)), n, label.copy(), side, bits, earlier, threshold):
+        postings = Postings(sets) if len(sets) >= FEW else None
+        for i, j in cell_candidates(np.arange(len(sets)), n, label.copy(), side, bits, earlier, threshold, postings):
             apart = label[i] != label[j]
             for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
                 judge(x, y)
@@ -407,7 +443,9 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> D
                     b_out.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return rows.select("sid", "a", "salt", "ord", "shingles").mapInArrow(run, "a long, b long")
+    out = rows.select("sid", "a", "salt", "ord", "shingles").mapInArrow(run, "a long, b long")
+    out.stored_at = wanted.stored_at
+    return out
 
 
 def prefix(shingles: np.ndarray, threshold: float, extra: int) -> tuple[np.ndarray, int]:
@@ -456,8 +494,8 @@ def suspects(classes: DataFrame, routes: int, threshold: float) -> DataFrame:
     return found
 
 
-def with_components(met: DataFrame, links: DataFrame) -> DataFrame:
-    return met.join(components(links), F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
+def with_components(met: DataFrame, merged: DataFrame) -> DataFrame:
+    return met.join(merged, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
 
 
 def still_apart(met: DataFrame) -> DataFrame:
@@ -465,7 +503,9 @@ def still_apart(met: DataFrame) -> DataFrame:
     routed = met.select("sid", "comp", "needs", F.explode("routes").alias("route"))
     apart = stored(routed.groupBy("route").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("route"), "open-routes")
     found = routed.join(apart, "route").groupBy("sid", "comp", "needs").agg(F.count("*").alias("met"))
-    return stored(found.where("met >= needs").select("sid", "comp"), "apart")
+    out = stored(found.where("met >= needs").select("sid", "comp"), "apart")
+    removed(apart)
+    return out
 
 
 def cells_of(tokens: DataFrame, threshold: float, cell_rows: int, cell_bytes: int) -> DataFrame:
@@ -493,45 +533,56 @@ def cells_of(tokens: DataFrame, threshold: float, cell_rows: int, cell_bytes: in
     large = large.join(size.where("large"), "home").select(
         "token", "sid", "n", "comp", F.filter("tokens", lambda x: x < F.col("token")).alias("earlier")
     )
-    return small.unionByName(cut_cells(large, threshold, cell_rows, cell_bytes))
+    cells = stored(small.unionByName(cut_cells(large, threshold, cell_rows, cell_bytes)), "cells")
+    removed(shared, kept, size)
+    return cells
 
 
 def components_of_rows(
-    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int = ROUTES, cell_rows: int = CELL, cell_bytes: int = CELL_BYTES,
+    docs: DataFrame, threshold: float = 0.75, size: int = 5, routes: int | None = ROUTES, cell_rows: int = CELL, cell_bytes: int = CELL_BYTES,
     extra: int = EXTRA,
 ) -> DataFrame:
     """(doc_id, row_key, n_shingles, class_id, component_id, first) of every row; ``first`` names the row of each component that goes before all others."""
     bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(digest(docs, size, routes), "digest")
+    rows = stored(digest(docs, size, routes or 1), "digest")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     classes = stored(
         rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("routes").alias("routes"))
         .withColumn("sid", F.monotonically_increasing_id()), "classes",
     )
-    met = suspects(classes, routes, threshold)
+    met = suspects(classes, routes, threshold) if routes else classes.select("sid")
     wanted = stored(met.select("sid").join(classes.select("sid", "head.doc_id", "head.row_key"), "sid"), "wanted")
     sets = stored(shingle_sets(docs, wanted, size), "sets")
-    leads = met.select("sid", F.explode(F.array("first", "last")).alias("lead"), F.least("n", F.lit(routes)).alias("of"))
-    stars = leads.where("lead.a <> sid and 2 * lead.votes >= of").select(F.col("lead.a").alias("a"), F.col("sid").alias("b")).distinct()
-    links = stored(linked(stars, sets, threshold, parts), "links")
-
-    joined = stored(with_components(met, links), "joined")
-    apart = still_apart(joined)
-    done = [met, wanted, sets, joined, apart, links]
+    if routes:
+        leads = met.select("sid", F.explode(F.array("first", "last")).alias("lead"), F.least("n", F.lit(routes)).alias("of"))
+        stars = leads.where("lead.a <> sid and 2 * lead.votes >= of").select(F.col("lead.a").alias("a"), F.col("sid").alias("b")).distinct()
+        asked = linked(stars, sets, threshold, parts)
+        links = stored(asked, "links")
+        merged = components(links)
+        joined = stored(with_components(met, merged), "joined")
+        removed(asked, merged)
+        apart = still_apart(joined)
+        done = [met, joined]
+    else:
+        links = stored(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+        joined = stored(classes.select("sid", F.col("sid").alias("comp")), "joined")
+        apart, done = joined, []
+    done += [wanted, sets, apart, links]
     if not apart.isEmpty():
         tokens = stored(prefixes(sets.join(broadcast_if_small(apart, 24), "sid"), threshold, extra), "prefixes")
-        cells = stored(cells_of(tokens, threshold, cell_rows, cell_bytes), "cells")
+        cells = cells_of(tokens, threshold, cell_rows, cell_bytes)
         size = 48 + 8 * F.size("earlier").cast("long")
         more = stored(tree_links(sets.join(broadcast_if_small(cells, size), "sid"), threshold, parts), "tree-links")
         links = links.unionByName(more)
         done += [tokens, cells, more]
-    named = classes.select("sid", "h1", "h2", "head").join(components(links), F.col("sid") == F.col("node"), "left").withColumn(
+    merged = components(links)
+    named = classes.select("sid", "h1", "h2", "head").join(merged, F.col("sid") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "sid")
     )
     least = named.groupBy("root").agg(F.min("head").alias("first"))
     by_class = stored(named.join(least, "root").select("h1", "h2", "sid", "first"), "by-class")
-    removed(*done, classes)
+    removed(*done, classes, merged)
     out = rows.select("doc_id", "row_key", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     return out.select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("sid").alias("class_id"),

@@ -198,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     toxic[at], total[at] = counted["toxic"], counted["total"]
     base = float((toxic[0].sum() + 1) / (total[0].sum() + 2))
     model = Model(toxic, total, base, 1.0, 0.0, None)
-    judged = rows.where(~F.col("part").isin(*COUNT_FOLDS)).withColumn("key", F.col("doc_id") * 2 + F.col("y"))
+    # A row's label goes along in its key, beside the id's hash: ids may be any 64-bit numbers.
+    key = F.shiftleft(F.shiftright(F.xxhash64("doc_id"), 1), 1) + F.col("y")
+    judged = rows.where(~F.col("part").isin(*COUNT_FOLDS)).withColumn("key", key)
     held = measured(judged, model, "key").select("key", "best", "n").toPandas()  # numbers of a bounded sample
     y = held["key"].to_numpy(np.int64) % 2
     best, n = held["best"].to_numpy(float), held["n"].to_numpy(float)

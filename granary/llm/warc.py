@@ -18,6 +18,8 @@ Defined results for odd input:
 * unclosed tags, comments and scripts run to the end of the page; a ``<`` that begins no tag is
   text. Characters without a name keep their entity. Unknown charsets are read as UTF-8; bytes
   that do not decode, or a damaged encoding, are replaced in the text, never in a digest.
+* header names count in any case; a response without an id gets one from its block. A body with
+  chunked transfer coding is put together for the text; digests are those of the archived bytes.
 * repeated rows and ties: each row gives its two records; equal rows give equal records.
 * very long pages are converted whole. Empty table: empty result. Other columns of the input,
   whatever their names, are ignored.
@@ -51,12 +53,13 @@ RECORD = (
     "source_block_digest string, block_digest string, content_type string, content_length long, n_links int, block binary, record binary"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^<>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|title|blockquote|pre)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!?][^>]*(?:>|$)")
-_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe|area)\b[^<>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""  # of a tag: quoted values may hold any character
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b{_INSIDE}>.*?(?:</\1\s*>|$)", re.S | re.I)
+_BREAK = re.compile(rf"<\s*/?\s*(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|title|blockquote|pre)\b{_INSIDE}>", re.I)
+_TAG = re.compile(rf"<[A-Za-z/!?]{_INSIDE}>|<[A-Za-z/!?][^>]*(?:>|$)")
+_TITLE = re.compile(rf"<title\b{_INSIDE}>(.*?)(?:</title\s*>|$)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_OPENING = re.compile(rf"<(html|a|link|img|script|iframe|area)\b({_INSIDE})>", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -73,15 +76,30 @@ def plain_text(page: str) -> str:
 def page_metadata(page: str, url: str) -> dict:
     """Title, language and links (tag, resolved address), in page order."""
     seen = _HIDDEN.sub(lambda m: m[0] if m[1] and m[1].lower() == "script" and "src" in m[0].split(">")[0] else " ", page)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = []
-    for tag, *address in (m.groups() for m in _LINK.finditer(seen)):
-        raw = html.unescape(next(a for a in address if a is not None)).strip()
+    title, lang, links = _TITLE.search(page), None, []
+    for tag, inside in (m.groups() for m in _OPENING.finditer(seen)):
+        values = attributes(inside)
+        if tag.lower() == "html":
+            found = re.match(r"[A-Za-z-]+", values.get("lang", ""))
+            lang = lang or (found[0] if found else None)
+            continue
+        address = values.get("href", values.get("src"))
+        if address is None:
+            continue
+        raw = html.unescape(address).strip()
         try:
             links.append({"tag": tag.lower(), "url": urljoin(url, raw) if url else raw})
         except ValueError:  # an address that is none
             links.append({"tag": tag.lower(), "url": raw})
-    return {"title": " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else None, "lang": lang[1] if lang else None, "links": links}
+    return {"title": " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else None, "lang": lang, "links": links}
+
+
+def attributes(inside: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of equal names the first counts, one without a value is empty."""
+    out: dict[str, str] = {}
+    for name, *values in (m.groups() for m in _ATTRIBUTE.finditer(inside)):
+        out.setdefault(name.lower(), next((v for v in values if v is not None), ""))
+    return out
 
 
 def header_value(value: str) -> str:
@@ -145,14 +163,42 @@ def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         yield headers, block
 
 
+class Named(dict):
+    """Headers by name, in any case."""
+
+    def __init__(self, headers: list[tuple[str, str]]):
+        super().__init__(reversed([(k.lower(), v) for k, v in headers]))  # of equal names the first counts
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def dechunked(body: bytes) -> bytes:
+    """A body without its chunked transfer coding; as it is if it has none after all. A cut-off chunk is kept as far as it goes."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9A-Fa-f]+)\s*(?:;.*)?", body[at:end] if end >= 0 else body[at:], re.S)
+        if not size:
+            return body
+        n = int(size[1], 16)
+        if end < 0 or not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records with their headers as a dictionary."""
     return ((dict(headers), block) for headers, block in records(data))
 
 
 def page_text(payload: bytes, head: str) -> str:
-    """The payload as text: without its content encoding, in the charset of its headers."""
+    """The payload as text: without its transfer coding and content encoding, in the charset of its headers."""
     said = head.lower()
+    if re.search(r"^transfer-encoding:[^\r\n]*\bchunked\b", said, re.M):
+        payload = dechunked(payload)
     if re.search(r"^content-encoding:\s*(?:x-)?gzip", said, re.M):
         with contextlib.suppress(OSError, EOFError, zlib.error):
             payload = gzip.decompress(payload)
@@ -184,13 +230,13 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows, size = [], 0
                 for headers, block in records(content.as_py()):
-                    of = dict(headers)
-                    if of.get("WARC-Type") != "response":
+                    of = Named(headers)
+                    if (of.get("WARC-Type") or "").lower() != "response":
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
                     head = head.decode("latin-1")
                     rows.append((
-                        None, of["WARC-Record-ID"], of.get("WARC-Target-URI"), of.get("WARC-Date"), head, page_text(body, head), body,
+                        None, of.get("WARC-Record-ID") or f"<urn:uuid:{uuid.uuid5(SPACE, digest(block))}>", of.get("WARC-Target-URI"), of.get("WARC-Date"), head, page_text(body, head), body,
                         "\r\n".join(f"{k}: {v}" for k, v in headers),
                     ))
                     size += 2 * len(body)
