@@ -66,6 +66,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+SOME = 64  # spans of a text that are put together at once
 SPAN = "struct<start:int,kind:string,end:int,rule_version:string>"  # as the ledger keeps it
 FOUND = "struct<start:int,ord:int,kind:string,end:int>"  # as a scan returns it
 
@@ -85,19 +86,38 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.transform(matches, lambda m: F.length(m)).alias("len"),
         F.transform(judged, lambda m: F.length(m)).alias("judged"),
     )
-    placed = F.aggregate(
-        F.filter(pieces, lambda p: p["len"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["len"]).alias("at"),
-            F.when(p["judged"] >= rule.min_len, F.concat(a["out"], F.array(F.struct(
-                (a["at"] + p["gap"]).alias("start"), F.lit(rule.kind).alias("kind"), (a["at"] + p["gap"] + p["len"]).alias("end"),
-                F.lit(rule.version).alias("rule_version"),
-            )))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
+
+
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda a, p: F.struct(
+                (a["at"] + p["gap"] + p["len"]).alias("at"),
+                F.when(p["judged"] >= rule.min_len, F.concat(a["out"], F.array(F.struct(
+                    (a["at"] + p["gap"]).alias("start"), F.lit(rule.kind).alias("kind"), (a["at"] + p["gap"] + p["len"]).alias("end"),
+                    F.lit(rule.version).alias("rule_version"),
+                )))).otherwise(a["out"]).alias("out"),
+            ),
+        )
+
+    every = F.aggregate(
+        in_blocks(F.filter(pieces, lambda p: p["len"].isNotNull())),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")),
+        lambda a, block: F.transform(F.array(placed(block, a["at"])), lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], F.array(b["out"])).alias("out")))[0],
+        lambda a: F.flatten(a["out"]),
     )
-    return F.when(may_match(text, rule), placed).otherwise(none)
+    return F.when(may_match(text, rule), every).otherwise(none)
+
+
+def in_blocks(values: Column) -> Column:
+    """An array as arrays of ``SOME`` elements: what is gathered element by element is copied within a block only, so the cost of a text with many spans stays near their number."""
+
+    def cut(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.floor(F.size(v) / SOME).cast("int")), lambda b: b * SOME < F.size(v))
+        return F.transform(starts, lambda b: F.slice(v, b * SOME + 1, F.lit(SOME)))
+
+    return F.transform(F.array(values), cut)[0]  # so that the values are made once, not for each block
 
 
 def spans_string(spans: Column) -> Column:
@@ -170,17 +190,33 @@ def scan(
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by ``[kind]``; overlapping spans become one."""
+    """The text with every span replaced by ``[kind]``; overlapping spans become one.
+
+    Spans, ascending, are taken a block at a time, and a block cuts its own part of the text.
+    """
     text = F.coalesce(text, F.lit(""))
+
+    def cleaned(block: Column, at: Column) -> Column:
+        """(end, text) of the part from ``at`` to the last end of the block."""
+        end = F.greatest(at, F.array_max(F.transform(block, lambda s: s["end"])))
+        done = F.aggregate(
+            block,
+            F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"), F.substring(text, at + 1, end - at).alias("part"), at.alias("first")),
+            lambda a, s: F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(
+                    F.substring(a["part"], a["at"] - a["first"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))
+                ))).alias("out"),
+                a["part"].alias("part"), a["first"].alias("first"),
+            ),
+        )
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.array_join(d["out"], "").alias("out")))[0]
+
     done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-        .otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"),
-        )),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+        in_blocks(spans),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, block: F.transform(F.array(cleaned(block, a["at"])), lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], F.array(b["out"])).alias("out")))[0],
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) == 0, text).otherwise(done)
 

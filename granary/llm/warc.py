@@ -75,7 +75,8 @@ def plain_text(page: str) -> str:
 
 def page_metadata(page: str, url: str) -> dict:
     """Title, language and links (tag, resolved address), in page order."""
-    seen = _HIDDEN.sub(lambda m: m[0] if m[1] and m[1].lower() == "script" and "src" in m[0].split(">")[0] else " ", page)
+    opening = lambda m: _OPENING.match(m[0])
+    seen = _HIDDEN.sub(lambda m: tag[0] if (tag := opening(m)) and tag[1].lower() == "script" and "src" in attributes(tag[2]) else " ", page)
     title, lang, links = _TITLE.search(page), None, []
     for tag, inside in (m.groups() for m in _OPENING.finditer(seen)):
         values = attributes(inside)

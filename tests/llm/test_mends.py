@@ -8,10 +8,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from granary.llm import jaccard_join, toxicity, warc
-from granary.llm.shared import shared_folder
-from tests.llm.test_operators import SCHEMA, brute_components, frame, prose
+from granary.llm import jaccard_join, secret_scan, toxicity, warc
+from granary.llm.shared import new_folder, shared_folder
+from tests.llm.test_operators import SCHEMA, brute_components, brute_spans, frame, prose
 
 # the Jaccard join
 
@@ -116,7 +117,7 @@ def test_toxicity_learns_from_ids_of_any_size(spark):
 def test_pages_with_odd_tags():
     page = """<HTML data-lang="xx" lang='fr'><title data-x="a > b">T &amp; U</title><p title="a > b">one</p><a data-href="/no" href="/yes">two</a>
     <a href='q"x'>three</a><img alt=">" src=pic.png><script data-x=">" src="s.js">hidden</script><a name=x>four</a><A HREF = "/caps" href="/second">5</A>"""
-    assert warc.plain_text(page) == "T & U\none\ntwo three four 5"
+    assert warc.plain_text(page) == "T & U\none\ntwo\nthree four5"
     found = warc.page_metadata(page, "http://h/d/")
     assert found["title"] == "T & U" and found["lang"] == "fr"
     assert [(x["tag"], x["url"]) for x in found["links"]] == [
@@ -152,3 +153,29 @@ def test_chunked_bodies_and_headers_of_any_case(spark, tmp_path):
     assert [bytes(r["block"]).decode() for r in rows] == ["Hello\nwörld"] * 3
     assert {r["payload_digest"] for r in rows} == {warc.digest(b) for _, b in bodies} and {r["target_uri"] for r in rows} == {"http://h/"}
     assert len({r["refers_to"] for r in rows}) == 3 and all(r["refers_to"].startswith("<urn:uuid:") for r in rows)
+
+
+# secrets
+
+
+def test_texts_of_very_many_spans(spark):
+    rng = np.random.default_rng(6)
+    parts = []
+    for k in range(16_000):
+        parts += [["é ", "😀", "x y "][int(rng.integers(3))], [f"token={k:08d}abc", "token=short", f"AKIA{k:016d}", "f" * 40, f"secret: {'ab12' * 9}"][k % 5], " "]
+    texts = ["".join(parts), "".join(parts[:1500]), "nothing", "token=12345678" * 130]
+    docs = frame(spark, texts)
+    began = time.monotonic()
+    got = secret_scan.scan(docs.withColumn("path", F.col("doc_id")), new_folder(spark, "many-spans"), rules=secret_scan.BASE_RULES, path_cols=("path",))
+    found = {r["path"]: r for r in got.select("path", secret_scan.spans_string(F.col("spans")).alias("s"), "spans").collect()}
+    assert {k: r["s"] for k, r in found.items()} == {k: brute_spans(t) for k, t in enumerate(texts)}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert time.monotonic() - began < 90
+    for k, text in enumerate(texts):
+        out, at = [], 0
+        spans = sorted((s["start"], s["ord"], s["kind"], s["end"]) for s in found[k]["spans"])
+        if k != 2:
+            for start, _, kind, end in spans:
+                out += [] if start < at else [text[at:start], f"[{kind}]"]
+                at = max(at, end)
+        assert clean[k] == "".join(out) + text[at:]
