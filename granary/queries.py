@@ -14,6 +14,7 @@ from granary.plans import pipeline
 from granary.shared import new_folder, spread, stored
 from granary.sources import files, store
 from granary.sources import sessions as session_store
+from granary.streaming import sessions as streamed_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -503,6 +504,35 @@ def event_sketches(spark, sf_dir):
     return kept.totals()
 
 
+_SESSIONS = """
+WITH marked AS (
+  SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 14400000000 THEN 0 ELSE 1 END AS first FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), numbered AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM marked
+), sessions AS (
+  SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_events, round(sum(coalesce(value, 0)), 4) AS total FROM numbered GROUP BY user_id, session
+) SELECT * FROM sessions"""
+
+
+@query(_SESSIONS)
+def event_sessions(spark, sf_dir):
+    """Sessions of all users: events less than four hours apart."""
+    got = streamed_sessions.folded(table(spark, sf_dir, "events"), 240)
+    return got.withColumns({"started": F.col("started").cast("timestamp_ntz"), "ended": F.col("ended").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
+@query(_SESSIONS + """ WHERE epoch_us(ended) + 14400000000 <= (SELECT (epoch_us(max(ts)) // 1000 - 86400000) * 1000 FROM events)""")
+def event_sessions_streamed(spark, sf_dir):
+    """The same from a stream of the events in any order: all sessions that the watermark, a day behind the last event, has closed."""
+    events = stored(table(spark, sf_dir, "events").select("user_id", "ts", "value").repartition(4), "event-stream")
+    stream = streamed_sessions.streamed(spark.readStream.schema(events.schema).parquet(events.stored_at), 240)
+    out = new_folder(spark, "closed-sessions")
+    run = stream.writeStream.format("parquet").option("checkpointLocation", new_folder(spark, "session-checkpoint")).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    got = spark.read.schema(streamed_sessions.SESSION).parquet(out)
+    return got.withColumns({"started": F.col("started").cast("timestamp_ntz"), "ended": F.col("ended").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
 #: Ends a document in the files that ``documents_as_files`` writes.
 _END = "\x1d"
 
