@@ -60,7 +60,7 @@ CELL = 4096  # classes of a cell that are put in one tree
 CELL_BYTES = 64 << 20  # bytes of their sets
 FANOUT = 16
 FEW = 128  # classes of a cell below which pairs are compared without postings
-POSTINGS = 1 << 23  # entries of the matrix of a cell's frequent shingles
+POSTINGS = 1 << 22  # entries of the matrix of a cell's frequent shingles
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -218,28 +218,36 @@ def _first_meeting(earlier: pa.ListArray, i: np.ndarray, j: np.ndarray, step: in
 class Postings:
     """How much pairs of a cell can have in common, at most, from the postings of its shingles.
 
-    Shingles that most sets hold, the core of a family, are counted exactly by one matrix product;
-    of the others those that occur once cannot be shared, and the rest may all be.
+    Shingles are told apart by some bits of their hashes only, which can but raise the bound. Those
+    that most sets hold, the core of a family, are counted by one matrix product; of the others
+    those that occur once cannot be shared, and the rest may all be. Memory is bounded by ``room``
+    and the square of the cell's classes.
     """
 
     def __init__(self, sets: list[np.ndarray], room: int = POSTINGS):
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        most = np.argsort(-held, kind="stable")[: max(1, room // len(sets))]
-        place = np.full(len(held), -1)
-        place[most[held[most] > 1]] = np.arange(int((held[most] > 1).sum()))
-        at = place[code]
-        rows = np.zeros((len(sets), int((place >= 0).sum())), np.float32)
-        rows[owner[at >= 0], at[at >= 0]] = 1
-        self.rows, self.sizes, self.both = rows, sizes, None
-        self.spare = np.bincount(owner[(at < 0) & (held[code] > 1)], minlength=len(sets))
+        self.sizes = np.array([len(s) for s in sets])
+        bits = np.uint64(min(21, max(10, int(4 * self.sizes.sum()).bit_length())))
+        place = lambda s: (s >> (np.uint64(64) - bits)).astype(np.int32)
+        held = np.zeros(1 << int(bits), np.int32)
+        for s in sets:
+            held[np.unique(place(s))] += 1
+        several = np.flatnonzero(held > 1)
+        most = several[np.argsort(-held[several], kind="stable")[: max(1, room // len(sets))]]
+        column = np.full(len(held), -1, np.int32)
+        column[most] = np.arange(len(most))
+        rows, spare = np.zeros((len(sets), len(most)), np.float32), np.zeros(len(sets), np.int64)
+        for k, s in enumerate(sets):
+            at = place(s)
+            inside = column[at]
+            np.add.at(rows[k], inside[inside >= 0], 1)
+            spare[k] = ((inside < 0) & (held[at] > 1)).sum()
+        own = [np.minimum(rows[k : k + 256] @ rows.T, 65535).astype(np.uint16) for k in range(0, len(sets), 256)]
+        self.both, self.spare = np.concatenate(own), spare
 
     def may_link(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-        if self.both is None:
-            self.both = self.rows @ self.rows.T
-        most = self.both[i, j].astype(np.int64) + np.minimum(self.spare[i], self.spare[j])
-        return most >= np.maximum(needed(self.sizes[i], self.sizes[j], threshold), 1)
+        both = self.both[i, j].astype(np.int64)
+        most = both + np.minimum(self.spare[i], self.spare[j])
+        return (most >= np.maximum(needed(self.sizes[i], self.sizes[j], threshold), 1)) | (both == 65535)
 
 
 def cell_candidates(
