@@ -46,7 +46,10 @@ def sources(hits: DataFrame, query_id: str = "query_id", settings: Settings = DE
 
 
 def summary(docs: DataFrame, order_col: str) -> DataFrame:
-    """One row: documents, characters and the distinct non-empty sources by first appearance."""
+    """One row: documents, characters and the distinct non-empty sources by first appearance.
+
+    The row holds all sources; where these are too many for one, ``sources_by_appearance`` has them as rows.
+    """
     named = F.when(F.col("source") != "", F.col("source"))
     per_source = docs.groupBy(named.alias("source")).agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(order_col).alias("first")
@@ -57,5 +60,12 @@ def summary(docs: DataFrame, order_col: str) -> DataFrame:
     )
 
 
+def sources_by_appearance(docs: DataFrame, order_col: str) -> DataFrame:
+    """(source, first, n_documents, n_chars) of every non-empty source: the summary's list as a table, which may be of any length."""
+    return docs.where("source <> ''").groupBy("source").agg(
+        F.min(order_col).alias("first"), F.count("*").alias("n_documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars")
+    )
+
+
 def distinct_sources(docs: DataFrame) -> DataFrame:
     return docs.where("source <> ''").select("source").distinct()

@@ -38,6 +38,11 @@ def without(sessions: DataFrame, conv_id: int) -> DataFrame:
     return sessions.where(F.col("conv_id") != conv_id)
 
 
+def without_all(sessions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sessions but those of a table of ids (conv_id)."""
+    return sessions.join(ids.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
 def chart_points(
     points: DataFrame, chart: str, position: str, value: str, width: float = 800.0, height: float = 200.0, above: float = 20.0, below: float = 40.0
 ) -> DataFrame:

@@ -259,6 +259,14 @@ def corpus_summary(spark, sf_dir):
     return assemble.summary(table(spark, sf_dir, "documents"), "doc_id").withColumn("sources", F.array_join("sources", ","))
 
 
+@query("""
+SELECT source, min(doc_id) AS first, count(*) AS n_documents, coalesce(sum(length(text)), 0)::BIGINT AS n_chars FROM documents WHERE source <> '' GROUP BY source
+""")
+def corpus_sources(spark, sf_dir):
+    """All sources of the corpus with their first document, as a table."""
+    return assemble.sources_by_appearance(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("SELECT DISTINCT source FROM documents WHERE source <> ''")
 def distinct_sources(spark, sf_dir):
     return assemble.distinct_sources(table(spark, sf_dir, "documents"))
@@ -358,6 +366,24 @@ def session_transcripts(spark, sf_dir):
     return sessions.fold_sessions(table(spark, sf_dir, "conversations"))
 
 
+@query(f"""
+SELECT conv_id, coalesce(CASE WHEN length(t) > 40 THEN substring(t, 1, 40) || '…' ELSE t END, '') AS title, n AS n_messages FROM (
+  SELECT conv_id, {_strip_sql("arg_min(text, turn) FILTER (role = 'user')")} AS t, count(*) AS n FROM conversations WHERE conv_id % 7 <> 3 GROUP BY conv_id)
+""")
+def sessions_after_deletion(spark, sf_dir):
+    """The list of sessions once every seventh has been deleted by its id."""
+    rows = table(spark, sf_dir, "conversations")
+    gone = rows.where("conv_id % 7 = 3").select("conv_id")
+    return sessions.without_all(sessions.fold_sessions(rows), gone).select("conv_id", "title", "n_messages")
+
+
+@query(f"SELECT item_id, 0 AS pos, {_strip_sql('text')} AS text, length({_strip_sql('text')}) AS chunk_size FROM benchmark WHERE length(text) <= 400 AND {_strip_sql('text')} <> ''")
+def adhoc_chunks(spark, sf_dir):
+    """Chunks of raw texts that are no documents and have no metadata: a short one is its own chunk."""
+    raw = table(spark, sf_dir, "benchmark").where(F.length("text") <= 400).select("item_id", "text")
+    return chunk.split_documents(raw).select("item_id", F.col("pos").cast("long").alias("pos"), "text", F.col("chunk_size").cast("long").alias("chunk_size"))
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def session_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

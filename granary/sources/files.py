@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import pdf
 from granary.functions.text import basename
 from granary.shared import new_folder, stored
 
@@ -93,7 +94,7 @@ def _all_of(listed: DataFrame, left_out: DataFrame | None) -> DataFrame:
     return files if left_out is None else files.unionByName(left_out)
 
 
-def scan_files(spark: SparkSession, paths: list[str], parse_pdf: PdfParser | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, paths: list[str], parse_pdf: PdfParser | None = pdf.pages) -> DataFrame:
     """Documents of the named files: ``.pdf`` by the parser, anything else as text."""
     if not paths:
         return spark.createDataFrame([], SCHEMA)
@@ -115,7 +116,7 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def scan_folder(spark: SparkSession, folder: str, parse_pdf: PdfParser | None = None) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, parse_pdf: PdfParser | None = pdf.pages) -> DataFrame:
     """Documents of a folder's own ``.txt`` and ``.pdf`` files in any case; none if there is no such folder."""
     if not folder_exists(spark, folder):
         return spark.createDataFrame([], SCHEMA)
@@ -134,7 +135,7 @@ def scan_folder(spark: SparkSession, folder: str, parse_pdf: PdfParser | None =
 
 
 def documents_from(
-    spark: SparkSession, paths: list[str] | None, raw_folder: str, sample_folder: str, parse_pdf: PdfParser | None = None
+    spark: SparkSession, paths: list[str] | None, raw_folder: str, sample_folder: str, parse_pdf: PdfParser | None = pdf.pages
 ) -> DataFrame:
     """The named files; with none named, the raw folder; if that has no document, the samples."""
     if paths:
