@@ -13,9 +13,14 @@ from pyspark.sql import types as T
 
 from granary.config import DEFAULT, Settings
 from granary.functions.text import strip
+from granary.shared import bounded_batches
 
 #: Queries multiplied with the collection in one pass; more queries mean more passes.
 QUERY_BLOCK = 4096
+#: Queries and vectors whose distances stand in memory at once, 8 MB of them.
+TILE = 512, 2048
+#: Hits that a task gathers before it ranks them anew.
+PENDING = 1 << 16
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -36,12 +41,14 @@ def top_k(
     """(query_id, <vector_id>, distance, rank) of the k nearest rows of each query; 0 or null k is the default.
 
     A block of queries is broadcast (its size is bounded by QUERY_BLOCK) and multiplied with
-    each Arrow batch of vectors. A task keeps the k best per query over all its batches and passes
-    on these alone, so what is shuffled for the final ranking does not grow with the vectors.
+    each Arrow batch of vectors, a TILE of both at a time, so that the memory of a task follows from
+    neither number. A task keeps the k best per query over all its batches and passes on these alone,
+    so what is shuffled for the final ranking does not grow with the vectors.
     Zero vectors and vectors without any value match nothing; ties go by id, which may be of any type.
     """
     k = k or settings.top_k
     spark = vectors.sparkSession
+    bounded_batches(spark)
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
         "size(embedding) > 0"
     )
@@ -92,17 +99,37 @@ def _best_of_task(shared, k: int, vector_id: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        rows, held = np.zeros(0, np.int64), None
+        names, (some, wide) = ["i", "d"], TILE
+        rows, held, found, n = np.zeros(0, np.int64), None, [], 0
+        limit = np.full(len(ids), np.inf)  # of each query the k-th distance so far
+
+        def merged() -> None:
+            nonlocal rows, held, n
+            row = np.concatenate([rows, *(r for r, _ in found)])
+            rows, held = best(row, pa.concat_batches([*([held] if held is not None else []), *(b for _, b in found)]))
+            full = np.bincount(rows, minlength=len(ids))
+            last = np.flatnonzero(full >= k)
+            limit[last] = np.round(held.column(1).to_numpy(), 9)[np.cumsum(full)[last] - 1]
+            found.clear()
+            n = 0
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
             batch = batch.take(pc.sort_indices(batch.column(0)))  # so that of ties the first columns have the least ids
-            distance = 1 - q @ unit_rows(batch.column(1)).T
-            row, col = smallest(distance, k)
-            found = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(col)), pa.array(distance[row, col])], ["i", "d"])
-            if held is not None:
-                row, found = np.concatenate([rows, row]), pa.concat_batches([held, found])
-            rows, held = best(row, found)
+            for at in range(0, batch.num_rows, wide):
+                part = batch.slice(at, wide)
+                v = unit_rows(part.column(1)).T
+                for first in range(0, len(ids), some):
+                    distance = 1 - q[first : first + some] @ v
+                    row, col = np.nonzero(distance <= limit[first : first + some, None] + 1e-9)
+                    if len(row) > k * len(distance):
+                        row, col = smallest(distance, k)
+                    if len(row):
+                        found.append((row + first, pa.RecordBatch.from_arrays([part.column(0).take(pa.array(col)), pa.array(distance[row, col])], names)))
+                        n += len(row)
+                    if n > max(PENDING, len(rows)):
+                        merged()
+        if found:
+            merged()
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), *held.columns], ["query_id", vector_id, "distance"])
 
