@@ -21,18 +21,28 @@ def best_of_task(q, m, ids, k, size):
     return [r for b in search._best_of_task(shared, k, "vec_id")(batches(m, ids, size)) for r in zip(*b.to_pydict().values(), strict=True)]
 
 
-def test_memory_of_a_task_does_not_follow_the_queries():
-    rng = np.random.default_rng(0)
-    m, q = rng.normal(size=(10_000, 4)).astype(np.float32), rng.normal(size=(search.QUERY_BLOCK, 4))
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
+def peak_mb(q, m, k):
     [batch] = batches(m, list(range(len(m))), len(m))
-    run = search._best_of_task(SimpleNamespace(value=(np.arange(len(q)), q)), 5, "vec_id")
+    run = search._best_of_task(SimpleNamespace(value=(np.arange(len(q)), q)), k, "vec_id")
     tracemalloc.start()
     got = list(run(iter([batch])))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert got[0].num_rows == 5 * len(q)
-    assert peak < 120 << 20  # one matrix of all distances has 312 MB
+    assert sum(b.num_rows for b in got) == k * len(q)
+    return peak >> 20
+
+
+def test_memory_of_a_task_does_not_follow_the_queries():
+    rng = np.random.default_rng(0)
+    m, q = rng.normal(size=(10_000, 4)).astype(np.float32), rng.normal(size=(search.QUERY_BLOCK, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    assert peak_mb(q, m, 5) < 120  # one matrix of all distances has 312 MB
+
+
+def test_memory_of_a_task_does_not_follow_the_vectors():
+    rng = np.random.default_rng(1)
+    m, q = rng.normal(size=(60_000, 4)).astype(np.float32), search.unit_rows(pa.array(rng.normal(size=(512, 4)).tolist()))
+    assert peak_mb(q, m, 5) < 120  # one matrix of all distances has 245 MB
 
 
 @pytest.mark.parametrize("k", [1, 3, 40])
