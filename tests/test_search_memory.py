@@ -45,6 +45,12 @@ def test_memory_of_a_task_does_not_follow_the_vectors():
     assert peak_mb(q, m, 5) < 120  # one matrix of all distances has 245 MB
 
 
+def test_memory_of_a_task_when_every_vector_is_nearer_than_the_last():
+    angle = np.linspace(3, 0.5, 10_000)
+    m, q = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32), np.tile([[1.0, 0.0]], (search.QUERY_BLOCK, 1))
+    assert peak_mb(q, m, 5) < 120
+
+
 @pytest.mark.parametrize("k", [1, 3, 40])
 @pytest.mark.parametrize("order", ["near first", "far first", "mixed"])
 def test_tiles_give_what_one_sort_gives(monkeypatch, k, order):
