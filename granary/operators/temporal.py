@@ -7,7 +7,11 @@ that a third of the rows share nor the absence of any key brings rows together i
 
 ``within`` pairs points with the intervals [start, end) that hold them. An interval lies in one
 level of buckets, whose width is its length or up to twice that, so in two buckets at most; a point
-looks into its one bucket of each level that occurs, at most 64.
+looks into its one bucket of each level that occurs, at most 64. Where points share few times, their
+times look instead, once each, and points join what their time has found. So they are not shuffled
+once a level, and points of one time come one after the other with the same intervals in the same
+order, which files store in a small part of the bytes. The rows are all pairs in any case: where
+points and intervals both grow over the same span of time, they grow with the product.
 
 Defined results for odd input: a left row with a null time or key, or without any earlier right row,
 gets nulls; right rows and intervals with nulls there match nothing; empty intervals hold nothing;
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 
 from granary.shared import broadcast_if_small, stored
 
+#: Points a time from which ``within`` looks up times instead of points.
+SHARED = 4
+
 
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str] = (), suffix: str = "") -> DataFrame:
     """The left columns, and the right ones but ``by``, their names followed by ``suffix``."""
@@ -58,7 +65,10 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by
 
 
 def within(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, by: Sequence[str] = ()) -> DataFrame:
-    """The columns of both sides, ``by`` once, for every point in an interval. Times are whole numbers or timestamps, to the microsecond."""
+    """The columns of both sides, ``by`` once, for every point in an interval. Times are whole numbers or timestamps, to the microsecond.
+
+    ``points`` is read twice: give a stored table.
+    """
     whole = points.schema[at].dataType.typeName() in ("long", "integer", "short", "byte")
     number = lambda c: c.cast("long") if whole else F.unix_micros(c.cast("timestamp"))
     left = points.withColumn("_at", number(F.col(at))).where(" and ".join(f"`{c}` is not null" for c in ["_at", *by]))
@@ -67,7 +77,14 @@ def within(points: DataFrame, intervals: DataFrame, at: str, start: str, end: st
     level = F.ceil(F.log2((F.col("_end") - F.col("_start")).cast("double"))).cast("int")
     right = stored(right.withColumn("_level", F.greatest(level, F.lit(0))), "intervals")
     levels = [r["_level"] for r in right.select("_level").distinct().collect()]  # at most 64
-    left = left.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", F.expr("shiftright(_at, _level)"))
+    times = stored(left.groupBy(*by, "_at").agg(F.count("*").alias("_n")), "times")
+    n_times, n_points = times.agg(F.count("*"), F.sum("_n")).first()
+    shared = n_times * SHARED <= (n_points or 0)
+    looking = times.drop("_n") if shared else left
+    looking = looking.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", F.expr("shiftright(_at, _level)"))
     spans = right.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.expr("shiftright(_start, _level)"), F.expr("shiftright(_end - 1, _level)")))))
-    met = left.join(spans, [*by, "_level", "_bucket"]).where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
-    return met.drop("_at", "_start", "_end", "_level", "_bucket")
+    met = looking.join(spans, [*by, "_level", "_bucket"]).where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
+    met = met.drop("_start", "_end", "_level", "_bucket")
+    if shared:
+        met = left.join(met.hint("merge"), [*by, "_at"])  # sorted by time on both sides, never broadcast
+    return met.drop("_at")

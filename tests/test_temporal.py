@@ -68,3 +68,17 @@ def test_intervals_lie_in_two_buckets_at_most(spark):
     assert got == sorted([(1, k) for k in range(3, 40)] + [(2, k) for k in range(21, 40)] + [(1, 99), (2, 99)])
     plan = temporal.within(points, spans, "at", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in plan
+
+
+def test_points_that_share_times_are_stored_in_few_bytes(spark, tmp_path):
+    """All pairs of 20,000 points at 50 times and 1,000 intervals; in the points' order they take over a byte a pair."""
+    points = spark.range(20_000).selectExpr("id AS p", "CAST(xxhash64(id) % 2 AS string) AS key", "pmod(xxhash64(id, 1), 50) AS at")
+    spans = spark.range(1_000).selectExpr("id AS s", "CAST(xxhash64(id) % 2 AS string) AS key", "pmod(xxhash64(id, 2), 50) AS a").selectExpr("*", "a + s % 23 AS b")
+    got = temporal.within(points, spans, "at", "a", "b", ["key"])
+    assert got.columns == ["key", "p", "at", "s", "a", "b"]
+    got.select("p", "s").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    want = points.alias("p").join(spans.alias("s"), "key").where("at >= a AND at < b").select("p", "s")
+    n = want.count()
+    assert n > 1_000_000 and pairs.count() == n and pairs.exceptAll(want).isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n // 2
