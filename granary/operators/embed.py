@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -31,16 +32,29 @@ class HashingEmbedder:
         self.width = width
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        return [self.one(t) for t in texts]
+        found, sizes = [], []
+        for t in texts:
+            words = re.findall(r"\w+", (t or "").lower())
+            n = len(found)
+            found += map(_digest_of_word, words)
+            found += [_digest(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)]
+            sizes.append(len(found) - n)
+        h = np.frombuffer(b"".join(found), ">u4")[::4].astype(np.int64)
+        place = np.repeat(np.arange(len(texts)) * self.width, sizes) + h % self.width
+        out = np.bincount(place, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * self.width).reshape(-1, self.width)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm > 0, norm, 1)).tolist()
 
     def one(self, text: str) -> list[float]:
-        words = re.findall(r"\w+", (text or "").lower())
-        out = np.zeros(self.width)
-        for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big")
-            out[h % self.width] += 1 if h & 0x80000000 else -1
-        norm = np.linalg.norm(out)
-        return (out / norm if norm else out).tolist()
+        return self([text])[0]
+
+
+def _digest(feature: str) -> bytes:
+    return hashlib.md5(feature.encode()).digest()
+
+
+#: Words come again and again, pairs of them less so.
+_digest_of_word = lru_cache(1 << 16)(_digest)
 
 
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", batch: int = DEFAULT.embed_batch) -> DataFrame:

@@ -45,6 +45,7 @@ CENTRE_BYTES = 32 << 20  # of all centres: they are broadcast
 CODES = 16  # bytes of a quantised vector
 BLOCK = 16_384  # vectors of a cell, and queries to it, that one task compares
 MODEL = "centres binary, books binary, sizes array<int>, reach array<double>, width int"
+FLAT, GROUPS = 1024, 6  # cells that are all compared with a vector; of more, the groups of cells that are
 TESTS, NEIGHBOURS = 256, 10  # queries, and neighbours of each, that ``reach`` is measured by
 
 
@@ -82,6 +83,38 @@ def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> tuple[np.nd
     return near, off
 
 
+class Cells:
+    """Finds the cell of a vector. Over FLAT cells the centres are themselves grouped, by the root of their number, and a
+    vector is compared with the centres of its GROUPS nearest groups, so its work grows with that root alone. The cell
+    is then near, if not always the nearest; fitting and measuring place by the same rule."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres, self.groups = centres, None
+        if len(centres) > FLAT:
+            self.groups = k_means(centres, int(len(centres) ** 0.5), direction=True)
+            own = nearest(centres, self.groups)[0]
+            self.members = [np.flatnonzero(own == g) for g in range(len(self.groups))]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if self.groups is None:
+            return nearest(x, self.centres)[0]
+        cell, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+        half = (self.centres.astype(np.float64) ** 2).sum(axis=1) / 2
+        near = np.argpartition(-(x @ self.groups.T), GROUPS - 1, axis=1)[:, :GROUPS]
+        row = np.repeat(np.arange(len(x)), GROUPS)[np.argsort(near.ravel(), kind="stable")]
+        ends = np.searchsorted(np.sort(near.ravel()), np.arange(len(self.groups) + 1))
+        for g, some in enumerate(self.members):
+            at = row[ends[g] : ends[g + 1]]
+            if not len(at) or not len(some):
+                continue
+            score = x[at].astype(np.float64) @ self.centres[some].T.astype(np.float64) - half[some]
+            first = score.argmax(axis=1)
+            score = score[np.arange(len(at)), first]
+            nearer = score > best[at]
+            best[at[nearer]], cell[at[nearer]] = score[nearer], some[first[nearer]]
+        return cell
+
+
 class Model:
     """Centres of the cells, for each part of a vector 256 centres of what is left, and the share of neighbours in the first 1, 2, ... cells."""
 
@@ -94,14 +127,14 @@ class Model:
 
     @staticmethod
     def fit(x: np.ndarray, centres: np.ndarray, codes: int) -> Model:
-        left = x - centres[nearest(x, centres)[0]]
-        return Model(centres, [k_means(left[:, p], 256) for p in Model.parts(x.shape[1], codes)], Model.reached(x, centres))
+        cell = Cells(centres).of(x)
+        left = x - centres[cell]
+        return Model(centres, [k_means(left[:, p], 256) for p in Model.parts(x.shape[1], codes)], Model.reached(x, centres, cell))
 
     @staticmethod
-    def reached(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    def reached(x: np.ndarray, centres: np.ndarray, cell: np.ndarray) -> np.ndarray:
         q = x[np.linspace(0, len(x) - 1, min(TESTS, len(x))).astype(int)]
         near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :NEIGHBOURS]
-        cell = nearest(x, centres)[0]
         place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)
         found = np.bincount(np.take_along_axis(place, cell[near], axis=1).ravel(), minlength=len(centres))
         return np.cumsum(found) / found.sum()
@@ -165,31 +198,33 @@ class VectorIndex:
         cells = max(1, min(cells or int(n**0.5), CENTRE_BYTES // (4 * width), sample))
         x = _sampled(entries, sample, n)
         model = Model.fit(x, self._balanced(entries, k_means(x, cells, direction=True), n, sample), codes)
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((Cells(model.centres), model))
         placed = entries.mapInArrow(_place(shared, True), T.StructType([*entries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType())]))
+        placed = stored(placed, "placed")  # dealing by range reads it twice
         order = [*([partition] if partition else []), "cell", "h1"]
         sorted_rows = placed.repartitionByRange(*order).sortWithinPartitions(*order)
         writer = sorted_rows.write.partitionBy(partition) if partition else sorted_rows.write
         # Row groups of about a few cells, so that statistics of ``cell`` leave out the rest.
         writer.option("parquet.block.size", str(4 << 20)).parquet(f"{folder}/vectors")
         self._write_model(model)
-        removed(entries)
+        removed(entries, placed)
         return self
 
     def _balanced(self, entries: DataFrame, centres: np.ndarray, n: int, sample: int) -> np.ndarray:
         """Centres with those of too large cells replaced by several, learned from a sample of their rows."""
         most = max(256, 4 * n // len(centres))
         for _ in range(3):
-            shared = self.spark.sparkContext.broadcast(Model(centres, [], np.zeros(0)))
-            placed = entries.mapInArrow(_place(shared, False), T.StructType([*entries.schema.fields, T.StructField("cell", T.IntegerType())]))
+            shared = self.spark.sparkContext.broadcast((Cells(centres), None))
+            placed = entries.select("embedding").mapInArrow(_place(shared, False), "cell int")
             sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell
             over = {c: m for c, m in sizes.items() if m > most}
             room = CENTRE_BYTES // centres[0].nbytes - len(centres)
             if not over or room < 2 * len(over):
                 break
-            rows = placed.where(F.col("cell").isin(list(over)))
             share = min(1.0, sample / sum(over.values()))
-            got = rows.where(_share(share)).select("cell", "h1", "embedding").toArrow().sort_by("h1")
+            few = entries.where(_share(share)).select("h1", "embedding")
+            rows = few.mapInArrow(_place(shared, True), T.StructType([*few.schema.fields, T.StructField("cell", T.IntegerType())]))
+            got = rows.where(F.col("cell").isin(list(over))).toArrow().sort_by("h1")
             cell, x, parts = got["cell"].to_numpy(), unit_rows(got["embedding"]).astype(np.float32), []
             for c, m in over.items():
                 own = x[cell == c]
@@ -324,17 +359,21 @@ def _sampled(entries: DataFrame, sample: int, n: int) -> np.ndarray:
     return unit_rows(got.sort_by("h1")["embedding"]).astype(np.float32)
 
 
-def _place(shared, coded: bool):
+def _place(shared, whole: bool):
+    """Rows with their cells and, given a model, their codes; not ``whole``: the cells alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, model = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit_rows(batch.column("embedding")).astype(np.float32)
-            cell = nearest(x, shared.value.centres)[0]
-            more = [pa.array(cell, pa.int32())]
-            if coded:
-                more.append(pa.array([c.tobytes() for c in shared.value.encode(x, cell)], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "cell", *(["code"] if coded else [])])
+            x = unit_rows(batch.column(batch.schema.get_field_index("embedding"))).astype(np.float32)
+            cell = cells.of(x)
+            more, names = [pa.array(cell, pa.int32())], ["cell"]
+            if model is not None:
+                more.append(pa.array([c.tobytes() for c in model.encode(x, cell)], pa.binary()))
+                names.append("code")
+            yield pa.RecordBatch.from_arrays([*(batch.columns if whole else []), *more], [*(batch.schema.names if whole else []), *names])
 
     return run
 

@@ -135,3 +135,33 @@ def test_running_top_k_keeps_k_rows_a_query_and_task(spark):
         assert got(search.top_k(queries(spark, x, 100), vectors, 5)) == plain(x, x[::100], 5)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_of_many_cells_only_near_groups_are_compared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf, "FLAT", 16)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3000, 8)) + 3 * rng.normal(size=(20, 8))[rng.integers(0, 20, 3000)]
+    x = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    centres = ivf.k_means(x, 100, direction=True)
+    cells = ivf.Cells(centres)
+    assert len(cells.groups) == 10 and sorted(np.concatenate(cells.members)) == list(range(100))
+    got, want = cells.of(x), ivf.nearest(x, centres)[0]
+    assert (got == want).mean() > 0.9 and ((x * (centres[want] - centres[got])).sum(axis=1) < 0.2).all()
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    index = ivf.VectorIndex.build(vectors, str(tmp_path / "index"), cells=100)
+    assert index.vectors().agg({"copies": "sum"}).first()[0] == 3000
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = search.top_k(asked, vectors, 5)
+    rows = lambda d: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in d.collect())
+    assert rows(index.search(asked, 5, target=None)) == rows(exact)
+    assert ivf.recall(index.search(asked, 5), exact).agg({"recall": "avg"}).first()[0] >= 0.9
+
+
+def test_placing_reads_and_writes_no_more_than_it_needs(spark):
+    """Cells are counted without the rows: of a batch only the cells come back."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 0.0], [0.0, 2.0]])], ["embedding"])
+    [got] = ivf._place(SimpleNamespace(value=(ivf.Cells(np.eye(2, dtype=np.float32)), None)), False)(iter([batch]))
+    assert got.to_pydict() == {"cell": [0, 1]}
