@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.config import DEFAULT, Settings
 from granary.functions.text import strip
+from granary.shared import bounded_batches
 
 
 def validated(questions: DataFrame, column: str = "question", settings: Settings = DEFAULT) -> DataFrame:
@@ -85,6 +86,7 @@ def generate(rows: DataFrame, generator: Generator | None, column: str = "questi
     if generator is None:
         return rows.select(*names, F.lit(NO_GENERATOR).alias("answer"), F.lit("none").alias("model"))
     at = names.index(column), names.index("context")
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

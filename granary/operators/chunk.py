@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import DEFAULT, Settings
+from granary.shared import bounded_batches
 
 #: Texts whose ordinals agree but for so many low bits are numbered together.
 RANGE_BITS = 22
@@ -50,6 +51,7 @@ def packed(text: str, settings: Settings = DEFAULT) -> list[str]:
 
 def split_documents(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text") -> DataFrame:
     """One row per chunk: the document's other columns, ``pos`` within the document, ``text``, ``chunk_size``."""
+    bounded_batches(docs.sparkSession)  # a batch's texts and chunks stand several times in Python
 
     @F.pandas_udf("array<string>")
     def chunks(texts: pd.Series) -> pd.Series:

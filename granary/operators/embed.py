@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from granary.config import DEFAULT
+from granary.shared import bounded_batches
 
 
 class Embedder(Protocol):
@@ -60,6 +61,7 @@ _digest_of_word = lru_cache(1 << 16)(_digest)
 def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", batch: int = DEFAULT.embed_batch) -> DataFrame:
     """Add ``embedding``; the model gets at most ``batch`` texts a call and any error fails the task."""
     names = [c for c in rows.columns if c != "embedding"]
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
