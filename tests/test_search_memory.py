@@ -1,12 +1,17 @@
 """The k best of a task: memory that follows from neither the queries nor the vectors, results those of one sort."""
 
+import os
+import re
 import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from granary import queries
 from granary.operators import search
 
 
@@ -68,3 +73,48 @@ def test_tiles_give_what_one_sort_gives(monkeypatch, k, order):
         d = 1 - q[n] @ v.T
         want = sorted((round(float(x), 9), i) for x, i in zip(d, ids, strict=True) if not np.isnan(x))[:k]
         assert sorted((round(x, 9), i) for a, i, x in got if a == n * 7) == want
+
+
+def status(pid, field):
+    return int(re.search(rf"\n{field}:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1])
+
+
+def workers(field):
+    """MB of a field of the status of each Python worker below this process."""
+    found = {}
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                above = int(p.name)
+                while above > 1 and above != os.getpid():
+                    above = status(above, "PPid")
+                if above > 1:
+                    found[p] = status(p.name, field) >> 10
+        except (OSError, TypeError):  # a worker may end meanwhile
+            pass
+    return found
+
+
+def vectors_in_files(folder, rng, files, rows):
+    (folder / "embeddings.parquet").mkdir(parents=True)
+    for n in range(files):
+        m = rng.normal(size=(rows, 4)).astype(np.float32)
+        pq.write_table(
+            pa.table({"vec_id": np.arange(n * rows, (n + 1) * rows), "embedding": pa.array(m.tolist(), pa.list_(pa.float32()))}),
+            folder / f"embeddings.parquet/part-{n}.parquet",
+        )
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["relevance_scores"])
+def test_workers_of_a_query_on_many_vectors(spark, tmp_path, name):
+    """The workers of the whole query on 80,000 vectors, 1,600 of them queries, against the same workers on 400."""
+    rng = np.random.default_rng(2)
+    few, many = vectors_in_files(tmp_path / "few", rng, 4, 100), vectors_in_files(tmp_path / "many", rng, 4, 20_000)
+    assert queries.QUERIES[name](spark, few).count() == 5 * 8
+    before = workers("VmRSS")
+    for p in before:
+        (p / "clear_refs").write_text("5")  # the peak counts from here
+    assert len(queries.QUERIES[name](spark, many).collect()) == 5 * 1600
+    grown = [mb - before.get(p, max(before.values())) for p, mb in workers("VmHWM").items()]
+    assert max(grown) < 120  # one matrix of all queries and a batch has 122 MB, and several stood at once
