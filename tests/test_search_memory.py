@@ -106,7 +106,7 @@ def vectors_in_files(folder, rng, files, rows):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["relevance_scores"])
+@pytest.mark.parametrize("name", ["relevance_scores", "vector_top_k_zero_uses_default"])
 def test_workers_of_a_query_on_many_vectors(spark, tmp_path, name):
     """The workers of the whole query on 80,000 vectors, 1,600 of them queries, against the same workers on 400."""
     rng = np.random.default_rng(2)
